@@ -72,7 +72,7 @@ def variant_rank(value: Column) -> Column:
 
 
 def rank_bits(rank: Column) -> Column:
-    return F.bit_or(F.shiftleft(F.lit(1), rank))
+    return F.bit_or(F.call_function("shiftleft", F.lit(1), rank))
 
 
 def decode_bits(bits: Column, lattice: str = "ordered") -> Column:
