@@ -48,3 +48,9 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Is there a file or folder at an address of any Hadoop file system."""
+    address = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return address.getFileSystem(spark._jsc.hadoopConfiguration()).exists(address)

@@ -17,13 +17,12 @@ import uuid
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from drayline.session import shared_dir
+from drayline.session import path_exists, shared_dir
 
 BUCKET = "bucket"
 BUCKET_BYTES = 256 * 1024 * 1024
@@ -116,12 +115,10 @@ class SnapshotTable:
 
     def manifest(self) -> DataFrame:
         """All commits; empty when there is no table yet."""
-        try:
-            return self.spark.read.schema(MANIFEST_SCHEMA).parquet(f"{self.path}/manifest")
-        except AnalysisException as error:
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
+        path = f"{self.path}/manifest"
+        if not path_exists(self.spark, path):
             return self.spark.createDataFrame([], MANIFEST_SCHEMA)
+        return self.spark.read.schema(MANIFEST_SCHEMA).parquet(path)
 
     def state(self) -> State | None:
         latest = self.manifest().orderBy(F.desc("commit_no")).limit(1).collect()

@@ -95,8 +95,9 @@ def read_csv(
 
 
 def _plain(path: str) -> str:
-    # File addresses come back percent-encoded; the reader wants plain names.
-    return unquote(path) if path.startswith("file:") else path
+    # File addresses come back percent-encoded; the reader takes plain names,
+    # in which pattern signs need a backslash.
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(path))
 
 
 def _csv_reader(spark: SparkSession, separator: str, utf8: bool, spans_lines: bool):

@@ -1 +1,238 @@
+"""Write modes, keys and resumable loads (K, C)."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from drayline.operators import ledger as batches
+from drayline.operators.mapping import apply_spec
+from drayline.plans.load import dry_run
+from drayline.plans.spec import TableSpec
+from drayline.session import shared_dir
+from drayline.sinks.snapshot import SnapshotTable, last_per_key, merge_rows
+from registry import query, table
+from registry.rules import CUSTOMER_SPEC, CUSTOMER_SQL, customer_rows
+from registry.scans import KEYS, all_tables
+
+BUCKETS = 16
+
+
+def new_table(spark) -> SnapshotTable:
+    return SnapshotTable(spark, shared_dir(spark, "table"))
+
+
+@query("write_customer", CUSTOMER_SQL)
+def write_customer(spark, sf_dir):
+    """The flagship: map, clean and mask customers, write them by key, read back."""
+    target = new_table(spark)
+    rows = apply_spec(customer_rows(spark, sf_dir), CUSTOMER_SPEC).rows
+    target.write(rows, CUSTOMER_SPEC.target_keys(), fresh=True, buckets=BUCKETS)
+    return target.read()
+
+
+_LINE_SUMS = "count(*) as row_count, sum(cast(l_quantity as bigint))::bigint as quantity, sum(l_linenumber)::bigint as numbers"
+
+
+@query("copy_lineitem", f"select l_returnflag, l_linestatus, {_LINE_SUMS} from lineitem group by all")
+def copy_lineitem(spark, sf_dir):
+    """A table without a key copied whole, checked by its sums."""
+    target = new_table(spark)
+    target.overwrite(table(spark, sf_dir, "lineitem"))
+    return target.read().groupBy("l_returnflag", "l_linestatus").agg(
+        F.count(F.lit(1)).alias("row_count"),
+        F.sum(F.col("l_quantity").cast("bigint")).alias("quantity"),
+        F.sum("l_linenumber").alias("numbers"),
+    )
+
+
+_NEW_ORDERS = """
+select o_orderkey, o_custkey, 'X' as o_orderstatus, o_totalprice, o_orderdate, o_orderpriority
+from orders where o_orderkey % 10 = 0
+union all
+select o_orderkey + 1000000000, o_custkey, 'N', o_totalprice, o_orderdate, o_orderpriority
+from orders where o_orderkey % 100 = 1
+"""
+
+
+def order_changes(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    changed = orders.where("o_orderkey % 10 = 0").withColumn("o_orderstatus", F.lit("X"))
+    added = (
+        orders.where("o_orderkey % 100 = 1")
+        .withColumn("o_orderkey", F.col("o_orderkey") + 1000000000)
+        .withColumn("o_orderstatus", F.lit("N"))
+    )
+    return changed.unionByName(added)
+
+
+_UPSERTED = (
+    "with s as (" + _NEW_ORDERS + ") select * from orders where o_orderkey not in (select o_orderkey from s) "
+    "union all select * from s"
+)
+
+
+@query("upsert_update", _UPSERTED)
+def upsert_update(spark, sf_dir):
+    """Changed and new orders merged into a keyed table (small source)."""
+    target = new_table(spark)
+    target.overwrite(table(spark, sf_dir, "orders"), ["o_orderkey"], BUCKETS)
+    target.upsert(order_changes(spark, sf_dir))
+    return target.read()
+
+
+@query("upsert_shuffled", _UPSERTED)
+def upsert_shuffled(spark, sf_dir):
+    """The same merge by the way that large sources take; done twice, it
+    changes nothing more."""
+    target = new_table(spark)
+    target.overwrite(table(spark, sf_dir, "orders"), ["o_orderkey"], BUCKETS)
+    for _ in range(2):
+        target.upsert(order_changes(spark, sf_dir), broadcast_bytes=0)
+    return target.read()
+
+
+@query("merge_rows", _UPSERTED)
+def merge_rows_query(spark, sf_dir):
+    """The merge as a plan over two DataFrames, without a target table."""
+    return merge_rows(table(spark, sf_dir, "orders"), order_changes(spark, sf_dir), ["o_orderkey"])
+
+
+@query(
+    "upsert_ignore",
+    "select distinct o_custkey, o_orderpriority from orders",
+)
+def upsert_ignore(spark, sf_dir):
+    """A table of keys only: existing pairs stay, missing ones are added (K5)."""
+    pairs = table(spark, sf_dir, "orders").select("o_custkey", "o_orderpriority")
+    keys = ["o_custkey", "o_orderpriority"]
+    target = new_table(spark)
+    target.overwrite(pairs.where("o_custkey % 2 = 0").distinct(), keys, BUCKETS)
+    target.upsert(pairs.distinct())
+    return target.read()
+
+
+_LAST_EVENT = (
+    "select user_id, arg_max(event_id, event_id) as event_id, arg_max(event_type, event_id) as event_type, "
+    "arg_max(value, event_id) as value from events group by user_id"
+)
+
+
+@query("upsert_last_wins", _LAST_EVENT)
+def upsert_last_wins(spark, sf_dir):
+    """Repeated keys in the source: the last by sequence is kept (K7)."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value")
+    target = new_table(spark)
+    target.create(events.schema, ["user_id"], BUCKETS)
+    target.upsert(events, sequence="event_id")
+    return target.read()
+
+
+@query("last_per_key", _LAST_EVENT)
+def last_per_key_query(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value")
+    return last_per_key(events, ["user_id"], "event_id")
+
+
+@query("append_no_key", "select * from labels union all select * from labels")
+def append_no_key(spark, sf_dir):
+    target = new_table(spark)
+    labels = table(spark, sf_dir, "labels")
+    target.write(labels)
+    target.write(labels)
+    return target.read()
+
+
+@query("overwrite_fresh", "select * from supplier")
+def overwrite_fresh(spark, sf_dir):
+    """Drop and reload: what the table held before is gone (K2)."""
+    target = new_table(spark)
+    suppliers = table(spark, sf_dir, "supplier")
+    target.overwrite(suppliers.unionByName(suppliers.withColumn("s_suppkey", -F.col("s_suppkey"))), ["s_suppkey"], 4)
+    target.write(suppliers, ["s_suppkey"], fresh=True, buckets=BUCKETS)
+    return target.read()
+
+
+@query(
+    "dry_run_plan",
+    " union all ".join(
+        f"select '{name}' as table_name, '{'upsert' if name in KEYS else 'append'}' as mode, "
+        f"{str(name in KEYS).lower()} as has_key, {str(name not in KEYS).lower()} as doubles_on_rerun, "
+        f"count(*) as row_count from {name}"
+        for name in (*KEYS, "lineitem")
+    ),
+)
+def dry_run_plan(spark, sf_dir):
+    specs = {name: TableSpec(name, keys=keys) for name, keys in KEYS.items()}
+    plan = dry_run(spark, all_tables(spark, sf_dir), specs)
+    return plan.select("table_name", "mode", "has_key", "doubles_on_rerun", "row_count")
+
+
+@query(
+    "batch_plan",
+    "select 'orders' as table_name, o_orderkey // 1000 as batch_index, 'pending' as status, "
+    "count(*) as row_count from orders group by o_orderkey // 1000",
+)
+def batch_plan(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    return batches.plan_batches(orders, batches.range_batch("o_orderkey", 1000), "orders")
+
+
+@query(
+    "resume_pending",
+    "select o_orderkey, o_orderstatus from orders where (o_orderkey // 1000) % 2 = 1",
+)
+def resume_pending(spark, sf_dir):
+    """Rows still to load when the even batches are done."""
+    orders = table(spark, sf_dir, "orders")
+    batch = batches.range_batch("o_orderkey", 1000)
+    done = orders.select(batch.alias("batch_index")).where("batch_index % 2 = 0").distinct()
+    return batches.pending_rows(orders, batch, done).select("o_orderkey", "o_orderstatus")
+
+
+_LEDGER = """
+select user_id % 7 as run, user_id as batch_index, event_id,
+    case event_type when 'click' then 'running' when 'purchase' then 'done' when 'view' then 'pending' else 'failed' end as status
+from events
+"""
+
+
+@query(
+    "ledger_state",
+    f"select run, batch_index, arg_max(status, event_id) as status, arg_max(event_id, event_id) as row_count "
+    f"from ({_LEDGER}) group by run, batch_index",
+)
+def ledger_state(spark, sf_dir):
+    """Latest status of each batch from its events."""
+    table(spark, sf_dir, "events").createOrReplaceTempView("events")
+    events = spark.sql(_LEDGER).withColumn("row_count", F.col("event_id"))
+    return batches.current_state(events, ["run", "batch_index"], "event_id").drop("updated_at")
+
+
+@query(
+    "ledger_completed",
+    f"select run, batch_index from (select run, batch_index, arg_max(status, event_id) as status "
+    f"from ({_LEDGER}) group by run, batch_index) where status = 'done'",
+)
+def ledger_completed(spark, sf_dir):
+    return batches.completed(ledger_state(spark, sf_dir)).select("run", "batch_index")
+
+
+@query("resumed_load", "select * from orders")
+def resumed_load(spark, sf_dir):
+    """A load that dies half way and is run again: the table is whole."""
+    orders = table(spark, sf_dir, "orders")
+    target, path = new_table(spark), shared_dir(spark, "ledger")
+    book = batches.Ledger(spark, path)
+    broken = F.when(
+        batches.hash_batch(["o_orderkey"], BUCKETS) % 2 == 1, F.raise_error(F.lit("lost")).cast("string")
+    ).otherwise(F.col("o_orderstatus"))
+    arguments = ("run-1", "orders", ["o_orderkey"], BUCKETS)
+    try:
+        damaged = orders.withColumn("o_orderstatus", broken)
+        batches.resumable_load(damaged, target, book, *arguments, waves=2)
+    except Exception as error:
+        if "lost" not in str(error):
+            raise
+    batches.resumable_load(orders, target, book, *arguments)
+    assert book.is_complete("run-1")
+    return target.read()
