@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from drayline.functions.rules import Cell, Fault
+from drayline.functions.rules import Cell
 from drayline.functions.text import as_text, strip
 
 # Default formats, output names, the longest text that is
@@ -91,10 +91,10 @@ def convert_date(
 
     if target_format == UNIX:
         # unix_seconds rounds down, also before 1970.
-        faults = cell.faults
-        if original is not None:
-            faults += (Fault("date", original.isNotNull() & moment.isNull(), original),)
-        return Cell(F.unix_seconds(moment), T.LongType(), faults)
+        seconds = F.unix_seconds(moment)
+        if original is None:
+            return cell.to(seconds, T.LongType())
+        return cell.convert("date", original, seconds, T.LongType())
 
     if target_format == DATE_ONLY:
         text = F.date_format(moment, "yyyy-MM-dd")

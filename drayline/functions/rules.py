@@ -38,10 +38,37 @@ class Fault:
     value: Column
 
 
+class Stages:
+    """Columns that are computed before the final projection.
+
+    A converted value is used for the result and for its fault. As a column of
+    an earlier projection it is computed once. Level n may use level n - 1.
+    """
+
+    def __init__(self) -> None:
+        self.levels: list[dict[str, Column]] = []
+
+    def add(self, level: int, value: Column) -> Column:
+        while len(self.levels) <= level:
+            self.levels.append({})
+        name = f"_stage_{sum(map(len, self.levels))}"
+        self.levels[level][name] = value
+        return F.col(name)
+
+
 @dataclass(frozen=True)
 class Cell:
+    """A cell on its way: expression and type, and what to do on a bad value.
+
+    With ``stages`` a bad value becomes NULL and a fault is noted; without
+    them it raises an error that names the column.
+    """
+
     value: Column
     dtype: T.DataType
+    column: str = "cell"
+    stages: Stages | None = None
+    level: int = 0
     faults: tuple[Fault, ...] = ()
 
     def text(self) -> Column:
@@ -50,6 +77,19 @@ class Cell:
     def to(self, value: Column, dtype: T.DataType) -> "Cell":
         return replace(self, value=value, dtype=dtype)
 
+    def convert(self, rule: str, source: Column, value: Column, dtype: T.DataType) -> "Cell":
+        """Go on with ``value``, which is NULL where ``source`` does not fit."""
+        if self.stages is None:
+            # The value is computed once; the message only where it is missing.
+            message = F.concat(F.lit(f"{self.column}: {rule} cannot take "), self.text())
+            raised = F.when(source.isNotNull(), F.raise_error(message).cast(dtype))
+            return self.to(F.coalesce(value, raised), dtype)
+        value = self.stages.add(self.level, value)
+        fault = Fault(rule, source.isNotNull() & value.isNull(), self.text())
+        return replace(
+            self, value=value, dtype=dtype, level=self.level + 1, faults=self.faults + (fault,)
+        )
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -187,14 +227,12 @@ def _redact(cell: Cell, _: list[str]) -> Cell:
     return cell.to(F.when(cell.value.isNotNull(), REDACTED), T.StringType())
 
 
-def _number(cell: Cell, rule: str) -> tuple[Column, Cell]:
-    """The cell as a double, with a fault where it is not a number."""
+def _number(cell: Cell, rule: str) -> Cell:
+    """The cell as a double."""
     if isinstance(cell.dtype, (T.NumericType, T.BooleanType)):
-        return cell.value.cast("double"), cell
+        return cell.to(cell.value.cast("double"), T.DoubleType())
     text = cell.text()
-    number = text_to_double(text)
-    fault = Fault(rule, text.isNotNull() & number.isNull(), text)
-    return number, replace(cell, faults=cell.faults + (fault,))
+    return cell.convert(rule, text, text_to_double(text), T.DoubleType())
 
 
 def round_half_even(value: Column, places: int) -> Column:
@@ -216,28 +254,28 @@ def round_half_even(value: Column, places: int) -> Column:
 @_rule("round", "numeric", "decimals")
 def _round(cell: Cell, params: list[str]) -> Cell:
     places = _whole_parameter("round", params, 0)
-    number, cell = _number(cell, "round")
-    return cell.to(round_half_even(number, places), T.DoubleType())
+    cell = _number(cell, "round")
+    return cell.to(round_half_even(cell.value, places), T.DoubleType())
 
 
 @_rule("multiply", "numeric", "factor")
 def _multiply(cell: Cell, params: list[str]) -> Cell:
     factor = _factor("multiply", params)
-    number, cell = _number(cell, "multiply")
-    return cell.to(number * F.lit(factor), T.DoubleType())
+    cell = _number(cell, "multiply")
+    return cell.to(cell.value * F.lit(factor), T.DoubleType())
 
 
 @_rule("divide", "numeric", "factor")
 def _divide(cell: Cell, params: list[str]) -> Cell:
     divisor = _factor("divide", params)
-    number, cell = _number(cell, "divide")
-    return cell.to(F.try_divide(number, F.lit(divisor)), T.DoubleType())
+    cell = _number(cell, "divide")
+    return cell.to(F.try_divide(cell.value, F.lit(divisor)), T.DoubleType())
 
 
 @_rule("abs", "numeric")
 def _abs(cell: Cell, _: list[str]) -> Cell:
-    number, cell = _number(cell, "abs")
-    return cell.to(F.abs(number), T.DoubleType())
+    cell = _number(cell, "abs")
+    return cell.to(F.abs(cell.value), T.DoubleType())
 
 
 @_rule("to_boolean", "cast")

@@ -32,6 +32,13 @@ def strip(text: Column) -> Column:
     return F.trim(text, F.lit(BLANKS))
 
 
+def strip_column(name: str) -> Column:
+    """``strip`` of a plain column, skipped for cells with no blank at either end."""
+    text = F.col(f"`{name}`")
+    clean = F.substring(text, 1, 1).between("!", "~") & F.right(text, F.lit(1)).between("!", "~")
+    return F.when(clean, text).otherwise(strip(text))
+
+
 def double_text(value: Column) -> Column:
     """Shortest decimal text of a double: plain from 1e-4 up to 1e16."""
     spark_text = value.cast("string")
@@ -84,11 +91,17 @@ def as_text(value: Column, dtype: T.DataType) -> Column:
 
 
 def text_to_double(text: Column) -> Column:
-    """Number in a text, or NULL when the text is not a number."""
+    """Number in a text, or NULL when the text is not a number.
+
+    Plain digits go straight to the cast; only texts with other signs pay for
+    stripping and the full pattern.
+    """
     s = strip(text)
-    return F.when(s.rlike(ANY_NUMBER), F.replace(s, F.lit("_"), F.lit("")).try_cast("double"))
+    unusual = F.when(s.rlike(ANY_NUMBER), F.replace(s, F.lit("_"), F.lit("")).try_cast("double"))
+    return F.when(text.rlike("[^0-9.+-]"), unusual).otherwise(text.try_cast("double"))
 
 
 def text_to_bigint(text: Column) -> Column:
     s = strip(text)
-    return F.when(s.rlike(WHOLE_NUMBER), F.replace(s, F.lit("_"), F.lit("")).try_cast("bigint"))
+    unusual = F.when(s.rlike(WHOLE_NUMBER), F.replace(s, F.lit("_"), F.lit("")).try_cast("bigint"))
+    return F.when(text.rlike("[^0-9+-]"), unusual).otherwise(text.try_cast("bigint"))

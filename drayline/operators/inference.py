@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from drayline.functions.text import ANY_NUMBER, WHOLE_NUMBER, as_text, strip
+from drayline.functions.text import ANY_NUMBER, WHOLE_NUMBER, as_text, strip, strip_column
 
 # Kinds of a cell in widening order, their SQL names, and the
 # pattern of an ISO date or date-time.
@@ -31,31 +31,32 @@ LATTICES = ("ordered", "strict")
 
 def text_rank(text: Column) -> Column:
     """Kind of one text cell."""
-    s = strip(text)
+    return stripped_rank(strip(text))
+
+
+def stripped_rank(s: Column) -> Column:
+    """Kind of a cell whose outer blanks are off."""
     return (
         F.when(s.isNull() | (s == ""), NULL)
-        .when(F.lower(s).isin("true", "false"), BOOLEAN)
         .when(s.rlike(WHOLE_NUMBER), INTEGER)
         .when(s.rlike(ANY_NUMBER), FLOAT)
         .when(s.rlike(ISO_DATE), TIMESTAMP)
+        .when((F.octet_length(s) <= 5) & F.lower(s).isin("true", "false"), BOOLEAN)
         .otherwise(TEXT)
     )
 
 
-def cell_rank(value: Column, dtype: T.DataType) -> Column:
-    """Kind of a cell; typed values keep their kind (I4)."""
-    native = None
+def native_rank(dtype: T.DataType) -> int | None:
+    """Kind of all cells of a typed column (I4); None when the text decides."""
     if isinstance(dtype, T.BooleanType):
-        native = BOOLEAN
-    elif isinstance(dtype, T.IntegralType):
-        native = INTEGER
-    elif isinstance(dtype, (T.FloatType, T.DoubleType)):
-        native = FLOAT
-    elif isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        native = TIMESTAMP
-    if native is None:
-        return text_rank(as_text(value, dtype))
-    return F.when(value.isNull(), NULL).otherwise(native)
+        return BOOLEAN
+    if isinstance(dtype, T.IntegralType):
+        return INTEGER
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return FLOAT
+    if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return TIMESTAMP
+    return None
 
 
 def variant_rank(value: Column) -> Column:
@@ -72,7 +73,15 @@ def variant_rank(value: Column) -> Column:
 
 
 def rank_bits(rank: Column) -> Column:
-    return F.bit_or(F.call_function("shiftleft", F.lit(1), rank))
+    """Bit set of all kinds seen.
+
+    The maximum adds nothing to the set. It makes the plan refer to the rank
+    twice, so the optimizer keeps it as a computed column; merged into the
+    or-aggregate, which mentions its input three times, the patterns of a
+    rank would run three times per cell.
+    """
+    bit = F.call_function("shiftleft", F.lit(1), rank)
+    return F.bit_or(bit).bitwiseOR(F.call_function("shiftleft", F.lit(1), F.max(rank)))
 
 
 def decode_bits(bits: Column, lattice: str = "ordered") -> Column:
@@ -106,8 +115,23 @@ def infer_types(df: DataFrame, lattice: str = "ordered", sample_rows: int | None
     if sample_rows is not None:
         df = df.limit(sample_rows)
     fields = df.schema.fields
-    ranks = df.select(
-        *[cell_rank(df[f.name], f.dataType).alias(f"r{i}") for i, f in enumerate(fields)]
+    natives = [native_rank(f.dataType) for f in fields]
+    cells = df.select(
+        *[
+            as_text(F.col(f"`{f.name}`"), f.dataType).alias(f"c{i}")
+            if native is None
+            else F.when(F.col(f"`{f.name}`").isNull(), NULL).otherwise(native).alias(f"c{i}")
+            for i, (f, native) in enumerate(zip(fields, natives))
+        ]
+    )
+    stripped = cells.select(
+        *[F.col(f"c{i}") if n is not None else strip_column(f"c{i}").alias(f"c{i}") for i, n in enumerate(natives)]
+    )
+    ranks = stripped.select(
+        *[
+            (F.col(f"c{i}") if n is not None else stripped_rank(F.col(f"c{i}"))).alias(f"r{i}")
+            for i, n in enumerate(natives)
+        ]
     )
     bits = ranks.agg(*[rank_bits(F.col(f"r{i}")).alias(f"b{i}") for i in range(len(fields))])
     entries = F.array(

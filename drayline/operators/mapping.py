@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,13 +11,14 @@ from pyspark.sql import types as T
 
 from drayline.functions.dates import convert_date
 from drayline.functions.nested import flatten_nested
-from drayline.functions.rules import Cell, Fault, apply_chain
+from drayline.functions.rules import Cell, Stages, apply_chain
 from drayline.functions.text import as_text, strip, text_to_bigint, text_to_double
 from drayline.plans.dialects import DEFAULT_STRING, POSTGRESQL, spark_type
 from drayline.plans.spec import TRANSFORM, ColumnMapping, TableSpec
 
 ON_ERROR = ("fail", "null", "reject")
 FAULTS = "_faults"
+FAULTY = "_faulty"
 FAULT_TYPE = "array<struct<column:string,rule:string,value:string>>"
 
 
@@ -61,16 +63,19 @@ def cast_cell(cell: Cell, wanted: T.DataType, rule: str) -> Cell:
     else:
         source = cell.value
         value = cell.value.try_cast(wanted)
-    fault = Fault(rule, source.isNotNull() & value.isNull(), as_text(cell.value, have))
-    return Cell(value, wanted, cell.faults + (fault,))
+    return cell.convert(rule, source, value, wanted)
 
 
 def build_cell(
-    df: DataFrame, mapping: ColumnMapping, spec: TableSpec, keep_arrays: bool
+    df: DataFrame,
+    mapping: ColumnMapping,
+    spec: TableSpec,
+    keep_arrays: bool,
+    stages: Stages | None = None,
 ) -> Cell:
     """The target cell of one mapping."""
     dtype = df.schema[mapping.source].dataType
-    cell = Cell(df[mapping.source], dtype)
+    cell = Cell(F.col(f"`{mapping.source}`"), dtype, mapping.source, stages)
     if mapping.source in spec.defaults:
         filled = F.coalesce(cell.value, F.lit(spec.defaults[mapping.source]).cast(dtype))
         cell = cell.to(filled, dtype)
@@ -91,16 +96,6 @@ def build_cell(
     return cell
 
 
-def _raise_on(cell: Cell, column: str) -> Column:
-    value = cell.value
-    for fault in cell.faults:
-        message = F.concat(
-            F.lit(f"{column}: {fault.rule} cannot take "), F.coalesce(fault.value, F.lit("NULL"))
-        )
-        value = F.when(fault.when, F.raise_error(message).cast(cell.dtype)).otherwise(value)
-    return value
-
-
 def _fault_array(cells: dict[str, Cell]) -> Column:
     entries = [
         F.when(
@@ -129,31 +124,46 @@ def apply_spec(df: DataFrame, spec: TableSpec, on_error: str = "fail") -> Mapped
     if on_error not in ON_ERROR:
         raise ValueError(f"on_error must be one of {', '.join(ON_ERROR)}")
     keep_arrays = (spec.target_dialect or POSTGRESQL) == POSTGRESQL
+    stages = None if on_error == "fail" else Stages()
     cells: dict[str, Cell] = {}
     for mapping in spec.for_columns(df.columns):
         if mapping.name in cells:
             raise ValueError(f"{spec.name}: two columns are named {mapping.name}")
-        cells[mapping.name] = build_cell(df, mapping, spec, keep_arrays)
+        cells[mapping.name] = build_cell(df, mapping, spec, keep_arrays, stages)
+    values = [cell.value.alias(name) for name, cell in cells.items()]
 
-    if on_error == "fail":
-        rows = df.select(*[_raise_on(cell, name).alias(name) for name, cell in cells.items()])
+    if stages is None:
+        rows = df.select(*values)
         empty = rows.limit(0).withColumn(FAULTS, F.array().cast(FAULT_TYPE))
         return Mapped(rows, empty, empty)
-    values = [cell.value.alias(name) for name, cell in cells.items()]
-    tagged = df.select(*values, _fault_array(cells).alias(FAULTS))
-    if on_error == "null":
-        return Mapped(tagged.drop(FAULTS), tagged.where(F.size(FAULTS) > 0), tagged)
-    return Mapped(
-        tagged.where(F.size(FAULTS) == 0).drop(FAULTS),
-        tagged.where(F.size(FAULTS) > 0),
-        tagged,
+    for level in stages.levels:
+        df = df.select("*", *[value.alias(name) for name, value in level.items()])
+    faulty = reduce(
+        lambda a, b: a | b, [f.when for cell in cells.values() for f in cell.faults], F.lit(False)
     )
+    faults = _fault_array(cells).alias(FAULTS)
+    rejects = _settled(df, [*values, faults, faulty.alias(FAULTY)]).where(FAULTY).drop(FAULTY)
+    tagged = df.select(*values, faults)
+    if on_error == "null":
+        return Mapped(df.select(*values), rejects, tagged)
+    kept = _settled(df, [*values, faulty.alias(FAULTY)]).where(~F.col(FAULTY)).drop(FAULTY)
+    return Mapped(kept, rejects, tagged)
+
+
+def _settled(df: DataFrame, columns: list[Column]) -> DataFrame:
+    """A projection that a later filter on its columns stays above.
+
+    Filters move below a plain projection, with every expression they use
+    copied, so all casts of a row would run twice. They do not move below a
+    generator; this one makes one row of one row.
+    """
+    return df.select(F.inline(F.array(F.struct(*columns))))
 
 
 def apply_rules(df: DataFrame, column: str, chain, output: str | None = None) -> DataFrame:
     """One chain on one column, raising on cells it cannot take."""
-    cell = apply_chain(Cell(F.col(column), df.schema[column].dataType), chain)
-    return df.withColumn(output or column, _raise_on(cell, column))
+    cell = apply_chain(Cell(F.col(f"`{column}`"), df.schema[column].dataType, column), chain)
+    return df.withColumn(output or column, cell.value)
 
 
 def cast_columns(df: DataFrame, types: dict[str, str], dialect: str, on_error: str = "fail") -> Mapped:

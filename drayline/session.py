@@ -15,6 +15,9 @@ SESSION_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.scheduler.mode": "FAIR",
+    # The JVM does not compile methods above this size. Wide tables with many
+    # rules would exceed it; with the limit Spark splits their code instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
@@ -50,7 +53,10 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    """Is there a file or folder at an address of any Hadoop file system."""
-    address = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return address.getFileSystem(spark._jsc.hadoopConfiguration()).exists(address)
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of any Hadoop file system; empty if it is missing."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(folder):
+        return []
+    return sorted(status.getPath().getName() for status in system.listStatus(folder))

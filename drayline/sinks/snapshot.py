@@ -16,13 +16,14 @@ import re
 import uuid
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from drayline.session import path_exists, shared_dir
+from drayline.session import child_names, shared_dir
 
 BUCKET = "bucket"
 BUCKET_BYTES = 256 * 1024 * 1024
@@ -31,9 +32,9 @@ BUCKET_BYTES = 256 * 1024 * 1024
 BROADCAST_KEY_BYTES = 32 * 1024 * 1024
 
 MANIFEST_SCHEMA = (
-    "commit_no long, kind string, run_id string, batch_id long, schema string, keys array<string>, "
-    "buckets int, rows long, added array<int>, live array<struct<bucket:int,part:string>>, "
-    "committed_at timestamp"
+    "commit_no long, kind string, run_id string, batch_id long, batches map<string,long>, "
+    "schema string, keys array<string>, buckets int, rows long, added array<int>, "
+    "live array<struct<bucket:int,part:string>>, committed_at timestamp"
 )
 
 
@@ -46,6 +47,7 @@ class State:
     keys: tuple[str, ...]
     buckets: int
     live: tuple[tuple[int, str], ...]
+    batches: dict[str, int]
 
 
 class DuplicateKeys(ValueError):
@@ -116,22 +118,26 @@ class SnapshotTable:
     def manifest(self) -> DataFrame:
         """All commits; empty when there is no table yet."""
         path = f"{self.path}/manifest"
-        if not path_exists(self.spark, path):
+        if not child_names(self.spark, path):
             return self.spark.createDataFrame([], MANIFEST_SCHEMA)
         return self.spark.read.schema(MANIFEST_SCHEMA).parquet(path)
 
     def state(self) -> State | None:
-        latest = self.manifest().orderBy(F.desc("commit_no")).limit(1).collect()
-        if not latest:
-            return None
-        row = latest[0]
-        return State(
-            row.commit_no,
-            T.StructType.fromJson(json.loads(row.schema)),
-            tuple(row["keys"]),
-            row.buckets,
-            tuple((entry.bucket, entry.part) for entry in row.live),
-        )
+        """The newest commit. Only its own file is read, however many there are."""
+        path = f"{self.path}/manifest"
+        for version in reversed(child_names(self.spark, path)):
+            rows = self.spark.read.schema(MANIFEST_SCHEMA).parquet(f"{path}/{version}").collect()
+            if rows:  # a commit that died left its folder empty
+                row = rows[0]
+                return State(
+                    row.commit_no,
+                    T.StructType.fromJson(json.loads(row.schema)),
+                    tuple(row["keys"]),
+                    row.buckets,
+                    tuple((entry.bucket, entry.part) for entry in row.live),
+                    dict(row.batches),
+                )
+        return None
 
     def exists(self) -> bool:
         return self.state() is not None
@@ -188,8 +194,8 @@ class SnapshotTable:
     def append(self, df: DataFrame, run_id: str | None = None, batch_id: int | None = None) -> int:
         """Add rows (K3). A key, if there is one, is not checked."""
         state = self._require(df)
-        if self._committed(run_id, batch_id):
-            return 0
+        if batch_id is not None and state.batches.get(run_id, -1) >= batch_id:
+            return 0  # a repeated batch
         df = df.select(*state.schema.names)
         part, live, rows = self._write_part(df, state.keys, state.buckets)
         self._commit(
@@ -217,18 +223,15 @@ class SnapshotTable:
         state = self._require(df)
         if not state.keys:
             raise ValueError("an upsert needs a table with a key")
-        if self._committed(run_id, batch_id):
-            return 0
+        if batch_id is not None and state.batches.get(run_id, -1) >= batch_id:
+            return 0  # a repeated batch
         keys = list(state.keys)
         if sequence:
             df = last_per_key(df, keys, sequence)
-        bucket = key_bucket(keys, state.buckets)
         staged_path = shared_dir(self.spark, "upsert")
         df.select(*state.schema.names).write.parquet(staged_path)
         source = self.spark.read.schema(state.schema).parquet(staged_path)
-        key_bytes = self._check_keys(source, keys, unique=bool(sequence))
-
-        affected = [r[0] for r in source.select(bucket.alias(BUCKET)).distinct().collect()]
+        affected, key_bytes = self._affected(source, state, unique=bool(sequence))
         old = self._read(state, affected)
         rest = [c for c in state.schema.names if c not in keys]
         if not rest or not update:
@@ -243,7 +246,7 @@ class SnapshotTable:
                 part, live, rows = self._write_part(merged, keys, state.buckets, clustered=True)
             else:
                 part, live, rows = self._write_part(
-                    _newest(old, source, keys, bucket), keys, state.buckets, clustered=True
+                    _newest(old, source, keys, key_bucket(keys, state.buckets)), keys, state.buckets, clustered=True
                 )
             replaced = set(affected)
             live = tuple(e for e in state.live if e[0] not in replaced) + live
@@ -279,25 +282,23 @@ class SnapshotTable:
         mine = self.manifest().where(F.col("run_id") == run_id)
         return {r[0] for r in mine.select(F.explode("added")).distinct().collect()}
 
-    def _committed(self, run_id: str | None, batch_id: int | None) -> bool:
-        if run_id is None or batch_id is None:
-            return False
-        same = (F.col("run_id") == run_id) & (F.col("batch_id") == batch_id)
-        return not self.manifest().where(same).isEmpty()
-
-    def _check_keys(self, source: DataFrame, keys: list[str], unique: bool) -> int:
-        """Refuse NULL or repeated keys; returns the bytes of all keys."""
-        absent = F.greatest(*[F.col(f"`{k}`").isNull().cast("int") for k in keys], F.lit(0))
-        width = sum((F.octet_length(F.col(f"`{k}`").cast("string")) + 16 for k in keys), F.lit(0))
-        checks = source.agg(
-            F.coalesce(F.sum(absent), F.lit(0)).alias("absent"),
-            F.coalesce(F.sum(width), F.lit(0)).alias("bytes"),
-        ).first()
-        if checks.absent:
-            raise ValueError(f"{checks.absent} rows have no key")
+    def _affected(self, source: DataFrame, state: State, unique: bool) -> tuple[list[int], int]:
+        """Buckets the source falls in, and the bytes of its keys.
+
+        Refuses NULL and repeated keys. One row per bucket reaches the driver.
+        """
+        keys = [F.col(f"`{k}`") for k in state.keys]
+        absent = reduce(lambda a, b: a | b, [k.isNull() for k in keys])
+        width = sum((F.octet_length(k.cast("string")) + 16 for k in keys), F.lit(0))
+        per_bucket = source.groupBy(key_bucket(state.keys, state.buckets).alias(BUCKET)).agg(
+            F.count_if(absent).alias("absent"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes")
+        )
+        found = per_bucket.collect()
+        if missing := sum(r.absent for r in found):
+            raise ValueError(f"{missing} rows have no key")
         if not unique and not source.groupBy(*keys).count().where("count > 1").isEmpty():
             raise DuplicateKeys("keys repeat in the source; name a sequence column")
-        return checks.bytes
+        return [r[BUCKET] for r in found], sum(r.bytes for r in found)
 
     def _write_part(
         self, df: DataFrame, keys: Sequence[str], buckets: int, clustered: bool = False
@@ -336,9 +337,15 @@ class SnapshotTable:
         nullable = T.StructType([T.StructField(f.name, f.dataType, True, f.metadata) for f in schema])
         before = set(state.live) if state else set()
         added = sorted({bucket for bucket, part in live if (bucket, part) not in before})
+        batches = dict(state.batches) if state else {}
+        if batch_id is not None:
+            batches[run_id] = batch_id
         row = [
-            (number, kind, run_id, batch_id, nullable.json(), list(keys), buckets, rows, added, list(live))
-        ]
+            (
+                number, kind, run_id, batch_id, batches, nullable.json(), list(keys), buckets, rows,
+                added, list(live),
+            )
+        ]
         fields = MANIFEST_SCHEMA.rsplit(",", 1)[0]
         (
             self.spark.createDataFrame(row, fields)

@@ -144,7 +144,8 @@ def infer_csv_files(spark: SparkSession, paths: Paths, separator: str = ",", lat
         .csv(_as_list(paths))
         .select(F.col("_metadata.file_path").alias("path"), *places)
     )
-    bits = data.groupBy("path").agg(*[rank_bits(text_rank(F.col(c))).alias(c) for c in places])
+    ranks = data.select("path", *[text_rank(F.col(c)).alias(c) for c in places])
+    bits = ranks.groupBy("path").agg(*[rank_bits(F.col(c)).alias(c) for c in places])
     return (
         headers.join(bits, "path", "left")
         .select("path", F.posexplode("names").alias("ordinal", "column_name"), F.array(*places).alias("bits"))
