@@ -169,20 +169,25 @@ def infer_record_keys(
     group_by = group_by or []
     order = [F.col(c) for c in position] if position else []
     text = F.col(json_column)
-    # Key -1 carries the record itself, so one pass also counts records.
-    keys = F.posexplode(F.concat(F.array(F.lit(None).cast("string")), F.json_object_keys(text)))
+    # The NULL key stands for the record itself, so one pass also counts records.
     cells = (
         records.select(
             *[F.col(c) for c in group_by],
             *[c.alias(f"_o{i}") for i, c in enumerate(order)],
-            F.parse_json(text).alias("_v"),
-            keys.alias("_place", "_key"),
+            F.json_object_keys(text).alias("_keys"),
+            F.explode(
+                F.concat(
+                    F.array(F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast("variant").alias("value"))),
+                    F.map_entries(F.parse_json(text).cast("map<string,variant>")),
+                )
+            ).alias("_e"),
         )
-        # A key with quotes or backslashes is looked up through its escaped path.
-        .withColumn("_path", F.concat(F.lit('$["'), F.regexp_replace("_key", r'(["\\])', r"\\$1"), F.lit('"]')))
-        .withColumn(
-            "_rank",
-            F.when(F.col("_key").isNotNull(), variant_rank(F.try_variant_get(F.col("_v"), F.col("_path"), "variant"))),
+        .select(
+            *group_by,
+            *[f"_o{i}" for i in range(len(order))],
+            F.col("_e.key").alias("_key"),
+            F.array_position("_keys", F.col("_e.key")).alias("_place"),
+            variant_rank(F.col("_e.value")).alias("_rank"),
         )
     )
     first_seen = F.struct(*[F.col(f"_o{i}") for i in range(len(order))], F.col("_place"))

@@ -18,6 +18,8 @@ SESSION_DEFAULTS = {
     # The JVM does not compile methods above this size. Wide tables with many
     # rules would exceed it; with the limit Spark splits their code instead.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # A JSON object may repeat a key; the last one counts.
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 

@@ -230,11 +230,18 @@ def pick_keys(records: DataFrame, keys: Sequence[str], record: str = "record") -
     """
     parsed = records.withColumn("_v", F.parse_json(record))
 
+    def found(key: str) -> Column:
+        # A path has no escapes; a key with both kinds of quotes has no path.
+        if '"' not in key:
+            return F.try_variant_get("_v", f'$["{key}"]', "variant")
+        if "'" not in key:
+            return F.try_variant_get("_v", f"$['{key}']", "variant")
+        return F.try_element_at(F.col("_v").cast("map<string,variant>"), F.lit(key))
+
     def cell(key: str) -> Column:
-        escaped = key.replace("\\", "\\\\").replace('"', '\\"')
-        found = F.try_variant_get("_v", f'$["{escaped}"]', "variant")
-        as_string = F.try_variant_get(found, "$", "string")
-        return F.when(~F.is_variant_null(found), as_string).alias(key)
+        value = found(key)
+        text = F.try_variant_get(value, "$", "string")
+        return F.when(~F.is_variant_null(value), text).alias(key)
 
     return parsed.select(*[cell(k) for k in keys])
 
