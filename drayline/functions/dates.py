@@ -90,8 +90,10 @@ def convert_date(
         moment = parse_date(strip(raw), source_format)
 
     if target_format == UNIX:
+        # Values without a zone count as UTC, whatever zone the session has.
         # unix_seconds rounds down, also before 1970.
-        seconds = F.unix_seconds(moment)
+        utc = moment if zoned else F.from_utc_timestamp(moment, F.current_timezone())
+        seconds = F.unix_seconds(utc)
         if original is None:
             return cell.to(seconds, T.LongType())
         return cell.convert("date", original, seconds, T.LongType())

@@ -88,13 +88,13 @@ def read_csv(
         return _csv_reader(spark, separator or ",", True, False).csv(_as_list(paths))
     # Fewest readers: one per kind of file. Headers may differ between them.
     frames = [
-        _csv_reader(spark, sep, utf8, spans).csv([_plain(p) for p in group])
+        _csv_reader(spark, sep, utf8, spans).csv([plain_path(p) for p in group])
         for (sep, utf8, spans), group in groups.items()
     ]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def _plain(path: str) -> str:
+def plain_path(path: str) -> str:
     # File addresses come back percent-encoded; the reader takes plain names,
     # in which pattern signs need a backslash.
     return re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(path))

@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from drayline.sinks.snapshot import SnapshotTable
 
@@ -90,3 +90,26 @@ def ingest_upserts(
         target.upsert(rows, sequence=sequence, run_id=run_id, batch_id=number)
 
     return _run(stream, target, checkpoint, run_id, put, every)
+
+
+class RowCounter(StreamingQueryListener):
+    """Rows taken so far by each named query, live.
+
+    Register it with ``spark.streams.addListener``.
+    """
+
+    def __init__(self) -> None:
+        self.rows: dict[str, int] = {}
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        name = event.progress.name or str(event.progress.id)
+        self.rows[name] = self.rows.get(name, 0) + event.progress.numInputRows
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass

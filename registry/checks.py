@@ -414,3 +414,43 @@ def verified_target(spark, sf_dir):
     return verify.compare_counts(
         catalog.row_counts({"orders": orders}), catalog.row_counts({"orders": target.read()})
     )
+
+
+@query(
+    "load_files",
+    "select 'customer_' || lower(c_mktsegment) as table_name, count(*) as row_count, "
+    "sum(c_custkey)::bigint as key_sum, sum(cast(round(c_acctbal * 100) as bigint))::bigint as cents "
+    "from customer group by c_mktsegment",
+)
+def load_files_query(spark, sf_dir):
+    """A folder of CSV, JSON Lines and Parquet files, one table per file name."""
+    from drayline.plans.files import load_files
+
+    source, target = shared_dir(spark, "files"), shared_dir(spark, "file-tables")
+    customers = table(spark, sf_dir, "customer")
+    # One folder per segment; the file in it is named after the segment.
+    segments = [r[0] for r in customers.select("c_mktsegment").distinct().orderBy("c_mktsegment").collect()]
+    writers = ("csv", "json", "parquet")
+    results = []
+    for i, segment in enumerate(segments):
+        rows = customers.where(F.col("c_mktsegment") == segment).select("c_custkey", "c_name", "c_acctbal")
+        kind = writers[i % 3]
+        folder = f"{source}/{segment}"
+        (rows.write.option("header", True) if kind == "csv" else rows.write).format(kind).save(folder)
+        result = load_files(
+            spark, folder, f"{target}/{segment}", options=LoadOptions(fresh=True),
+            file_format={"csv": "csv", "json": "jsonl", "parquet": "parquet"}[kind],
+        )
+        assert result.status == "success", result.errors
+        for name in result.rows:
+            loaded = SnapshotTable(spark, f"{target}/{segment}/{name}").read()
+            results.append(loaded.select(F.lit(f"customer_{segment.lower()}").alias("table_name"), "c_custkey", "c_acctbal"))
+    return (
+        reduce(DataFrame.unionAll, results)
+        .groupBy("table_name")
+        .agg(
+            F.count(F.lit(1)).alias("row_count"),
+            F.sum("c_custkey").alias("key_sum"),
+            F.sum(F.round(F.col("c_acctbal") * 100).cast("bigint")).alias("cents"),
+        )
+    )

@@ -48,6 +48,15 @@ def test_unix(spark):
     assert convert(spark, ["soon", "1969-12-31 23:59:59"], target="UNIX", on_error="null") == [None, -1]
 
 
+def test_session_zone_does_not_matter(spark):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert convert(spark, ["2024-07-15 09:30:00"]) == ["2024-07-15T09:30:00Z"]
+        assert convert(spark, ["2024-01-15 09:30:00", "2024-07-15 09:30:00"], target="UNIX") == [1705311000, 1721035800]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_other_formats(spark):
     assert convert(spark, ["15/01/2024", "2024-01-15"], "DD/MM/YYYY", "YYYY-MM-DD") == ["2024-01-15"] * 2
     assert convert(spark, ["20240115"], "YYYYMMDD", "YYYY-MM-DD") == ["2024-01-15"]

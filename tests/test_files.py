@@ -35,9 +35,9 @@ def test_tsv_and_odd_names(spark, folder):
     (odd / "b c.csv").write_text("id,n\n2,z\n")
     (odd / "skip.pdf").write_text("x")
     (odd / ".csv").write_text("hidden")
-    got = files.read_csv(spark, files._plain(str(odd)) + "/*.[tc]sv")
+    got = files.read_csv(spark, files.plain_path(str(odd)) + "/*.[tc]sv")
     assert rows(got.select("id", "n")) == [("1", "a,b"), ("2", "z")]
-    found = listing.list_files(spark, files._plain(str(odd)))
+    found = listing.list_files(spark, files.plain_path(str(odd)))
     assert rows(found.select("format", "table_name")) == [("csv", "_2024_sales"), ("csv", "b_c")]
     assert list(listing.paths_by_format(found)) == ["csv"]
 

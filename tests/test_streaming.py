@@ -1,8 +1,10 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from drayline.sinks.snapshot import SnapshotTable
-from drayline.streaming.ingest import file_stream, ingest, ingest_upserts
+from drayline.streaming.ingest import RowCounter, file_stream, ingest, ingest_upserts
 
 SCHEMA = "id long, seq long, v string"
 
@@ -14,6 +16,9 @@ def arrive(spark, folder, rows):
 def test_files_are_taken_once(spark, folder):
     target = SnapshotTable(spark, str(folder / "t"))
 
+    counter = RowCounter()
+    spark.streams.addListener(counter)
+
     def run():
         stream = file_stream(spark, str(folder / "in"), SCHEMA, max_files=1)
         ingest(stream, target, str(folder / "c"), "run").awaitTermination()
@@ -26,6 +31,12 @@ def test_files_are_taken_once(spark, folder):
     assert run() == first  # nothing new, no batch
     arrive(spark, folder, [(3, 1, "c")])
     assert run() == (3, first[1] + 1)
+    for _ in range(50):  # listeners are told a little later
+        if counter.rows.get("run") == 3:
+            break
+        time.sleep(0.2)
+    spark.streams.removeListener(counter)
+    assert counter.rows["run"] == 3
 
 
 def test_a_batch_that_dies_is_repeated(spark, folder):

@@ -197,3 +197,33 @@ def test_dry_run_writes_nothing(spark, folder, related):
     specs = {"child": TableSpec("child", [ColumnMapping("cid", target_type="FLOAT")])}
     warned = column_warnings(spark, {"child": related["child"]}, specs).collect()
     assert [(r.source_column, r.message) for r in warned] == [("cid", "Precision loss might occur.")]
+
+
+def test_load_files(spark, folder):
+    from drayline.plans.files import load_files, plan_files
+
+    source = folder / "in"
+    source.mkdir()
+    (source / "1 people.csv").write_text("id,n\n1,a\n2,b\nx,c\n")
+    (source / "pets.jsonl").write_text('{"id": 1, "n": "rex"}\n{"id": 2}\nbroken\n')
+    (source / "notes.txt").write_text("no table")
+    plan = {r.table_name: r.mode for r in plan_files(spark, str(source)).collect()}
+    assert plan == {"_1_people": "append", "pets": "append"} and not (folder / "out").exists()
+    specs = {"pets": TableSpec("pets", [ColumnMapping("n", "name", "transform", rules="coalesce:none|uppercase")])}
+    result = load_files(spark, str(source), str(folder / "out"), specs, LoadOptions(fresh=True))
+    assert result.status == "success" and result.rows == {"_1_people": 3, "pets": 2}
+    assert rows(SnapshotTable(spark, str(folder / "out/pets")).read()) == [(1, "REX"), (2, "NONE")]
+    only = load_files(spark, str(source), str(folder / "o2"), options=LoadOptions(fresh=True), selected=["pets"])
+    assert list(only.rows) == ["pets"]
+
+
+def test_key_report_and_rejects_of_a_load(spark, folder, related):
+    specs = {"child": TableSpec("child", [ColumnMapping("amount", action="transform", rules="abs")], keys=["pid"])}
+    result = load_tables(
+        spark, {"child": related["child"]}, str(folder / "t"), specs, (), LoadOptions(True, "null", buckets=2)
+    )
+    assert result.keys.first().is_key is False and result.keys.first().distinct_keys == 5
+    rejected = load_tables(
+        spark, {"child": related["child"]}, str(folder / "r"), specs, (), LoadOptions(True, "reject", buckets=2)
+    )
+    assert rejected.rows == {"child": 0} and rejected.rejects["child"].count() == 20
