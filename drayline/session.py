@@ -15,9 +15,6 @@ SESSION_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.scheduler.mode": "FAIR",
-    # The JVM does not compile methods above this size. Wide tables with many
-    # rules would exceed it; with the limit Spark splits their code instead.
-    "spark.sql.codegen.hugeMethodLimit": "8000",
     # A JSON object may repeat a key; the last one counts.
     "spark.sql.variant.allowDuplicateKeys": "true",
 }
@@ -44,14 +41,12 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     Only a local-mode session without that setting gets a temporary folder:
     on a cluster such a folder would be private to one machine.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="drayline-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(base)
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="drayline-"))
+        base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 

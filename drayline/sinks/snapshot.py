@@ -5,7 +5,7 @@ its files into a new part and then commits one manifest row that names the
 live part of each bucket; a write that dies leaves the table as it was. An
 upsert rewrites only the buckets its rows fall in. One writer at a time.
 
-    <path>/data/part=<token>/bucket=<n>/*.parquet
+    <path>/data/part=<token>/table_bucket=<n>/*.parquet
     <path>/manifest/version=<n>/*.parquet
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import Window
 
 from drayline.session import child_names, shared_dir
 
-BUCKET = "bucket"
+BUCKET = "table_bucket"
 BUCKET_BYTES = 256 * 1024 * 1024
 # Keys of an upsert source up to this many bytes are broadcast; beyond it the
 # old and new rows are shuffled once, by bucket.
@@ -50,6 +50,10 @@ class State:
     batches: dict[str, int]
 
 
+class ConcurrentWrite(RuntimeError):
+    """Another writer has committed since this one started."""
+
+
 class DuplicateKeys(ValueError):
     """The rows of an upsert repeat a key and nothing tells which is last."""
 
@@ -334,6 +338,9 @@ class SnapshotTable:
         batch_id: int | None = None,
     ) -> None:
         number = (state.commit_no if state else 0) + 1
+        folder = f"{self.path}/manifest/version={number:010d}"
+        if any(name.endswith(".parquet") for name in child_names(self.spark, folder)):
+            raise ConcurrentWrite(f"{self.path} has a commit {number} already")
         nullable = T.StructType([T.StructField(f.name, f.dataType, True, f.metadata) for f in schema])
         before = set(state.live) if state else set()
         added = sorted({bucket for bucket, part in live if (bucket, part) not in before})
@@ -352,7 +359,7 @@ class SnapshotTable:
             .withColumn("committed_at", F.current_timestamp())
             .coalesce(1)
             .write.mode("overwrite")
-            .parquet(f"{self.path}/manifest/version={number:010d}")
+            .parquet(folder)
         )
 
 

@@ -334,14 +334,21 @@ def infer_types_native(spark, sf_dir):
 
 @query(
     "infer_json_keys",
-    "select k as column_name, 'TEXT' as data_type, false as is_nullable "
-    "from (select distinct unnest(json_keys(props)) as k from events)",
+    """
+    with k as (select event_id, unnest(json_keys(props)) as key from events),
+    r as (select key, case json_type(props, '$.' || key) when 'NULL' then 0 when 'BOOLEAN' then 1
+        when 'UBIGINT' then 2 when 'BIGINT' then 2 when 'DOUBLE' then 3 else 5 end as r
+        from k join events using (event_id))
+    select key as column_name, case max(r) when 1 then 'BOOLEAN' when 2 then 'BIGINT'
+        when 3 then 'DOUBLE PRECISION' else 'TEXT' end as data_type,
+        min(r) = 0 or count(*) < (select count(*) from events) as is_nullable
+    from r group by key
+    """,
 )
 def infer_json_keys(spark, sf_dir):
     events = table(spark, sf_dir, "events").select(F.col("props").alias("record"), "event_id")
     keys = infer_record_keys(events, position=["event_id"])
-    # The values of the key decide its type; they are checked in infer_json_types.
-    return keys.select("column_name", F.lit("TEXT").alias("data_type"), "is_nullable")
+    return keys.select("column_name", "data_type", "is_nullable")
 
 
 @query(

@@ -7,7 +7,7 @@ from drayline.operators.ledger import Ledger, hash_batch, pending_rows, resumabl
 from drayline.operators.progress import RunHistory
 from drayline.plans.load import LoadOptions, column_warnings, dry_run, load_tables, write_mode
 from drayline.plans.spec import ColumnMapping, TableSpec
-from drayline.sinks.snapshot import DuplicateKeys, SnapshotTable, bucket_count, last_per_key
+from drayline.sinks.snapshot import ConcurrentWrite, DuplicateKeys, SnapshotTable, bucket_count, last_per_key
 
 
 def rows(df):
@@ -66,6 +66,22 @@ def test_failed_write_leaves_the_table(spark, people):
         assert people.read().count() == 100 and people.state().commit_no == 1
 
 
+def test_a_second_writer_is_noticed(spark, people):
+    one = changes(spark, [(1, "a", 1)])
+    stale = people.state()
+    people.upsert(one)
+    with pytest.raises(ConcurrentWrite):
+        people._commit(stale, "append", stale.schema, stale.keys, stale.buckets, stale.live, 0)
+
+
+def test_a_column_may_be_called_bucket(spark, folder):
+    df = spark.createDataFrame([(1, 2), (3, 4)], "bucket long, part int")
+    target = SnapshotTable(spark, str(folder / "b"))
+    target.overwrite(df, ["bucket"], 4)
+    target.upsert(df.withColumn("part", F.lit(9)))
+    assert rows(target.read()) == [(1, 9), (3, 9)]
+
+
 def test_repeated_batches_change_nothing(spark, people):
     one = changes(spark, [(1, "a", 1)])
     people.upsert(one, run_id="r", batch_id=0)
@@ -135,6 +151,14 @@ def test_resume(spark, folder):
     assert resumable_load(df, target, ledger, "r", "t", ["id"], 8) == 0
 
 
+def test_many_open_batches(spark, folder, monkeypatch):
+    monkeypatch.setattr("drayline.operators.ledger.FILTERED_BATCHES", 1)
+    df = spark.range(100).withColumn("v", F.col("id"))
+    target, ledger = SnapshotTable(spark, str(folder / "t")), Ledger(spark, str(folder / "l"))
+    assert resumable_load(df, target, ledger, "r", "t", ["id"], 8, waves=3) == 100
+    assert ledger.is_complete("r") and rows(target.read()) == rows(df)
+
+
 def test_resume_after_a_lost_mark(spark, folder):
     """The rows were committed, the ledger does not know: nothing is doubled."""
     df = spark.range(100).withColumn("v", F.col("id"))
