@@ -82,9 +82,9 @@ class TableSpec:
             raise ValueError(f"{self.name}: no such column: {', '.join(unknown)}")
         return [given.get(c, ColumnMapping(c)) for c in columns]
 
-    def target_keys(self) -> list[str]:
+    def target_names(self, columns: Sequence[str]) -> list[str]:
         renamed = {m.source: m.name for m in self.mappings}
-        return [renamed.get(k, k) for k in self.keys]
+        return [renamed.get(c, c) for c in columns]
 
 
 def default_mappings(

@@ -43,22 +43,26 @@ def _as_list(paths: Paths) -> list[str]:
 
 
 def csv_traits(spark: SparkSession, paths: Paths) -> DataFrame:
-    """Per file: is it UTF-8, and does a quoted cell span lines.
+    """Per file: is it UTF-8, does a quoted cell span lines, and its header's hash.
 
-    A line scan: the text source keeps raw bytes, so both are checked line by
+    A line scan: the text source keeps raw bytes, so all is checked line by
     line in parallel, and a file is never held as one value. A line with an
     odd number of quote signs opens or closes a cell that spans lines.
     """
     quotes = F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))
     lines = spark.read.text(_as_list(paths)).select(
         F.col("_metadata.file_path").alias("path"),
+        # Only lines of a file's first block can be its header.
+        F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id()).alias("line"),
         F.expr("is_valid_utf8(value)").alias("utf8"),
         (quotes % 2 == 1).alias("odd"),
+        "value",
     )
     return lines.groupBy("path").agg(
         F.every("utf8").alias("is_utf8"),
         F.some("odd").alias("spans_lines"),
         F.first(extension(F.col("path"))).alias("extension"),
+        F.md5(F.min_by("value", "line")).alias("header"),
     )
 
 
@@ -66,31 +70,30 @@ def read_csv(
     spark: SparkSession,
     paths: Paths,
     separator: str | None = None,
-    check_encoding: bool = True,
+    check_files: bool = True,
 ) -> DataFrame:
     """Delimited files with a header row, all cells as text.
 
     ``.tsv`` files are split at tabs, others at commas, unless a separator is
     given. Files that are not valid UTF-8 are read as Latin-1. Only files
-    with cells that span lines are read whole; all others are split. Missing
-    and empty cells are NULL. ``check_encoding=False`` skips the line scan
-    for files known to be UTF-8 without such cells.
+    with cells that span lines are read whole; all others are split. Files
+    may have different headers; a column a file lacks is NULL, and so are
+    missing and empty cells. ``check_files=False`` skips the line scan for
+    UTF-8 files of one header without such cells.
     """
-    if not check_encoding:
+    if not check_files:
         tabs = all(p.lower().endswith(".tsv") for p in _as_list(paths))
         sep = separator or ("\t" if tabs else ",")
         return _csv_reader(spark, sep, True, False).csv(_as_list(paths))
-    groups: dict[tuple[str, bool, bool], list[str]] = {}
+    groups: dict[tuple, list[str]] = {}
     for row in csv_traits(spark, paths).orderBy("path").toLocalIterator():
         sep = separator or ("\t" if row.extension == ".tsv" else ",")
-        groups.setdefault((sep, row.is_utf8, row.spans_lines), []).append(row.path)
+        kind = (sep, row.is_utf8, row.spans_lines, row.header)
+        groups.setdefault(kind, []).append(plain_path(row.path))
     if not groups:
         return _csv_reader(spark, separator or ",", True, False).csv(_as_list(paths))
-    # Fewest readers: one per kind of file. Headers may differ between them.
-    frames = [
-        _csv_reader(spark, sep, utf8, spans).csv([plain_path(p) for p in group])
-        for (sep, utf8, spans), group in groups.items()
-    ]
+    # Fewest readers: one per kind of file.
+    frames = [_csv_reader(spark, *kind[:3]).csv(group) for kind, group in groups.items()]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 

@@ -186,7 +186,7 @@ def list_files(spark, sf_dir):
     found = listing.list_files(spark, base, recursive=True, file_format=None)
     name = F.url_decode(F.regexp_extract("path", "file=([^/]*)/", 1))
     named = found.select("path", listing.detect_format(name).alias("format"), listing.table_name(name).alias("table_name"))
-    rows = files.read_csv(spark, f"{base}/*", check_encoding=False).select(
+    rows = files.read_csv(spark, f"{base}/*", check_files=False).select(
         F.col("_metadata.file_path").alias("path")
     )
     counts = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"))

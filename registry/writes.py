@@ -26,7 +26,7 @@ def write_customer(spark, sf_dir):
     """The flagship: map, clean and mask customers, write them by key, read back."""
     target = new_table(spark)
     rows = apply_spec(customer_rows(spark, sf_dir), CUSTOMER_SPEC).rows
-    target.write(rows, CUSTOMER_SPEC.target_keys(), fresh=True, buckets=BUCKETS)
+    target.write(rows, CUSTOMER_SPEC.target_names(CUSTOMER_SPEC.keys), fresh=True, buckets=BUCKETS)
     return target.read()
 
 

@@ -19,13 +19,18 @@ def test_csv_encodings_and_line_breaks(spark, folder):
     (folder / "a.csv").write_bytes("id,n\n1,café\n".encode("latin-1"))
     (folder / "b.csv").write_bytes('id,n\n2,café\n3\n4,"x\ny, ""z"""\n\n'.encode())
     (folder / "c.CSV").write_bytes(b"n,id,more\nx,5,y\n")
-    got = files.read_csv(spark, [str(folder / n) for n in ("a.csv", "b.csv", "c.CSV")])
-    assert got.columns == ["id", "n", "more"] or set(got.columns) == {"id", "n", "more"}
+    (folder / "d.csv").write_bytes(b"id,more\n6,z\n")
+    (folder / "empty.csv").write_bytes(b"")
+    got = files.read_csv(spark, str(folder))
+    assert set(got.columns) == {"id", "n", "more"}
     assert {(r.id, r.n, r.more) for r in got.collect()} == {
         ("1", "café", None), ("2", "café", None), ("3", None, None), ("4", 'x\ny, "z"', None), ("5", "x", "y"),
+        ("6", None, "z"),
     }
     traits = {r.path.split("/")[-1]: (r.is_utf8, r.spans_lines) for r in files.csv_traits(spark, str(folder)).collect()}
-    assert traits == {"a.csv": (False, False), "b.csv": (True, True), "c.CSV": (True, False)}
+    assert traits == {
+        "a.csv": (False, False), "b.csv": (True, True), "c.CSV": (True, False), "d.csv": (True, False),
+    }
 
 
 def test_tsv_and_odd_names(spark, folder):

@@ -200,7 +200,7 @@ def test_load(spark, folder, related):
 
 def test_failed_load(spark, folder, related):
     history = RunHistory(spark, str(folder / "h"))
-    specs = {**SPECS, "parent": TableSpec("parent", [ColumnMapping("n", action="transform", rules="abs")], keys=["pid"])}
+    specs = {**SPECS, "parent": TableSpec("parent", [ColumnMapping("n", action="transform", rules="abs")], keys=["pid"], not_null=["amount"])}
     result = load_tables(spark, related, str(folder / "t"), specs, [("child", "parent")], LoadOptions(buckets=2), history)
     assert result.status == "failed" and list(result.errors) == ["parent"] and result.rows == {}
     assert history.latest(1).first().status == "failed"
@@ -242,11 +242,12 @@ def test_load_files(spark, folder):
 
 
 def test_key_report_and_rejects_of_a_load(spark, folder, related):
-    specs = {"child": TableSpec("child", [ColumnMapping("amount", action="transform", rules="abs")], keys=["pid"])}
+    specs = {"child": TableSpec("child", [ColumnMapping("amount", action="transform", rules="abs")], keys=["pid"], not_null=["amount"])}
     result = load_tables(
         spark, {"child": related["child"]}, str(folder / "t"), specs, (), LoadOptions(True, "null", buckets=2)
     )
     assert result.keys.first().is_key is False and result.keys.first().distinct_keys == 5
+    assert [(r.column_name, r.null_count) for r in result.nulls.collect()] == [("amount", 20)]
     rejected = load_tables(
         spark, {"child": related["child"]}, str(folder / "r"), specs, (), LoadOptions(True, "reject", buckets=2)
     )
