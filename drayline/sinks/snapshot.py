@@ -27,6 +27,9 @@ from drayline.session import child_names, shared_dir
 
 BUCKET = "table_bucket"
 BUCKET_BYTES = 256 * 1024 * 1024
+# Beyond this many buckets, buckets grow instead. A shuffle by bucket has one
+# partition per bucket, and the manifest one entry.
+MAX_BUCKETS = 20_000
 # Keys of an upsert source up to this many bytes are broadcast; beyond it the
 # old and new rows are shuffled once, by bucket.
 BROADCAST_KEY_BYTES = 32 * 1024 * 1024
@@ -63,14 +66,19 @@ def key_bucket(keys: Sequence[str], buckets: int) -> Column:
     return F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in keys]), F.lit(buckets)).cast("int")
 
 
-def bucket_count(df: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> int:
-    """Buckets for a table from the size of its input files."""
+def partitions_by_size(df: DataFrame, partition_bytes: int = BUCKET_BYTES) -> int:
+    """How many partitions of a given size the input files of a plan make."""
     files = df.inputFiles()
     if not files:
         return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     listing = df.sparkSession.read.format("binaryFile").load(files)
     size = listing.agg(F.sum("length")).first()[0] or 0
-    return max(1, -(-size // bucket_bytes))
+    return max(1, -(-size // partition_bytes))
+
+
+def bucket_count(df: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> int:
+    """Buckets for a table that holds the rows of a plan."""
+    return min(MAX_BUCKETS, partitions_by_size(df, bucket_bytes))
 
 
 def last_per_key(
@@ -244,14 +252,18 @@ class SnapshotTable:
             part, live, rows = self._write_part(fresh, keys, state.buckets)
             live = state.live + live
         else:
+            bucket = key_bucket(keys, state.buckets)
             if key_bytes <= broadcast_bytes:
+                # Old rows stay in their tasks, which hold few buckets each;
+                # new rows are brought together by bucket.
                 kept = old.join(F.broadcast(source.select(*keys)), keys, "left_anti")
-                merged = kept.select(*state.schema.names).unionByName(source.hint("rebalance"))
-                part, live, rows = self._write_part(merged, keys, state.buckets, clustered=True)
+                kept = kept.select(*state.schema.names, bucket.alias(BUCKET))
+                fresh = source.withColumn(BUCKET, bucket).hint("rebalance", BUCKET)
+                merged = kept.unionByName(fresh)
             else:
-                part, live, rows = self._write_part(
-                    _newest(old, source, keys, key_bucket(keys, state.buckets)), keys, state.buckets, clustered=True
-                )
+                sized = partitions_by_size(old) + partitions_by_size(source)
+                merged = _newest(old, source, keys, bucket, len(affected), sized)
+            part, live, rows = self._write_part(merged, keys, state.buckets)
             replaced = set(affected)
             live = tuple(e for e in state.live if e[0] not in replaced) + live
         self._commit(state, "upsert", state.schema, keys, state.buckets, live, rows, run_id, batch_id)
@@ -305,7 +317,7 @@ class SnapshotTable:
         return [r[BUCKET] for r in found], sum(r.bytes for r in found)
 
     def _write_part(
-        self, df: DataFrame, keys: Sequence[str], buckets: int, clustered: bool = False
+        self, df: DataFrame, keys: Sequence[str], buckets: int
     ) -> tuple[str, tuple[tuple[int, str], ...], int]:
         part = uuid.uuid4().hex
         folder = f"{self.path}/data/part={part}"
@@ -313,15 +325,15 @@ class SnapshotTable:
         if not keys:
             df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(folder)
             return part, ((0, part),), seen.get["rows"]
-        rows = df.withColumn(BUCKET, key_bucket(keys, buckets))
-        if not clustered:
-            # Rebalance keeps a bucket together, splits an oversized one over
-            # several tasks and joins small ones.
-            rows = rows.hint("rebalance", BUCKET)
+        rows = df
+        if BUCKET not in df.columns:
+            # Rebalance keeps a bucket together, splits an oversized one into
+            # several files and joins small ones into one task.
+            rows = df.withColumn(BUCKET, key_bucket(keys, buckets)).hint("rebalance", buckets, BUCKET)
         rows = rows.observe(seen, F.count(F.lit(1)).alias("rows"))
         rows.write.partitionBy(BUCKET).parquet(folder)
         # The file listing, not the data, says which buckets got rows.
-        files = self.spark.read.schema(df.schema).parquet(folder).inputFiles()
+        files = self.spark.read.schema(rows.drop(BUCKET).schema).parquet(folder).inputFiles()
         found = {int(m.group(1)) for m in (re.search(rf"/{BUCKET}=(\d+)/", f) for f in files) if m}
         return part, tuple((b, part) for b in sorted(found)), seen.get["rows"]
 
@@ -363,14 +375,20 @@ class SnapshotTable:
         )
 
 
-def _newest(old: DataFrame, source: DataFrame, keys: list[str], bucket: Column) -> DataFrame:
+def _newest(
+    old: DataFrame, source: DataFrame, keys: list[str], bucket: Column, buckets: int, sized: int
+) -> DataFrame:
     """Old and new rows with the new one kept per key, in one shuffle.
 
-    Both sides are hashed by bucket, which is how the result is written; the
-    window needs rows of a key together, which that already gives.
+    Rows are shuffled by bucket, which is how the result is written, and the
+    window needs rows of a key together, which that already gives. Buckets
+    larger than a partition should be are cut into slices of their keys.
     """
+    slices = -(-max(sized, buckets) // buckets)
+    piece = F.pmod(F.hash(*[F.col(f"`{k}`") for k in keys]), F.lit(slices))
     both = old.withColumn("_new", F.lit(0)).unionByName(source.withColumn("_new", F.lit(1)))
-    both = both.withColumn("_bucket", bucket).repartition("_bucket")
-    newest = Window.partitionBy("_bucket", *[F.col(f"`{k}`") for k in keys]).orderBy(F.desc("_new"))
-    ranked = both.withColumn("_rank", F.row_number().over(newest))
-    return ranked.where("_rank = 1").drop("_new", "_rank", "_bucket")
+    both = both.withColumns({BUCKET: bucket, "_slice": piece})
+    both = both.repartition(buckets * slices, BUCKET, "_slice")
+    newest = Window.partitionBy(BUCKET, "_slice", *[F.col(f"`{k}`") for k in keys])
+    ranked = both.withColumn("_rank", F.row_number().over(newest.orderBy(F.desc("_new"))))
+    return ranked.where("_rank = 1").drop("_new", "_rank", "_slice")

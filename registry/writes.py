@@ -236,3 +236,19 @@ def resumed_load(spark, sf_dir):
     batches.resumable_load(orders, target, book, *arguments)
     assert book.is_complete("run-1")
     return target.read()
+
+
+@query(
+    "view_as_table",
+    "select o_orderkey, c_name, o_totalprice from orders join customer on c_custkey = o_custkey "
+    "where c_mktsegment = 'BUILDING'",
+)
+def view_as_table(spark, sf_dir):
+    """A view is read like a table and written as one."""
+    from drayline.sources.catalog import materialize_view
+
+    orders, customers = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    joined = orders.join(customers, orders.o_custkey == customers.c_custkey)
+    view = joined.where("c_mktsegment = 'BUILDING'").select("o_orderkey", "c_name", "o_totalprice")
+    view.createOrReplaceTempView("building_orders")
+    return materialize_view(spark, "building_orders", shared_dir(spark, "view"))
