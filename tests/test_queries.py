@@ -5,6 +5,7 @@ from compare import connect, differences
 from conftest import SF_DIR
 
 import __spark_entry__ as contract
+import registry
 
 SQL = contract.oracle_sql()
 
@@ -14,7 +15,7 @@ def con():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(spark, con, name):
     df = contract.queries()[name](spark, SF_DIR)
     assert name in SQL
