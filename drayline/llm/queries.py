@@ -27,4 +27,6 @@ def query(name: str, sql: str | None = None):
 def load_all() -> None:
     from drayline.llm import (  # noqa: F401
         query_mixing,
+        query_quality_rules,
+        query_simhash,
     )
