@@ -28,6 +28,7 @@ def load_all() -> None:
     from drayline.llm import (  # noqa: F401
         query_mixing,
         query_quality_rules,
+        query_segmentation,
         query_quality_classifier,
         query_simhash,
     )
