@@ -31,4 +31,5 @@ def load_all() -> None:
         query_segmentation,
         query_quality_classifier,
         query_simhash,
+        query_token_files,
     )
