@@ -68,7 +68,7 @@ def write_file(folder: str, name: str, chunks) -> int:
     system, root = filesystem(folder)
     system.create_dir(root, recursive=True)
     size = 0
-    with system.open_output_stream(posixpath.join(root, name)) as out:
+    with system.open_output_stream(posixpath.join(root, name), compression=None) as out:
         for chunk in chunks:
             out.write(chunk)
             size += len(chunk)

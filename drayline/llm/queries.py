@@ -33,4 +33,5 @@ def load_all() -> None:
         query_quality_classifier,
         query_simhash,
         query_token_files,
+        query_warc,
     )
