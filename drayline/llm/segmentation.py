@@ -28,7 +28,9 @@ import zlib
 from bisect import insort
 from dataclasses import dataclass
 from functools import lru_cache
-from operator import attrgetter, itemgetter
+from heapq import nsmallest
+from itertools import count
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -39,13 +41,14 @@ from drayline.llm.base import column_udf, struct_array, texts_of
 
 BLANK = "▁"
 UNKNOWN_PENALTY = 10.0
+NEVER = float("-inf")
 
 
 @dataclass(frozen=True)
 class SegmentOptions:
     model: str = ""  # path of the model file; empty: the public 32k model
     paths: int = 4  # N
-    remembered: int = 1_000_000  # stretches a worker remembers
+    remembered: int = 400_000  # stretches a worker remembers; twice as many at most
 
 
 def model_path(options: SegmentOptions) -> str:
@@ -56,15 +59,9 @@ def model_path(options: SegmentOptions) -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-class Stretch:
-    """The N best segmentations of a stretch: ids as little-endian 32-bit numbers, and their scores."""
-
-    __slots__ = ("ids", "score", "loss", "others")
-
-    def __init__(self, found: list[tuple[float, bytes]]):
-        self.score, self.ids = found[0]
-        self.loss = self.score - found[1][0] if len(found) > 1 else np.inf
-        self.others = found[1:]
+#: A solved stretch: ids of its best segmentation as little-endian numbers, their score, and how much the second
+#: best loses against it (infinite if there is none).
+Solved = tuple[bytes, float, float]
 
 
 class Segmenter:
@@ -91,36 +88,45 @@ class Segmenter:
                 self.spelling.append(piece.replace(BLANK, " ").encode())
         if any(BLANK in p.lstrip(BLANK) for p in self.pieces):
             raise ValueError("a piece of this model holds a blank after another character")
-        #: A piece's ids and score; 0 for what pieces only start with.
-        self.known: dict[str, tuple[bytes, float] | int] = {p[:n]: 0 for p in self.pieces for n in range(1, len(p))}
-        self.known |= {p: (i.to_bytes(4, "little"), score) for p, (i, score) in self.pieces.items()}
+        #: Pieces as nested dictionaries by character; what a piece ends at has its ids and score under 0.
+        self.longest = max(map(len, self.pieces))
+        self.root: dict = {}
+        for piece, (i, score) in self.pieces.items():
+            node = self.root
+            for char in piece:
+                node = node.setdefault(char, {})
+            node[0] = (i.to_bytes(4, "little"), score)
         self.unknown = min(score for _, score in self.pieces.values()) - UNKNOWN_PENALTY
         alone = not any("\n" in p for p in self.pieces if len(p) > 1)  # then every path also stops at line ends
         self.stretches = re.compile(
             rf"\n|{BLANK}+[^{BLANK}\n]*|[^{BLANK}\n]+" if alone else rf"{BLANK}+[^{BLANK}]*|[^{BLANK}]+"
         )
         self.remembered = remembered
-        self.memories: dict[int, dict[str, Stretch]] = {}
+        # two generations: what is met again moves to the young one, and the old one is dropped when that is full
+        self.young: dict[str, Solved] = {}
+        self.old: dict[str, Solved] = {}
 
     def search(self, text: str, paths: int) -> list[tuple[float, bytes]]:
         """The best segmentations of a stretch, best first."""
-        size, known = len(text), self.known
-        best = [-np.inf] * (size + 1)
+        size, root, pieces, longest = len(text), self.root, self.pieces, self.longest
+        best = [NEVER] * (size + 1)
         best[0] = 0.0
         # by end position: the best score through an edge, its start, its ids
         ends: list[list[tuple[float, int, bytes]]] = [[] for _ in range(size + 1)]
         for i in range(size):
-            before = best[i]
-            for j in range(i + 1, size + 1):
-                piece = known.get(text[i:j])
-                if piece is None:  # no piece starts like this
+            before, node, j = best[i], root, i
+            for char in text[i : i + longest]:
+                node = node.get(char)
+                if node is None:  # no piece starts like this
                     break
-                if piece:
+                j += 1
+                piece = node.get(0)
+                if piece is not None:
                     through = before + piece[1]
                     ends[j].append((through, i, piece[0]))
                     if through > best[j]:
                         best[j] = through
-            if not known.get(text[i]):
+            if text[i] not in pieces:
                 through = before + self.unknown
                 ends[i + 1].append((through, i, self.bytes_of(text[i])))
                 if through > best[i + 1]:
@@ -157,65 +163,61 @@ class Segmenter:
         """The ids of a character spelled in bytes."""
         return b"".join(self.byte_ids[b].to_bytes(4, "little") for b in char.encode("utf-8", "surrogatepass"))
 
-    def solve(self, stretches: list[str], paths: int) -> list[Stretch]:
-        memory = self.memories.setdefault(paths, {})
-        missing = {s for s in stretches if s not in memory}
-        if missing:
-            if len(memory) + len(missing) > self.remembered:
-                memory.clear()
-                missing = set(stretches)
-            for text in missing:
-                memory[text] = Stretch(self.search(text, paths))
-        return list(map(memory.__getitem__, stretches))
+    def solve(self, stretches: list[str]) -> list[Solved]:
+        """Best segmentation and second-best loss of each stretch; each distinct one is searched once."""
+        found = list(map(self.young.get, stretches))
+        if None in found:
+            for text in {t for t, f in zip(stretches, found, strict=True) if f is None}:
+                known = self.old.get(text)
+                if known is None:
+                    (score, ids), *second = self.search(text, 2)
+                    known = (ids, score, score - second[0][0] if second else -NEVER)
+                if len(self.young) >= self.remembered:
+                    self.old, self.young = self.young, {}
+                self.young[text] = known
+            for k, text in enumerate(stretches):
+                if found[k] is None:
+                    found[k] = self.young.get(text) or self.old[text]
+        return found
 
     def encode(self, text: str, paths: int) -> list[tuple[float, bytes]]:
         """The N best segmentations of a whole text: score and ids, best first."""
         if not text:
             return [(0.0, b"")]
-        own = text.split(BLANK)  # a text's own U+2581 is spelled in bytes
-        mark = self.bytes_of(BLANK)
-        found: list[Stretch] = []
-        for k, part in enumerate(own):
+        stretches: list[str] = []
+        found: list[Solved] = []
+        for k, part in enumerate(text.split(BLANK)):  # a text's own U+2581 is spelled in bytes
             if k:
-                found.append(Stretch([(self.unknown, mark)]))
-            spelled = part.replace(" ", BLANK)
-            spelled = spelled if k else BLANK + spelled
-            if spelled:
-                found += self.solve(self.stretches.findall(spelled), paths)
-        losses = np.fromiter(map(stretch_loss, found), np.float64, len(found))
-        best = b"".join(map(stretch_ids, found))
-        total = float(np.fromiter(map(stretch_score, found), np.float64, len(found)).sum())
-        count = min(paths - 1, int(np.isfinite(losses).sum()))
-        if count < 1:
+                stretches.append("")
+                found.append((self.bytes_of(BLANK), self.unknown, -NEVER))
+            spelled = part.replace(" ", BLANK) if k else BLANK + part.replace(" ", BLANK)
+            some = self.stretches.findall(spelled)
+            stretches += some
+            found += self.solve(some)
+        ids, scores, losses = zip(*found, strict=True)
+        total, best = float(sum(scores)), b"".join(ids)
+        if paths == 1:
             return [(total, best)]
-        if count < len(losses):
-            # the smallest losses, the first ones among equals
-            edge = np.partition(losses, count - 1)[count - 1]
-            below, level = np.flatnonzero(losses < edge), np.flatnonzero(losses == edge)
-            chosen = np.sort(np.concatenate([below, level[: count - len(below)]]))
-        else:
-            chosen = np.arange(len(losses))
+        # only the stretches with the smallest losses, the first ones among equals, can differ from the best
         combined: list[tuple[float, tuple]] = [(0.0, ())]
-        for where in chosen.tolist():
-            part = found[where]
-            options = [(0.0, None)] + [(part.score - s, k) for k, (s, _) in enumerate(part.others)]
+        for loss, where in sorted(nsmallest(paths - 1, zip(losses, count(), strict=False)), key=itemgetter(1)):
+            if loss == -NEVER:
+                continue
+            (top, _), *others = self.search(stretches[where], paths)
+            options = [(0.0, None)] + [(top - score, other) for score, other in others]
             both = [
-                (loss + more, changes if k is None else (*changes, (where, k)))
-                for loss, changes in combined
-                for more, k in options
+                (lost + more, changes if other is None else (*changes, (where, other)))
+                for lost, changes in combined
+                for more, other in options
             ]
             both.sort(key=itemgetter(0))
             combined = both[:paths]
-        offsets = np.zeros(len(found) + 1, np.int64)
-        np.cumsum(np.fromiter((len(s.ids) for s in found), np.int64, len(found)), out=offsets[1:])
-        results = []
-        for loss, changes in combined:
-            at, parts = 0, []
-            for where, k in changes:
-                parts += [best[at : offsets[where]], found[where].others[k][1]]
-                at = int(offsets[where + 1])
-            parts.append(best[at:])
-            results.append((total - loss, b"".join(parts)))
+        results = [(total, best)]
+        for lost, changes in combined[1:]:
+            changed = list(ids)
+            for where, other in changes:
+                changed[where] = other
+            results.append((total - lost, b"".join(changed)))
         return results
 
     def decode_bytes(self, ids: bytes) -> bytes:
@@ -226,9 +228,6 @@ class Segmenter:
         return self.decode_bytes(ids)[1:].decode("utf-8", "surrogatepass") if ids else ""
 
 
-stretch_ids, stretch_score, stretch_loss = map(attrgetter, ("ids", "score", "loss"))
-
-
 @lru_cache(maxsize=4)
 def segmenter(path: str, remembered: int) -> Segmenter:
     """One per worker process and model."""
