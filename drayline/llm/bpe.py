@@ -29,13 +29,18 @@ def _word_pattern() -> re.Pattern:
 
 
 class ByteBpe:
-    """Encodes texts with one tokenizer file; special tokens' strings in a text become their ids, as in the library."""
+    """Encodes texts with one tokenizer file.
 
-    def __init__(self, path: str, remembered: int = 1_000_000):
+    Special tokens' strings in a text become their ids, as in the library, unless ``plain`` says that they are
+    ordinary text.
+    """
+
+    def __init__(self, path: str, remembered: int, plain: bool):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.library.encode_special_tokens = plain
         with open(path, encoding="utf-8") as file:
             settings = json.load(file)
         split = settings["pre_tokenizer"] or {}
@@ -46,7 +51,7 @@ class ByteBpe:
             and not split.get("add_prefix_space")
             and settings["model"]["type"] == "BPE"
         )
-        special = [re.escape(t["content"]) for t in settings["added_tokens"]]
+        special = [] if plain else [re.escape(t["content"]) for t in settings["added_tokens"]]
         self.whole = re.compile("|".join([*special, f"[^\\x00-{chr(PLAIN_END - 1)}]"]))
         self.size = self.library.get_vocab_size()
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
@@ -104,6 +109,6 @@ class ByteBpe:
 
 
 @lru_cache(maxsize=2)
-def byte_bpe(path: str) -> ByteBpe:
-    """One per worker process and file."""
-    return ByteBpe(path)
+def byte_bpe(path: str, plain: bool = False, remembered: int = 600_000) -> ByteBpe:
+    """One per worker process and file; ``remembered`` words stay in its memory."""
+    return ByteBpe(path, remembered, plain)

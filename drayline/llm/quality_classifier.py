@@ -248,10 +248,9 @@ def scored(documents: DataFrame, model: Model, options: ClassifierOptions = Clas
 
 
 def keep_predicted(
-    documents: DataFrame, labels: DataFrame, options: ClassifierOptions = ClassifierOptions()
+    documents: DataFrame, model: Model, options: ClassifierOptions = ClassifierOptions()
 ) -> DataFrame:
     """The rows predicted good, with the input's columns."""
-    model = train(documents, labels, options)
     own = [F.col(c).alias(f"_own_{i}") for i, c in enumerate(documents.columns)]
     marked = scored(documents.select("doc_id", "text", *own), model, options)
     return marked.where("predicted = 1").select(*(F.col(f"_own_{i}").alias(c) for i, c in enumerate(documents.columns)))

@@ -32,6 +32,7 @@ def load_all() -> None:
         query_quality_rules,
         query_segmentation,
         query_quality_classifier,
+        query_separators,
         query_simhash,
         query_token_files,
         query_warc,
