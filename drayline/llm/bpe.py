@@ -13,6 +13,7 @@ import numpy as np
 #: Below this character the classes of letters, numbers and blanks have long been settled in Unicode; texts
 #: with others go to the library whole.
 PLAIN_END = 0x370
+GROUP_CHARS = 1 << 20
 
 
 def _class(kind: str) -> str:
@@ -62,7 +63,9 @@ class ByteBpe:
             lengths[i] = len(piece)  # one character stands for one byte
         self.lengths = np.array(lengths)
         self.remembered = remembered
-        self.memory: dict[str, bytes] = {}
+        # two generations: words met again move to the young one, and the old one is dropped when that is full
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _raw(self, texts: list[str]) -> list[np.ndarray]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
@@ -70,7 +73,7 @@ class ByteBpe:
 
     def _learn(self, words: list[str]) -> None:
         """Encode new words. Those of a blank and letters are put into one text: the split parts them again."""
-        memory = self.memory
+        memory = self.young
         spaced = [w for w in words if self.spaced.fullmatch(w)]
         for start in range(0, len(spaced), 4096):
             some = spaced[start : start + 4096]
@@ -86,29 +89,48 @@ class ByteBpe:
         for word, ids in zip(rest, self._raw(rest), strict=True):
             memory[word] = ids.tobytes()
 
+    def _remember(self, words: set[str]) -> None:
+        """Bring words into the young memory."""
+        if len(self.young) >= self.remembered:
+            self.old, self.young = self.young, {}
+        new = []
+        for word in words:
+            if word not in self.young:
+                known = self.old.get(word)
+                if known is None:
+                    new.append(word)
+                else:
+                    self.young[word] = known
+        if new:
+            self._learn(new)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian numbers of ``kind``."""
-        whole = {i for i, t in enumerate(texts) if not self.by_words or self.whole.search(t)}
-        results: list[bytes] = [b""] * len(texts)
-        for i, ids in zip(sorted(whole), self._raw([texts[i] for i in sorted(whole)]), strict=True):
+        results: list[bytes] = []
+        start = 0
+        while start < len(texts):  # some texts at a time, so that their new words are learned together
+            end, chars = start, 0
+            while end < len(texts) and chars < GROUP_CHARS:
+                chars += len(texts[end])
+                end += 1
+            results += self._encode_group(texts[start:end])
+            start = end
+        return results
+
+    def _encode_group(self, texts: list[str]) -> list[bytes]:
+        whole = [i for i, t in enumerate(texts) if not self.by_words or self.whole.search(t)]
+        by_library = set(whole)
+        split = {i: self.words.findall(t) for i, t in enumerate(texts) if i not in by_library}
+        self._remember(set().union(*split.values()))
+        results = [b""] * len(texts)
+        for i, words in split.items():
+            results[i] = b"".join(map(self.young.__getitem__, words))
+        for i, ids in zip(whole, self._raw([texts[i] for i in whole]), strict=True):
             results[i] = ids.tobytes()
-        for i, text in enumerate(texts):
-            if i in whole:
-                continue
-            words, memory = self.words.findall(text), self.memory
-            try:
-                results[i] = b"".join(map(memory.__getitem__, words))
-            except KeyError:
-                missing = {w for w in words if w not in memory}
-                if len(memory) + len(missing) > self.remembered:
-                    memory.clear()
-                    missing = set(words)
-                self._learn(sorted(missing))
-                results[i] = b"".join(map(memory.__getitem__, words))
         return results
 
 
 @lru_cache(maxsize=2)
-def byte_bpe(path: str, plain: bool = False, remembered: int = 600_000) -> ByteBpe:
-    """One per worker process and file; ``remembered`` words stay in its memory."""
+def byte_bpe(path: str, plain: bool = False, remembered: int = 400_000) -> ByteBpe:
+    """One per worker process and file; it remembers ``remembered`` words, twice as many at most."""
     return ByteBpe(path, remembered, plain)
