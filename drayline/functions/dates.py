@@ -11,19 +11,24 @@ from pyspark.sql import types as T
 from drayline.functions.rules import Cell
 from drayline.functions.text import as_text, strip
 
-# Default formats, output names, the longest text that is
-# parsed, and the formats tried when the given one does not fit.
+# Default formats, output names, and the formats tried when the
+# given one does not fit.
 DEFAULT_SOURCE = "YYYY-MM-DD HH:mm:ss"
 DEFAULT_TARGET = "ISO 8601"
 UNIX = "UNIX"
 DATE_ONLY = "YYYY-MM-DD"
-PARSED_LENGTH = 26
 FALLBACK_PATTERNS = (
     "yyyy-M-d H:m:s",
     "yyyy-M-d H:m:s.SSSSSS",
     "yyyy-M-d",
     "yyyy-M-d'T'H:m:s",
 )
+# Fractions of any length and zones, after a blank or a T.
+ZONED_PATTERNS = tuple(
+    f"yyyy-M-d{gap}H:m:s[.SSSSSSSSS][.SSSSSS][.SSSSS][.SSSS][.SSS][.SS][.S]{zone}"
+    for gap in (" ", "'T'")
+    for zone in ("", "XXX", "XX", "X", " XXX")
+)
 
 # User token or percent directive -> field letter and full width.
 _FIELDS = {
@@ -64,10 +69,9 @@ def _literal(text: str) -> str:
 
 
 def parse_date(text: Column, user_format: str) -> Column:
-    """Timestamp read with the given format or a fallback; NULL if none fits."""
-    s = F.substring(text, 1, PARSED_LENGTH)
-    patterns = dict.fromkeys((spark_pattern(user_format), *FALLBACK_PATTERNS))
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(p)) for p in patterns])
+    """Timestamp read with the given format or a fallback; NULL if none fits the whole text."""
+    patterns = dict.fromkeys((spark_pattern(user_format), *FALLBACK_PATTERNS, *ZONED_PATTERNS))
+    return F.coalesce(*[F.try_to_timestamp(text, F.lit(p)) for p in patterns])
 
 
 def convert_date(

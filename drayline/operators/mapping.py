@@ -13,7 +13,7 @@ from drayline.functions.dates import convert_date
 from drayline.functions.nested import flatten_nested
 from drayline.functions.rules import Cell, Stages, apply_chain
 from drayline.functions.text import as_text, strip, text_to_bigint, text_to_double
-from drayline.plans.dialects import DEFAULT_STRING, POSTGRESQL, spark_type
+from drayline.plans.dialects import DEFAULT_STRING, POSTGRESQL, spark_type, sql_type, translate_type
 from drayline.plans.spec import TRANSFORM, ColumnMapping, TableSpec
 
 ON_ERROR = ("fail", "null", "reject")
@@ -66,14 +66,14 @@ def cast_cell(cell: Cell, wanted: T.DataType, rule: str) -> Cell:
     return cell.convert(rule, source, value, wanted)
 
 
-def build_cell(
+def shaped_cell(
     df: DataFrame,
     mapping: ColumnMapping,
     spec: TableSpec,
     keep_arrays: bool,
     stages: Stages | None = None,
 ) -> Cell:
-    """The target cell of one mapping."""
+    """A mapping's cell with default, rules and nesting applied, before its target type."""
     dtype = df.schema[mapping.source].dataType
     cell = Cell(F.col(f"`{mapping.source}`"), dtype, mapping.source, stages)
     if mapping.source in spec.defaults:
@@ -85,11 +85,36 @@ def build_cell(
         else:
             cell = apply_chain(cell, mapping.rules, strict=spec.strict_rules)
     value, flat_type = flatten_nested(cell.value, cell.dtype, keep_arrays)
-    cell = cell.to(value, flat_type)
+    return cell.to(value, flat_type)
+
 
-    wanted = mapping.target_type
+def target_type(mapping: ColumnMapping, dtype: T.DataType, spec: TableSpec) -> str | None:
+    """The SQL type a shaped cell is cast to, for dry runs and loads alike.
+
+    A user-defined type becomes text, a named type wins, else the type is
+    translated when the table has a target dialect.
+    """
     if mapping.source in spec.user_defined:
-        wanted = DEFAULT_STRING[spec.target_dialect or POSTGRESQL]
+        return DEFAULT_STRING[spec.target_dialect or POSTGRESQL]
+    if mapping.target_type or not spec.target_dialect:
+        return mapping.target_type or None
+    return translate_type(sql_type(dtype), POSTGRESQL, spec.target_dialect)
+
+
+def keeps_arrays(spec: TableSpec) -> bool:
+    return (spec.target_dialect or POSTGRESQL) == POSTGRESQL
+
+
+def build_cell(
+    df: DataFrame,
+    mapping: ColumnMapping,
+    spec: TableSpec,
+    keep_arrays: bool,
+    stages: Stages | None = None,
+) -> Cell:
+    """The target cell of one mapping."""
+    cell = shaped_cell(df, mapping, spec, keep_arrays, stages)
+    wanted = target_type(mapping, cell.dtype, spec)
     if wanted:
         wanted_type = spark_type(wanted, spec.target_dialect or POSTGRESQL)
         cell = cast_cell(cell, wanted_type, f"cast to {wanted}")
@@ -123,7 +148,7 @@ def apply_spec(df: DataFrame, spec: TableSpec, on_error: str = "fail") -> Mapped
     """
     if on_error not in ON_ERROR:
         raise ValueError(f"on_error must be one of {', '.join(ON_ERROR)}")
-    keep_arrays = (spec.target_dialect or POSTGRESQL) == POSTGRESQL
+    keep_arrays = keeps_arrays(spec)
     stages = None if on_error == "fail" else Stages()
     cells: dict[str, Cell] = {}
     for mapping in spec.for_columns(df.columns):
@@ -150,6 +175,12 @@ def apply_spec(df: DataFrame, spec: TableSpec, on_error: str = "fail") -> Mapped
     return Mapped(kept, rejects, tagged)
 
 
+def split_tagged(tagged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Good rows and rejects of tagged rows that were written once."""
+    faulty = F.size(FAULTS) > 0
+    return tagged.where(~faulty).drop(FAULTS), tagged.where(faulty)
+
+
 def _settled(df: DataFrame, columns: list[Column]) -> DataFrame:
     """A projection that a later filter on its columns stays above.
 

@@ -57,3 +57,19 @@ def child_names(spark: SparkSession, path: str) -> list[str]:
     if not system.exists(folder):
         return []
     return sorted(status.getPath().getName() for status in system.listStatus(folder))
+
+
+def rename_folder(spark: SparkSession, source: str, target: str) -> bool:
+    """Give a folder a new name, unless one with that name is there: False then.
+
+    On file systems with an atomic rename (HDFS, local disks) only one of
+    several callers succeeds.
+    """
+    old, new = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (source, target))
+    system = new.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(new.getParent())
+    if system.exists(new) or not system.rename(old, new):
+        return False
+    # A rename onto a folder that came up meanwhile puts the old one inside it.
+    nested = spark._jvm.org.apache.hadoop.fs.Path(new, old.getName())
+    return not system.exists(nested)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from drayline.session import child_names, shared_dir
+from drayline.session import child_names, rename_folder, shared_dir
 
 BUCKET = "table_bucket"
 BUCKET_BYTES = 256 * 1024 * 1024
@@ -67,12 +67,10 @@ def key_bucket(keys: Sequence[str], buckets: int) -> Column:
 
 
 def partitions_by_size(df: DataFrame, partition_bytes: int = BUCKET_BYTES) -> int:
-    """How many partitions of a given size the input files of a plan make."""
-    files = df.inputFiles()
-    if not files:
+    """How many partitions of a given size the plan's estimate makes; files are not listed again."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 2**62:  # nothing is known about the input
         return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    listing = df.sparkSession.read.format("binaryFile").load(files)
-    size = listing.agg(F.sum("length")).first()[0] or 0
     return max(1, -(-size // partition_bytes))
 
 
@@ -183,6 +181,10 @@ class SnapshotTable:
         if not self.exists():
             self._commit(None, "create", schema, keys, buckets, (), 0)
 
+    def clear(self, schema: T.StructType, keys: Sequence[str] = (), buckets: int = 1) -> None:
+        """An empty table in place of the one there."""
+        self._commit(self.state(), "clear", schema, keys, buckets, (), 0)
+
     def overwrite(
         self,
         df: DataFrame,
@@ -226,7 +228,9 @@ class SnapshotTable:
     ) -> int:
         """Merge rows by key into the buckets they fall in (K4, K5, K7).
 
-        Repeated keys need a ``sequence`` that tells the last one. A repeated
+        Repeated keys need a ``sequence`` that tells the last one; a row that is
+        older by it than the stored row of its key is left out, so the answer
+        doesn't depend on how rows fall into calls. A repeated
         ``(run_id, batch_id)`` changes nothing. The source is reduced to one
         row per key and staged, then merged in one of two ways: when its keys
         are small they are broadcast and old rows are not shuffled; else old
@@ -245,6 +249,8 @@ class SnapshotTable:
         source = self.spark.read.schema(state.schema).parquet(staged_path)
         affected, key_bytes = self._affected(source, state, unique=bool(sequence))
         old = self._read(state, affected)
+        if sequence in state.schema.names and sequence not in keys:
+            source = self._not_older(source, old, keys, sequence, key_bytes <= broadcast_bytes)
         rest = [c for c in state.schema.names if c not in keys]
         if not rest or not update:
             # Insert only: existing rows stay where they are.
@@ -298,6 +304,24 @@ class SnapshotTable:
         mine = self.manifest().where(F.col("run_id") == run_id)
         return {r[0] for r in mine.select(F.explode("added")).distinct().collect()}
 
+    def _not_older(
+        self, source: DataFrame, old: DataFrame, keys: list[str], sequence: str, small: bool
+    ) -> DataFrame:
+        """Source rows no stored row of their key is newer than, staged.
+
+        Only keys and sequence of the stored rows are read. Equal sequences
+        count as newer: the later write wins.
+        """
+        named = F.broadcast(source.select(*keys)) if small else source.select(*keys)
+        met = old.select(*keys, sequence).join(named, keys, "left_semi")
+        stored = met.groupBy(*keys).agg(F.max(sequence).alias("_stored"))
+        newest = source.join(stored, keys, "left").where(
+            F.col("_stored").isNull() | (F.col(f"`{sequence}`") >= F.col("_stored"))
+        )
+        path = shared_dir(self.spark, "upsert")
+        newest.drop("_stored").select(*source.columns).write.parquet(path)
+        return self.spark.read.schema(source.schema).parquet(path)
+
     def _affected(self, source: DataFrame, state: State, unique: bool) -> tuple[list[int], int]:
         """Buckets the source falls in, and the bytes of its keys.
 
@@ -351,8 +375,7 @@ class SnapshotTable:
     ) -> None:
         number = (state.commit_no if state else 0) + 1
         folder = f"{self.path}/manifest/version={number:010d}"
-        if any(name.endswith(".parquet") for name in child_names(self.spark, folder)):
-            raise ConcurrentWrite(f"{self.path} has a commit {number} already")
+        staged = f"{self.path}/commits/{uuid.uuid4().hex}"
         nullable = T.StructType([T.StructField(f.name, f.dataType, True, f.metadata) for f in schema])
         before = set(state.live) if state else set()
         added = sorted({bucket for bucket, part in live if (bucket, part) not in before})
@@ -371,14 +394,16 @@ class SnapshotTable:
             .withColumn("committed_at", F.current_timestamp())
             .coalesce(1)
             .write.mode("overwrite")
-            .parquet(folder)
+            .parquet(staged)
         )
+        if not rename_folder(self.spark, staged, folder):
+            raise ConcurrentWrite(f"{self.path} has a commit {number} already")
 
 
 def _newest(
     old: DataFrame, source: DataFrame, keys: list[str], bucket: Column, buckets: int, sized: int
 ) -> DataFrame:
-    """Old and new rows with the new one kept per key, in one shuffle.
+    """New rows, and the old ones whose key no new row has, in one shuffle.
 
     Rows are shuffled by bucket, which is how the result is written, and the
     window needs rows of a key together, which that already gives. Buckets
@@ -389,6 +414,8 @@ def _newest(
     both = old.withColumn("_new", F.lit(0)).unionByName(source.withColumn("_new", F.lit(1)))
     both = both.withColumns({BUCKET: bucket, "_slice": piece})
     both = both.repartition(buckets * slices, BUCKET, "_slice")
-    newest = Window.partitionBy(BUCKET, "_slice", *[F.col(f"`{k}`") for k in keys])
-    ranked = both.withColumn("_rank", F.row_number().over(newest.orderBy(F.desc("_new"))))
-    return ranked.where("_rank = 1").drop("_new", "_rank", "_slice")
+    # An old row goes only when a new one has its key: keys may repeat among
+    # old rows, and NULL keys (never among new rows) match nothing.
+    by_key = Window.partitionBy(BUCKET, "_slice", *[F.col(f"`{k}`") for k in keys])
+    marked = both.withColumn("_replaced", F.max("_new").over(by_key))
+    return marked.where("_new = 1 or _replaced = 0").drop("_new", "_replaced", "_slice")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -180,19 +181,27 @@ def resolve_types(columns: DataFrame) -> DataFrame:
     )
 
 
-def default_of(text: str | None, user_defined: bool) -> str | None:
+# A text or number literal, and any casts behind it.
+_LITERAL = re.compile(
+    r"\s*(?:'(?P<text>(?:[^']|'')*)'|(?P<plain>[+-]?\d+(?:\.\d*)?(?:[eE][+-]?\d+)?|true|false|null))"
+    r"(?:\s*::\s*[^':]+)*\s*",
+    re.IGNORECASE,
+)
+
+
+def default_of(text: str | None, user_defined: bool = False) -> str | None:
     """Literal default of a column, or None.
 
-    Sequence defaults are dropped; casts after the literal are taken off where
-    the type became text; quotes around a text literal are removed.
+    Casts behind the literal are taken off, quotes around it removed; a cast
+    sign inside quotes is text. What is not a literal (a sequence, a function)
+    can't be filled in and gives None.
     """
-    if not text or "nextval" in text.lower():
+    found = _LITERAL.fullmatch(text) if text else None
+    if not found or (found["plain"] or "").lower() == "null":
         return None
-    if user_defined:
-        text = text.split("::", 1)[0].strip()
-    if len(text) >= 2 and text[0] == text[-1] == "'":
-        return text[1:-1].replace("''", "'")
-    return text or None
+    if found["text"] is not None:
+        return found["text"].replace("''", "'")
+    return found["plain"]
 
 
 def struct_to_rows(spark: SparkSession, name: str, schema: T.StructType) -> DataFrame:

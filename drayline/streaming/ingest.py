@@ -80,8 +80,8 @@ def ingest_upserts(
     shape: Shape | None = None,
     every: str | None = None,
 ) -> StreamingQuery:
-    """Merge every new file's rows by key (C9); the last by ``sequence`` wins
-    within a batch, and a later batch wins over an earlier one."""
+    """Merge every new file's rows by key (C9); the last by ``sequence`` wins,
+    however the files fall into batches. Among equals a later batch wins."""
 
     def put(batch: DataFrame, number: int) -> None:
         rows = shape(batch) if shape else batch

@@ -134,6 +134,59 @@ def load_by_levels(spark, sf_dir):
     return result.checks
 
 
+@query(
+    "load_with_rejects",
+    "select 'orders' as table_name, count(*) as source_rows, count(*) filter (o_orderkey % 10 <> 0) as target_rows, "
+    "count(*) filter (o_orderkey % 10 = 0) as rejected_rows, true as matches from orders",
+)
+def load_with_rejects(spark, sf_dir):
+    """Rows that don't fit are written next to the table; both together are the source (V1)."""
+    from drayline.plans.spec import ColumnMapping
+
+    number = F.when(F.col("o_orderkey") % 10 == 0, F.lit("none")).otherwise(F.col("o_custkey").cast("string"))
+    orders = table(spark, sf_dir, "orders").withColumn("o_custkey", number)
+    spec = TableSpec("orders", [ColumnMapping("o_custkey", target_type="BIGINT")], keys=["o_orderkey"])
+    result = load_tables(
+        spark, {"orders": orders}, shared_dir(spark, "load"), {"orders": spec}, (), LoadOptions(fresh=True, on_error="reject")
+    )
+    assert result.status == "success", result.errors
+    return result.checks
+
+
+EVERY_TABLE = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
+    "pages", "benchmark", "labels", "conversations",
+)
+
+
+@query(
+    "load_typed",
+    " union all ".join(
+        f"select '{t}' as table_name, count(*) as source_rows, count(*) as target_rows, true as matches from {t}"
+        for t in EVERY_TABLE
+    ),
+)
+def load_typed(spark, sf_dir):
+    """All tables with SQLite's types; the load dies once and goes on under its run id."""
+    from drayline.plans.dialects import spark_type
+    from drayline.plans.load import column_plan
+
+    tables = {name: table(spark, sf_dir, name) for name in EVERY_TABLE}
+    specs = {name: TableSpec(name, keys=LOADED.get(name, []), target_dialect="sqlite") for name in EVERY_TABLE}
+    path, options = shared_dir(spark, "load"), LoadOptions(fresh=True, batches=4)
+    lost = F.when(F.col("l_linenumber") == 2, F.raise_error(F.lit("lost")).cast("double")).otherwise(F.col("l_tax"))
+    damaged = tables | {"lineitem": tables["lineitem"].withColumn("l_tax", lost)}
+    first = load_tables(spark, damaged, path, specs, (), options, run_id="run-1")
+    assert first.status == "failed" and list(first.errors) == ["lineitem"], first.errors
+    result = load_tables(spark, tables, path, specs, (), options, run_id="run-1")
+    assert result.status == "success", result.errors
+    for name in EVERY_TABLE:
+        loaded = SnapshotTable(spark, f"{path}/{name}").read().schema
+        planned = {c[2]: spark_type(c[3], "sqlite") for c in column_plan(tables[name], specs[name])}
+        assert {f.name: f.dataType for f in loaded} == planned, name
+    return result.checks
+
+
 # ---------------------------------------------------------------------------
 # Keys and references
 # ---------------------------------------------------------------------------
@@ -255,12 +308,12 @@ def lossy_cells(spark, sf_dir):
 
 @query(
     "rerun_warnings",
-    "select conv_id, not coalesce(bool_or(role = 'user' and turn < 2), false) as doubles from conversations group by conv_id",
+    "select conv_id, not coalesce(bool_or(role = 'system'), false) as doubles from conversations group by conv_id",
 )
 def rerun_warnings(spark, sf_dir):
     """Tables that an append would double: those without a key (V4)."""
     listed = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
-        F.bool_or((F.col("role") == "user") & (F.col("turn") < 2)).alias("has_pk")
+        F.bool_or(F.col("role") == "system").alias("has_pk")
     )
     return listed.select("conv_id", verify.rerun_warning(F.lit("append"), F.col("has_pk")).alias("doubles"))
 
@@ -322,10 +375,12 @@ _SAMPLES = "select user_id % 4 as run_id, ts, event_id * 3 - (event_id % 17) * 4
     "throughput_eta",
     f"""
     with s as ({_SAMPLES}),
-    w as (select run_id, time_bucket(interval 5 seconds, ts) as tick, arg_max(migrated, ts) as migrated,
-        arg_max(total, ts) as total, max(ts) as ts from s group by 1, 2),
-    d as (select *, lag(ts) over r as ts0, lag(migrated) over r as migrated0 from w
-        window r as (partition by run_id order by ts)),
+    w as (select run_id, time_bucket(interval 5 seconds, ts) as tick, arg_min(migrated, ts) as migrated,
+        arg_min(total, ts) as total, min(ts) as ts from s group by 1, 2),
+    l as (select *, lag(ts) over r as ts1, lag(migrated) over r as migrated1, lag(ts, 2) over r as ts2,
+        lag(migrated, 2) over r as migrated2 from w window r as (partition by run_id order by ts)),
+    d as (select *, case when ts - ts1 >= interval 5 seconds then ts1 else ts2 end as ts0,
+        case when ts - ts1 >= interval 5 seconds then migrated1 else migrated2 end as migrated0 from l),
     v as (select *, case when ts0 is not null then greatest(migrated - migrated0, 0)
         / ((epoch_us(ts) - epoch_us(ts0)) / cast(1000000 as double)) end as speed,
         greatest(total - migrated, 0) as rows_left from d)

@@ -117,3 +117,35 @@ def date_unix_rejects(spark, sf_dir):
     )
     mapped = apply_spec(_mixed(spark, sf_dir), TableSpec("dates", [mapping]), on_error="reject")
     return mapped.rejects.select("event_id", F.col("_faults")[0]["value"].alias("value"))
+
+
+_ZONED = """
+select event_id, case event_id % 5
+    when 0 then strftime(ts, '%Y-%m-%d %H:%M:%S') || '.123456+02:00'
+    when 1 then strftime(ts, '%Y-%m-%dT%H:%M:%S') || '.5Z'
+    when 2 then strftime(ts, '%Y-%m-%d %H:%M:%S') || '.123456 not a date'
+    when 3 then strftime(ts, '%Y-%m-%d %H:%M:%S') || '.123456789'
+    else strftime(ts, '%Y-%m-%dT%H:%M:%S') || '-0330' end as value, ts from events
+"""
+
+
+@query(
+    "date_zoned_text",
+    f"select event_id, case event_id % 5 when 0 then strftime(ts - interval 2 hour, '%Y-%m-%dT%H:%M:%SZ') "
+    "when 2 then value when 4 then strftime(ts + interval 210 minute, '%Y-%m-%dT%H:%M:%SZ') "
+    f"else strftime(ts, '%Y-%m-%dT%H:%M:%SZ') end as value from ({_ZONED})",
+)
+def date_zoned_text(spark, sf_dir):
+    """The whole text is parsed, fraction and zone included; text with something behind the date stays."""
+    whole = F.date_trunc("second", "ts")
+    second, gap = F.date_format(whole, "yyyy-MM-dd HH:mm:ss"), F.date_format(whole, "yyyy-MM-dd'T'HH:mm:ss")
+    kind = F.col("event_id") % 5
+    text = (
+        F.when(kind == 0, F.concat(second, F.lit(".123456+02:00")))
+        .when(kind == 1, F.concat(gap, F.lit(".5Z")))
+        .when(kind == 2, F.concat(second, F.lit(".123456 not a date")))
+        .when(kind == 3, F.concat(second, F.lit(".123456789")))
+        .otherwise(F.concat(gap, F.lit("-0330")))
+    )
+    rows = table(spark, sf_dir, "events").select("event_id", text.alias("value"))
+    return _converted(rows, "value").select("event_id", "value")

@@ -202,14 +202,14 @@ def list_files(spark, sf_dir):
 @query(
     "select_tables",
     "select doc_id, source from documents where source in "
-    "(select source from documents group by source having count(*) * 4 > (select count(*) from documents))",
+    "(select source from documents group by source having count(*) * 20 > (select count(*) from documents))",
 )
 def select_tables(spark, sf_dir):
     """Rows whose group is selected by a DataFrame of names."""
     docs = table(spark, sf_dir, "documents")
-    quarter = docs.agg(F.count(F.lit(1))).scalar()
+    total = docs.agg(F.count(F.lit(1))).scalar()
     sizes = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    return listing.select_names(docs.select("doc_id", "source"), sizes.where(F.col("n") * 4 > quarter), "source")
+    return listing.select_names(docs.select("doc_id", "source"), sizes.where(F.col("n") * 20 > total), "source")
 
 
 _NAMES = "case when doc_id % 5 = 0 then 'doc_' || doc_id else source || '.' || lang || '_' || (doc_id % 100) end"
@@ -501,13 +501,17 @@ select conv_id, 'chat.t' || conv_id as table_name, turn, 'c' || turn as column_n
 """
 
 
+# Only conversations with a system turn have a key here.
+_KEYLESS = _LISTING.replace("role = 'user' and turn < 2", "role = 'system'")
+
+
 @query(
     "tables_without_pk",
-    f"select table_name from ({_LISTING}) group by table_name having not coalesce(bool_or(is_pk), false)",
+    f"select table_name from ({_KEYLESS}) group by table_name having not coalesce(bool_or(is_pk), false)",
 )
 def tables_without_pk(spark, sf_dir):
     table(spark, sf_dir, "conversations").createOrReplaceTempView("conversations")
-    return catalog.tables_without_key(spark.sql(_LISTING))
+    return catalog.tables_without_key(spark.sql(_KEYLESS))
 
 
 @query(

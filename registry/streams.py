@@ -61,3 +61,31 @@ def stream_upsert(spark, sf_dir):
             stream, target, checkpoint, "changes", ["user_id"], "event_id", buckets=8
         ).awaitTermination()
     return target.read()
+
+
+_LATEST = "select user_id, max(event_id) as event_id, arg_max(event_type, event_id) as event_type from events group by user_id"
+
+
+@query(
+    "stream_upsert_late",
+    f"select 1 as files, * from ({_LATEST}) union all select 4, * from ({_LATEST})",
+)
+def stream_upsert_late(spark, sf_dir):
+    """Files arrive newest first: older events don't replace newer ones, however files fall into batches."""
+    path = shared_dir(spark, "late")
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    bounds = events.agg(F.min("event_id").alias("lo"), F.max("event_id").alias("hi")).first()
+    step = (bounds.hi - bounds.lo) // FILES + 1
+    for i in reversed(range(FILES)):
+        low = bounds.lo + i * step
+        part = events.where((F.col("event_id") >= low) & (F.col("event_id") < low + step))
+        part.coalesce(1).write.mode("append").parquet(path)
+    results = []
+    for files in (1, 4):
+        target = SnapshotTable(spark, shared_dir(spark, "current"))
+        stream = file_stream(spark, path, events.schema, max_files=files)
+        ingest_upserts(
+            stream, target, shared_dir(spark, "offsets"), f"late-{files}", ["user_id"], "event_id", buckets=8
+        ).awaitTermination()
+        results.append(target.read().select(F.lit(files).alias("files"), "user_id", "event_id", "event_type"))
+    return results[0].unionByName(results[1])

@@ -158,3 +158,24 @@ def fill_defaults(spark, sf_dir):
     )
     defaults = {"segment": default_of("'wip'::scenario_status", True), "nation": default_of("7", False)}
     return apply_spec(rows, TableSpec("customer", defaults=defaults)).rows
+
+
+@query(
+    "fill_defaults_casts",
+    "select c_custkey, coalesce(nullif(c_mktsegment, 'BUILDING'), 'active') as segment, "
+    "coalesce(nullif(c_name, c_name), 'a::b') as name, "
+    "case when c_custkey % 2 = 0 then c_mktsegment end as maker from customer",
+)
+def fill_defaults_casts(spark, sf_dir):
+    """Casts behind a default are taken off, cast signs inside quotes stay, a function fills nothing."""
+    from drayline.sources.catalog import default_of
+
+    rows = table(spark, sf_dir, "customer").select(
+        "c_custkey",
+        F.nullif("c_mktsegment", F.lit("BUILDING")).alias("segment"),
+        F.nullif("c_name", F.col("c_name")).alias("name"),
+        F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).alias("maker"),
+    )
+    texts = {"segment": "'active'::character varying", "name": "'a::b'::mood", "maker": "now()"}
+    found = {name: default_of(text) for name, text in texts.items()}
+    return apply_spec(rows, TableSpec("customer", defaults={n: v for n, v in found.items() if v is not None})).rows

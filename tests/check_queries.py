@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import os
 import sys
 import time
 from pathlib import Path
@@ -22,7 +23,7 @@ def main() -> int:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     chosen = sys.argv[2:]
     spark = build_session(
-        master="local[8]",
+        master=f"local[{os.environ.get("CPUS", "8")}]",
         extra={"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"},
     )
     spark.sparkContext.setLogLevel("ERROR")

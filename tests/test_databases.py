@@ -58,6 +58,9 @@ def test_catalog(spark):
 def test_defaults():
     assert catalog.default_of("'wip'::scenario_status", True) == "wip"
     assert catalog.default_of("nextval('s'::regclass)", False) is None
+    assert catalog.default_of("'active'::character varying") == "active"
+    assert catalog.default_of("'a::b'::mood") == "a::b" and catalog.default_of("'it''s'") == "it's"
+    assert catalog.default_of("now()") is None and catalog.default_of("1.5::numeric(3,1)") == "1.5"
     assert catalog.default_of("5", False) == "5" and catalog.default_of(None, False) is None
 
 

@@ -55,7 +55,7 @@ def test_a_large_merge_shuffles_once(spark):
     old = table(spark, SF_DIR, "orders")
     bucket = key_bucket(["o_orderkey"], 8)
     merged = _newest(old, old.where("o_orderkey % 3 = 0"), ["o_orderkey"], bucket, 8, 20)
-    assert exchanges(merged) == 1 and "WindowGroupLimit" in plan(merged)
+    assert exchanges(merged) == 1 and "Window" in plan(merged)
     # 20 partitions' worth of rows in 8 buckets: three slices of each.
     assert "table_bucket#" in plan(merged) and ", 24), REPARTITION_BY_NUM" in plan(merged)
 

@@ -144,10 +144,10 @@ def test_resume(spark, folder):
     with pytest.raises(Exception, match="lost"):
         resumable_load(broken, target, ledger, "r", "t", ["id"], 8, waves=2)
     state = {r.batch_index: r.status for r in ledger.state("r").collect()}
-    assert set(state.values()) == {"done", "failed"} and not ledger.is_complete("r")
+    assert set(state.values()) == {"done", "failed"} and not ledger.is_complete("r", ["t"])
     half = target.read().count()
     assert resumable_load(df, target, ledger, "r", "t", ["id"], 8) == 1000 - half
-    assert ledger.is_complete("r") and rows(target.read()) == rows(df)
+    assert ledger.is_complete("r", ["t"]) and rows(target.read()) == rows(df)
     assert resumable_load(df, target, ledger, "r", "t", ["id"], 8) == 0
 
 
@@ -156,7 +156,7 @@ def test_many_open_batches(spark, folder, monkeypatch):
     df = spark.range(100).withColumn("v", F.col("id"))
     target, ledger = SnapshotTable(spark, str(folder / "t")), Ledger(spark, str(folder / "l"))
     assert resumable_load(df, target, ledger, "r", "t", ["id"], 8, waves=3) == 100
-    assert ledger.is_complete("r") and rows(target.read()) == rows(df)
+    assert ledger.is_complete("r", ["t"]) and rows(target.read()) == rows(df)
 
 
 def test_resume_after_a_lost_mark(spark, folder):
@@ -169,7 +169,7 @@ def test_resume_after_a_lost_mark(spark, folder):
 
     ledger.mark(plan_batches(df, hash_batch(["id"], 4), "t"), "r", "pending")
     assert resumable_load(df, target, ledger, "r", "t", ["id"], 4) == 0
-    assert ledger.is_complete("r") and target.read().count() == 100
+    assert ledger.is_complete("r", ["t"]) and target.read().count() == 100
 
 
 def test_pending_rows(spark):
@@ -252,3 +252,43 @@ def test_key_report_and_rejects_of_a_load(spark, folder, related):
         spark, {"child": related["child"]}, str(folder / "r"), specs, (), LoadOptions(True, "reject", buckets=2)
     )
     assert rejected.rows == {"child": 0} and rejected.rejects["child"].count() == 20
+
+
+@pytest.mark.parametrize("limit", [32 << 20, 0])
+def test_upsert_keeps_repeated_and_null_keys(spark, folder, limit):
+    target = SnapshotTable(spark, str(folder / "t"))
+    old = [(1, "a"), (1, "b"), (2, "c"), (None, "n1"), (None, "n2"), (None, "n3")]
+    target.overwrite(spark.createDataFrame(old, "k int, v string"), ["k"], 2)
+    target.upsert(spark.createDataFrame([(2, "C"), (9, "z")], "k int, v string"), broadcast_bytes=limit)
+    assert sorted((r.k or 0, r.v) for r in target.read().collect()) == [
+        (0, "n1"), (0, "n2"), (0, "n3"), (1, "a"), (1, "b"), (2, "C"), (9, "z"),
+    ]
+
+
+@pytest.mark.parametrize("limit", [32 << 20, 0])
+def test_older_rows_dont_replace_newer_ones(spark, folder, limit):
+    target = SnapshotTable(spark, str(folder / "t"))
+    target.create(spark.createDataFrame([], "k int, s int, v string").schema, ["k"], 2)
+    for rows in ([(1, 10, "new"), (2, 1, "x")], [(1, 5, "old"), (2, 1, "later")]):
+        target.upsert(spark.createDataFrame(rows, "k int, s int, v string"), sequence="s", broadcast_bytes=limit)
+    assert sorted(map(tuple, target.read().collect())) == [(1, 10, "new"), (2, 1, "later")]
+
+
+def test_a_run_of_two_tables_is_complete_when_both_are(spark, folder):
+    ledger = Ledger(spark, str(folder / "l"))
+    a, b = spark.range(100), spark.range(50).selectExpr("id as x", "'t' as y")
+    first, second = SnapshotTable(spark, str(folder / "a")), SnapshotTable(spark, str(folder / "b"))
+    assert resumable_load(a, first, ledger, "r", "a", ["id"], 4) == 100
+    assert not ledger.is_complete("r", ["a", "b"])
+    assert resumable_load(b, second, ledger, "r", "b", [], 4, waves=2) == 50
+    assert ledger.is_complete("r", ["a", "b"]) and rows(second.read()) == rows(b)
+    assert resumable_load(b, second, ledger, "r", "b", [], 4, waves=2) == 0
+
+
+def test_a_commit_is_made_once(spark, folder):
+    target = SnapshotTable(spark, str(folder / "t"))
+    target.create(spark.range(1).schema)
+    state = target.state()
+    target._commit(state, "append", state.schema, (), 1, (), 0)
+    with pytest.raises(ConcurrentWrite):
+        target._commit(state, "append", state.schema, (), 1, (), 0)
