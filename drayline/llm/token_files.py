@@ -381,9 +381,11 @@ def read_tokens(spark: SparkSession, folder: str, with_ids: bool = False, unit_b
     """
     manifest = spark.read.parquet(f"{folder}/manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
-    units = manifest.select(
+    # the sums first: in one select with explode they would run over units instead of files
+    placed = manifest.select("name", "blocks", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
+    units = placed.select(
         "name",
-        F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"),
+        "base",
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1, F.lit(unit_blocks).cast("long"))).alias("block"),
     )
     number = manifest.agg(F.sum(F.ceil(F.col("blocks") / unit_blocks))).first()[0] or 1
