@@ -81,9 +81,15 @@ def source_targets(sized: DataFrame, options: MixOptions) -> DataFrame:
     return free.select("source", "source_size", "source_rows", "weight", target.alias("target"))
 
 
+def source_key() -> Column:
+    """The source as text that joins: NULL apart from all others."""
+    return F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit(""))
+
+
 def queue(df: DataFrame, options: MixOptions = MixOptions()) -> tuple[DataFrame, DataFrame]:
-    """Every row with its source's figures and its place in the queue, staged; and the targets."""
-    sized = with_size(df.drop(*(set(ADDED) & set(df.columns) - {"text", "source", "doc_id"})))
+    """Every row, without its text, with its source's figures and its place in the queue, staged; and the targets."""
+    sized = with_size(df).drop("text")
+    sized = sized.drop(*(set(ADDED) & set(sized.columns) - {"source", "doc_id", "size"}))
     targets = staged(source_targets(sized, options), "mix-targets")
     most = targets.agg(F.max("source_rows")).first()[0] or 0
     digits = 1
@@ -91,15 +97,11 @@ def queue(df: DataFrame, options: MixOptions = MixOptions()) -> tuple[DataFrame,
         digits += 1
     key = F.md5(F.concat(F.lit(f"{options.seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     keyed = sized.withColumn("shuffle_key", key).withColumn("slice", F.substring("shuffle_key", 1, digits))
-    # NULL sources need a key that joins
-    keyed = keyed.withColumn("source_key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
+    keyed = keyed.withColumn("source_key", source_key())
     slices = keyed.groupBy("source_key", "slice").agg(F.sum("size").alias("slice_size"))
     earlier = Window.partitionBy("source_key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     bases = slices.select("source_key", "slice", F.coalesce(F.sum("slice_size").over(earlier), F.lit(0)).alias("base"))
-    bases = bases.join(
-        targets.select(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("source_key"), "source_size", "target"),
-        "source_key",
-    )
+    bases = bases.join(targets.select(source_key().alias("source_key"), "source_size", "target"), "source_key")
     inside = (
         Window.partitionBy("source_key", "slice")
         .orderBy("shuffle_key", F.col("doc_id").asc_nulls_first(), "size")
@@ -193,7 +195,7 @@ def taken_copy(epoch_finish: Column, last) -> Column:
 
 
 def mix(df: DataFrame, options: MixOptions = MixOptions()) -> DataFrame:
-    """The input's rows with size, source_size, target and taken (words taken, repeats counted)."""
+    """The input's rows, without text, with size, source_size, target and taken (words taken, repeats counted)."""
     queued, targets = queue(df, options)
     last = last_taken(queued, targets, options)
     times = sum((taken_copy(finish_time(e), last).cast("long") for e in range(options.epochs)), F.lit(0))
@@ -201,9 +203,29 @@ def mix(df: DataFrame, options: MixOptions = MixOptions()) -> DataFrame:
 
 
 def mixed_documents(df: DataFrame, options: MixOptions = MixOptions()) -> DataFrame:
-    """The mix itself: the taken copies with the input's columns, range-sorted by finish time."""
-    queued, targets = queue(df, options)
-    last = last_taken(queued, targets, options)
-    rows = copies(queued, options).where(taken_copy(F.col("finish"), last))
-    ordered = rows.orderBy("finish", "source_key", "shuffle_key")
-    return ordered.select(*df.columns)
+    """The mix itself: the taken copies with the input's columns, range-sorted by finish time.
+
+    Queues and budget are settled on ids and sizes alone. Texts are shuffled twice: to meet their finish times,
+    and into the order of the mix.
+    """
+    columns = {c: f"_own_{i}" for i, c in enumerate(df.columns)}
+    narrow, targets = queue(df.select("doc_id", "source", "text"), options)
+    last = last_taken(narrow, targets, options)
+    every = (F.when(taken_copy(finish_time(e), last), finish_time(e)) for e in range(options.epochs))
+    # rows of one source, id and size are alike in the queue: they are numbered on both sides
+    same = ["source_key", "id_key", "size"]
+    id_key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    decided = (
+        narrow.withColumn("id_key", id_key)
+        .withColumn("number", F.row_number().over(Window.partitionBy(*same).orderBy("queued")))
+        .select(*same, "number", "shuffle_key", F.filter(F.array(*every), lambda t: t.isNotNull()).alias("finishes"))
+    )
+    texts = (
+        df.select(
+            source_key().alias("source_key"), id_key.alias("id_key"), word_count(F.col("text")).alias("size"),
+            *(F.col(c).alias(name) for c, name in columns.items()),
+        ).withColumn("number", F.row_number().over(Window.partitionBy(*same).orderBy(columns["text"])))
+    )
+    copied = texts.join(decided, [*same, "number"]).withColumn("finish", F.explode("finishes"))
+    ordered = copied.orderBy("finish", "source_key", "shuffle_key")
+    return ordered.select(*(F.col(name).alias(c) for c, name in columns.items()))

@@ -9,7 +9,7 @@ weights are mixed with their mean size, as a prior towards the naive Bayes direc
 probabilities by a sigmoid fitted on margins of documents that the model had not seen (folds by id).
 
 The model is fitted on at most ``sample_rows`` labelled documents (a documented parameter), chosen by a
-hash of their ids; their hashed features, not their texts, reach the driver. Scoring covers all rows:
+hash of their ids; one task gets their hashed features, the driver only the model. Scoring covers all rows:
 one pass, no shuffle, the model (two arrays of ``2 ** bits`` numbers) goes to the tasks.
 
 Defined cases: NULL and empty texts have no features and get the probability of an empty set of
@@ -40,7 +40,7 @@ ECHO_SHARES = (0.0, 0.02, 0.1, 0.3)
 class ClassifierOptions:
     bits: int = 18  # the model has 2 ** bits features
     grams: tuple[int, ...] = (1, 2, 3, 4)  # bytes of an n-gram
-    sample_rows: int = 6000  # labelled documents the model is fitted on, at most
+    sample_rows: int = 4000  # labelled documents the model is fitted on, at most
     smoothing: float = 1.0  # added to every count
     cost: float = 1.0  # of the hinge loss
     passes: int = 20  # of dual coordinate descent
@@ -118,8 +118,8 @@ def dual_descent(
     values = []
     for found in rows:
         scaled = ratios[found]
-        values.append(scaled / max(float(np.sqrt(scaled @ scaled)), 1e-12))
-    diagonal = np.array([v @ v + 1.0 for v in values])
+        values.append((scaled / max(float(np.sqrt(scaled @ scaled)), 1e-12)).astype(np.float32))
+    diagonal = np.array([float(v @ v) + 1.0 for v in values])
     weights, bias, alpha = np.zeros(len(ratios)), 0.0, np.zeros(len(rows))
     cost = np.full(len(rows), options.cost)
     order = np.random.default_rng(options.seed)
@@ -225,13 +225,28 @@ def train(documents: DataFrame, labels: DataFrame, options: ClassifierOptions =
         .select("doc_id", "good", fold.alias("fold"), column_udf(run, "array<int>")(F.col("text")).alias("found"))
         .groupBy("doc_id", "good", "fold")
         .agg(F.min("found").alias("found"))
-        .toArrow()
-        .sort_by("doc_id")
     )
-    found = rows.column("found").combine_chunks()
-    sets = [x.values.to_numpy() for x in found]
-    good, folds = (np.array(rows.column(c).to_pylist()) for c in ("good", "fold"))
-    return fit(sets, good.astype(bool), folds.astype(int), options)
+
+    def learn(batches):
+        """The sample, in the order of ids, to one model."""
+        sets, good, folds = [], [], []
+        for batch in batches:
+            found = batch.column("found")
+            values, offsets = found.values.to_numpy(), found.offsets.to_numpy()
+            sets += [values[a:b] for a, b in zip(offsets, offsets[1:], strict=False)]
+            good += batch.column("good").to_pylist()
+            folds += batch.column("fold").to_pylist()
+        model = fit(sets, np.array(good, bool), np.array(folds, int), options)
+        row = (model.weights.tobytes(), model.squares.tobytes(), model.bias, model.slope, model.offset)
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], ["weights", "squares", "bias", "slope", "offset"])
+
+    # one task for a bounded sample: an executor has the memory for it, the driver need not
+    schema = "weights binary, squares binary, bias double, slope double, offset double"
+    found = rows.repartition(1).sortWithinPartitions("doc_id").mapInArrow(learn, schema).first()
+    if found is None:  # no labelled document
+        return fit([], np.zeros(0, bool), np.zeros(0, int), options)
+    weights, squares = (np.frombuffer(found[c], np.float32) for c in ("weights", "squares"))
+    return Model(weights, squares, found["bias"], found["slope"], found["offset"])
 
 
 def scored(documents: DataFrame, model: Model, options: ClassifierOptions = ClassifierOptions()) -> DataFrame:

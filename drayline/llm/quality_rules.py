@@ -5,7 +5,7 @@ Expectation-maximisation over the vote patterns of all documents estimates how o
 each vote for good and for bad documents; the posterior probability of "good" under these estimates
 decides, instead of demanding that all rules pass.
 
-Counts are taken once per document and staged. Votes are column expressions. Documents are grouped by
+Counts are columns. Votes are column expressions. Documents are grouped by
 vote pattern before anything leaves the executors: at most 3 ** (number of rules) patterns reach the
 driver, whatever the corpus. The posterior is a sum of per-vote weights, again a column expression.
 
@@ -194,31 +194,42 @@ def fit_votes(patterns: np.ndarray, documents: np.ndarray, options: RuleOptions)
     return VoteModel(float(share), bad, good)
 
 
-def judged(df: DataFrame, options: RuleOptions = RuleOptions()) -> DataFrame:
-    """The input with its counts, base_failed, quality (posterior of "good") and kept; staged once."""
-    added = {"base_failed", "quality", "kept"}
-    counted = staged(with_counts(df.drop(*(added & set(df.columns)))), "rule-counts")
-    votes = [rule.vote() for rule in options.rules]
-    failed = base_failed(options)
+def fitted(counted: DataFrame, options: RuleOptions = RuleOptions()) -> VoteModel:
+    """The vote model of all documents that pass the base rule. Input: the columns of COUNTS."""
     grouped = (
-        counted.where(~failed)
-        .groupBy(F.array(*(v.cast("int") for v in votes)).alias("votes"))
+        counted.where(~base_failed(options))
+        .groupBy(F.array(*(rule.vote().cast("int") for rule in options.rules)).alias("votes"))
         .agg(F.count("*").alias("n"))
         .collect()  # at most 3 ** rules rows
     )
     patterns = np.array([r["votes"] for r in grouped], dtype=int).reshape(-1, len(options.rules))
     order = np.lexsort(patterns.T)
-    model = fit_votes(patterns[order], np.array([r["n"] for r in grouped], dtype=float)[order], options)
+    return fit_votes(patterns[order], np.array([r["n"] for r in grouped], dtype=float)[order], options)
+
+
+def with_verdict(counted: DataFrame, model: VoteModel, options: RuleOptions = RuleOptions()) -> DataFrame:
+    """Counted rows with base_failed, quality (posterior of "good") and kept."""
     return (
-        counted.withColumn("base_failed", failed)
-        .withColumn("quality", model.posterior(votes))
+        counted.withColumn("base_failed", base_failed(options))
+        .withColumn("quality", model.posterior([rule.vote() for rule in options.rules]))
         .withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= options.threshold))
     )
 
 
+def judged(df: DataFrame, options: RuleOptions = RuleOptions()) -> DataFrame:
+    """The input without its text, with its counts, base_failed, quality and kept; counted once and staged."""
+    dropped = {"base_failed", "quality", "kept"} & set(df.columns)
+    counted = staged(with_counts(df.drop(*dropped)).drop("text"), "rule-counts")
+    return with_verdict(counted, fitted(counted, options), options)
+
+
 def keep_good(df: DataFrame, options: RuleOptions = RuleOptions()) -> DataFrame:
-    """The input's rows whose verdict is good, with the input's columns."""
+    """The input's rows whose verdict is good, with the input's columns.
+
+    Texts are counted twice, for the fit and for the verdict: that costs less than a written copy of the corpus.
+    """
+    model = fitted(with_counts(df.select("text")), options)
     clashing = set(df.columns) & {*COUNTS, "base_failed", "quality", "kept"}
     own = {c: f"_own_{c}" if c in clashing else c for c in df.columns}
-    marked = judged(df.select(*(F.col(c).alias(name) for c, name in own.items())), options)
+    marked = with_verdict(with_counts(df.select(*(F.col(c).alias(name) for c, name in own.items()))), model, options)
     return marked.where("kept").select(*(F.col(name).alias(c) for c, name in own.items()))

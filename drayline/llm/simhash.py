@@ -331,33 +331,40 @@ def class_ids(fingerprinted: DataFrame, options: SimhashOptions = SimhashOptions
 
 
 def near_duplicates(df: DataFrame, options: SimhashOptions = SimhashOptions()) -> DataFrame:
-    """The input's rows with fingerprint (16 hex digits) and component_id (least id reachable)."""
-    added = {"fp", "root", "fingerprint", "component_id"}
-    kept = df.drop(*(added & set(df.columns)))
-    marked = staged(kept.withColumn("fp", fingerprint_of(F.col("text"), options)), "simhash-documents")
+    """The input's rows, without text, with fingerprint (16 hex digits) and component_id (least id reachable)."""
+    added = {"text", "fp", "root", "fingerprint", "component_id"}
+    fp = fingerprint_of(F.col("text"), options).alias("fp")
+    marked = staged(df.select(*(c for c in df.columns if c not in added), fp), "simhash-documents")
     classes = class_ids(marked.select("doc_id", "fp"), options)
     hex_digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return marked.join(classes, "fp").withColumn("fingerprint", hex_digits).drop("fp", "root")
 
 
 def one_of_each(df: DataFrame, options: SimhashOptions = SimhashOptions()) -> DataFrame:
-    """One document of each component, the one with the least id, with the input's columns."""
-    own = {c: f"_own_{i}" for i, c in enumerate(df.columns) if c in ("fp", "root", "component_id", "copy")}
-    renamed = reduce(lambda d, c: d.withColumnRenamed(c, own[c]), own, df)
-    marked = staged(renamed.withColumn("fp", fingerprint_of(F.col("text"), options)), "simhash-documents")
-    classes = staged(class_ids(marked.select("doc_id", "fp"), options), "simhash-classes")
-    # per component the fingerprints of its least id: a component is asked for one row only
+    """One document of each component, the one with the least id, with the input's columns.
+
+    Decisions are made on ids and fingerprints alone; texts are shuffled once, to meet them.
+    """
+    own = {c: f"_own_{i}" for i, c in enumerate(df.columns) if c in ("fp", "root", "component_id", "copy", "id_key")}
+    rows = reduce(lambda d, c: d.withColumnRenamed(c, own[c]), own, df)
+    narrow = df.select("doc_id", fingerprint_of(F.col("text"), options).alias("fp"))
+    marked = staged(narrow, "simhash-documents")
+    classes = class_ids(marked, options)
+    # per component one fingerprint of its least id: a component is asked for one row only
     heads = (
-        marked.select("doc_id", "fp")
-        .join(classes, "fp")
+        marked.join(classes, "fp")
         .where(F.col("doc_id").eqNullSafe(F.col("component_id")))
         .groupBy("root", "component_id")
         .agg(F.min("fp").alias("fp"))
+        .select("fp", _id_key("component_id"))
     )
-    rows = marked.join(
-        heads, marked["fp"].eqNullSafe(heads["fp"]) & marked["doc_id"].eqNullSafe(heads["component_id"])
-    ).drop(heads["fp"])
-    # only repeated rows with the least id are left to choose from
-    copy = F.row_number().over(Window.partitionBy("root").orderBy("text"))
-    first = rows.withColumn("copy", copy).where("copy = 1")
-    return first.select(*(F.col(own.get(c, c)).alias(c) for c in df.columns))
+    keyed = rows.withColumn("fp", fingerprint_of(F.col("text"), options)).withColumn("id_key", _id_key("doc_id"))
+    met = keyed.join(heads, ["fp", "id_key"])
+    # only repeated rows with the least id are left to choose from; they are together already
+    copy = F.row_number().over(Window.partitionBy("fp", "id_key").orderBy("text"))
+    return met.withColumn("copy", copy).where("copy = 1").select(*(F.col(own.get(c, c)).alias(c) for c in df.columns))
+
+
+def _id_key(column: str) -> Column:
+    """An id as text, NULL as an empty one: joins compare it plainly."""
+    return F.coalesce(F.col(column).cast("string"), F.lit("")).alias("id_key")

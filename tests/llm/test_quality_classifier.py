@@ -3,13 +3,14 @@ import zlib
 import numpy as np
 
 from drayline.llm import quality_classifier as qc
-from drayline.llm.queries import QUERIES
+from drayline.llm import queries
 
 
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
-    rows = QUERIES["op8_quality_classifier"](spark, sf).where("held_out").join(labels, "doc_id").collect()
+    queries.load_all()
+    rows = queries.QUERIES["op8_quality_classifier"](spark, sf).where("held_out").join(labels, "doc_id").collect()
     assert np.mean([r["predicted"] == r["quality"] for r in rows]) > 0.97
     assert all(0 <= r["score"] <= 1 for r in rows)
 
