@@ -6,11 +6,13 @@ from collections.abc import Iterable, Mapping
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from drayline.operators.mapping import FAULT_TYPE, FAULTS
 from drayline.operators.progress import RunHistory
 from drayline.plans.load import LoadOptions, LoadResult, dry_run, load_tables
 from drayline.plans.spec import TableSpec
-from drayline.sources.files import plain_path, read_files, typed
+from drayline.sources.files import SURPLUS, csv_surplus, plain_path, read_files, typed
 from drayline.sources.listing import list_files, select_names
 
 # Formats whose cells are text and get their types by inference.
@@ -42,10 +44,26 @@ def file_tables(
         if any(kind in _TEXT_FORMATS for kind in formats):
             mapped = typed(rows, lattice, on_error)
             rows, rejects[name] = mapped.rows, mapped.rejects
+        for kind in formats.keys() & {"csv"}:
+            rejects[name] = rejects[name].unionByName(
+                _surplus_rejects(spark, formats[kind], rejects[name]), allowMissingColumns=True
+            )
         tables[name] = rows
     return tables, rejects
 
 
+def _surplus_rejects(spark: SparkSession, paths: list[str], like: DataFrame) -> DataFrame:
+    """Rows with more cells than their header, in the form of other rejects; the fault holds all cells read."""
+    rows = csv_surplus(spark, paths)
+    fault = F.struct(
+        F.lit(SURPLUS).alias("column"),
+        F.lit("more cells than the header").alias("rule"),
+        F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns])).alias("value"),
+    )
+    cells = [F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in like.schema if f.name in rows.columns]
+    return rows.select(*cells, F.array(fault).cast(FAULT_TYPE).alias(FAULTS))
+
+
 def plan_files(spark: SparkSession, path: str, fresh: bool = False, **options) -> DataFrame:
     """What a load of files would do (K10); neither tables nor rows are written."""
     return dry_run(spark, file_tables(spark, path, **options)[0], fresh=fresh)

@@ -13,6 +13,7 @@ from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from drayline.operators.inference import (
     decode_bits,
@@ -66,6 +67,10 @@ def csv_traits(spark: SparkSession, paths: Paths) -> DataFrame:
     )
 
 
+# Holds the first cell beyond the header of a row.
+SURPLUS = "_surplus_cell"
+
+
 def read_csv(
     spark: SparkSession,
     paths: Paths,
@@ -74,6 +79,8 @@ def read_csv(
 ) -> DataFrame:
     """Delimited files with a header row, all cells as text.
 
+    Rows with more cells than the header are left out; ``csv_surplus`` has them.
+
     ``.tsv`` files are split at tabs, others at commas, unless a separator is
     given. Files that are not valid UTF-8 are read as Latin-1. Only files
     with cells that span lines are read whole; all others are split. Files
@@ -81,22 +88,41 @@ def read_csv(
     missing and empty cells. ``check_files=False`` skips the line scan for
     UTF-8 files of one header without such cells.
     """
+    return _read_delimited(spark, paths, separator, check_files).where(F.col(SURPLUS).isNull()).drop(SURPLUS)
+
+
+def csv_surplus(
+    spark: SparkSession, paths: Paths, separator: str | None = None, check_files: bool = True
+) -> DataFrame:
+    """Rows of delimited files with a filled cell beyond the header, that cell as ``SURPLUS``."""
+    return _read_delimited(spark, paths, separator, check_files).where(F.col(SURPLUS).isNotNull())
+
+
+def _read_delimited(spark: SparkSession, paths: Paths, separator: str | None, check_files: bool) -> DataFrame:
     if not check_files:
         tabs = all(p.lower().endswith(".tsv") for p in _as_list(paths))
         sep = separator or ("\t" if tabs else ",")
-        return _csv_reader(spark, sep, True, False).csv(_as_list(paths))
+        return _with_surplus(spark, (sep, True, False), _as_list(paths))
     groups: dict[tuple, list[str]] = {}
     for row in csv_traits(spark, paths).orderBy("path").toLocalIterator():
         sep = separator or ("\t" if row.extension == ".tsv" else ",")
         kind = (sep, row.is_utf8, row.spans_lines, row.header)
         groups.setdefault(kind, []).append(plain_path(row.path))
     if not groups:
-        return _csv_reader(spark, separator or ",", True, False).csv(_as_list(paths))
+        return _with_surplus(spark, (separator or ",", True, False), _as_list(paths))
     # Fewest readers: one per kind of file.
-    frames = [_csv_reader(spark, *kind[:3]).csv(group) for kind, group in groups.items()]
+    frames = [_with_surplus(spark, kind[:3], group) for kind, group in groups.items()]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+def _with_surplus(spark: SparkSession, kind: tuple[str, bool, bool], paths: list[str]) -> DataFrame:
+    """Files of one header, read with one column more than it has."""
+    named = _csv_reader(spark, *kind).csv(paths)
+    schema = T.StructType([*named.schema.fields, T.StructField(SURPLUS, T.StringType())])
+    # The header was just read: its check would miss the added column.
+    return _csv_reader(spark, *kind).option("enforceSchema", True).schema(schema).csv(paths)
+
+
 def plain_path(path: str) -> str:
     # File addresses come back percent-encoded; the reader takes plain names,
     # in which pattern signs need a backslash.

@@ -56,11 +56,11 @@ def scan_tsv(spark, sf_dir):
     return cast_columns(read, types, "postgresql").rows
 
 
-@query("scan_csv_quoted_text", "select doc_id, text, lang from documents")
+@query("scan_csv_quoted_text", "select doc_id, text, lang, source, n_chars from documents")
 def scan_csv_quoted_text(spark, sf_dir):
     """Texts with quotes, commas and line breaks, partly in Latin-1 files."""
     path = shared_dir(spark, "quoted")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
     latin = F.expr("text = decode(encode(text, 'UTF-8'), 'UTF-8') and text rlike '^[\\\\x00-\\\\xff]*$'")
     for name, rows, encoding in (("a", docs.where(latin), "ISO-8859-1"), ("b", docs.where(~latin), "UTF-8")):
         (
@@ -68,14 +68,14 @@ def scan_csv_quoted_text(spark, sf_dir):
             .option("encoding", encoding).csv(f"{path}/{name}")
         )
     read = files.read_csv(spark, [f"{path}/a", f"{path}/b"])
-    return cast_columns(read, {"doc_id": "bigint"}, "postgresql").rows
+    return cast_columns(read, {"doc_id": "bigint", "n_chars": "bigint"}, "postgresql").rows
 
 
 def _event_lines(spark, sf_dir) -> str:
     """Events as JSON Lines with blank, broken and non-object lines between."""
     path = shared_dir(spark, "jsonl")
     events = table(spark, sf_dir, "events")
-    good = F.to_json(F.struct(*events.columns), {"ignoreNullFields": "false"})
+    good = F.to_json(F.struct(*events.columns), {"ignoreNullFields": "false", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"})
     number = F.col("event_id") % 10
     extra = (
         F.when(number == 0, F.lit('{"event_id": 1, "broken'))
@@ -90,14 +90,15 @@ def _event_lines(spark, sf_dir) -> str:
 
 @query(
     "scan_jsonl_skip_bad",
-    "select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') as second, user_id, event_type, value, props from events",
+    "select event_id, ts, user_id, event_type, value, props from events",
 )
 def scan_jsonl_skip_bad(spark, sf_dir):
     keys = ["event_id", "ts", "user_id", "event_type", "value", "props"]
     rows, _ = files.read_jsonl(spark, _event_lines(spark, sf_dir), keys)
-    types = {"event_id": "bigint", "user_id": "bigint", "value": "double precision"}
-    typed = cast_columns(rows, types, "postgresql").rows
-    return typed.select("event_id", F.substring("ts", 1, 19).alias("second"), *keys[2:])
+    types = {
+        "event_id": "bigint", "ts": "timestamp without time zone", "user_id": "bigint", "value": "double precision",
+    }
+    return cast_columns(rows, types, "postgresql").rows.select(*keys)
 
 
 @query(
@@ -110,19 +111,19 @@ def scan_jsonl_rejects(spark, sf_dir):
     return files.read_jsonl(spark, _event_lines(spark, sf_dir), ["event_id"])[1].select("record")
 
 
-@query("scan_json_array", "select s_suppkey, s_name, s_nationkey from supplier")
+@query("scan_json_array", "select s_suppkey, s_name, s_nationkey, s_acctbal from supplier")
 def scan_json_array(spark, sf_dir):
     """One JSON array per nation with scalars between the objects."""
     path = shared_dir(spark, "json")
-    record = F.to_json(F.struct("s_suppkey", "s_name", "s_nationkey"))
+    record = F.to_json(F.struct("s_suppkey", "s_name", "s_nationkey", "s_acctbal"))
     # One document per 1,000 suppliers, so a document's size is bounded.
     document = F.floor(F.col("s_suppkey") / 1000)
     text = F.concat(F.lit('[1, "x", null, '), F.array_join(F.collect_list(record), ", "), F.lit("]"))
     suppliers = table(spark, sf_dir, "supplier")
     documents = suppliers.groupBy(document.alias("d")).agg(text.alias("value"))
     documents.repartition("d").write.partitionBy("d").text(path)
-    read = files.read_json(spark, f"{path}/d=*", ["s_suppkey", "s_name", "s_nationkey"])
-    types = {"s_suppkey": "bigint", "s_nationkey": "integer"}
+    read = files.read_json(spark, f"{path}/d=*", ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"])
+    types = {"s_suppkey": "bigint", "s_nationkey": "integer", "s_acctbal": "double precision"}
     return cast_columns(read, types, "postgresql").rows
 
 

@@ -24,10 +24,10 @@ def _arriving(spark, sf_dir, columns: list[str]) -> tuple[str, object]:
     return path, events.schema
 
 
-@query("stream_ingest", "select event_id, upper(event_type) as event_type, value from events")
+@query("stream_ingest", "select event_id, ts, user_id, upper(event_type) as event_type, value, props from events")
 def stream_ingest(spark, sf_dir):
     """New files cleaned and appended; the second start finds nothing to do."""
-    path, schema = _arriving(spark, sf_dir, ["event_id", "event_type", "value"])
+    path, schema = _arriving(spark, sf_dir, ["event_id", "ts", "user_id", "event_type", "value", "props"])
     target = SnapshotTable(spark, shared_dir(spark, "ingested"))
     checkpoint = shared_dir(spark, "offsets")
     spec = TableSpec("events", [ColumnMapping("event_type", action="transform", rules="uppercase")])

@@ -87,12 +87,12 @@ def translate_all_pairs(spark, sf_dir):
 
 @query(
     "cast_profile_text_dates",
-    "select o_orderkey, o_custkey, o_orderstatus, o_totalprice, cast(o_orderdate as varchar) as o_orderdate "
-    "from orders",
+    "select o_orderkey, o_custkey, o_orderstatus, o_totalprice, cast(o_orderdate as varchar) as o_orderdate, "
+    "o_orderpriority from orders",
 )
 def cast_profile_text_dates(spark, sf_dir):
     """Orders with the physical types of a target that has no dates."""
-    rows = table(spark, sf_dir, "orders").drop("o_orderpriority")
+    rows = table(spark, sf_dir, "orders")
     types = {"o_orderkey": "INTEGER", "o_totalprice": "REAL", "o_orderdate": "TEXT"}
     return cast_columns(rows, types, "sqlite").rows
 

@@ -30,19 +30,12 @@ def write_customer(spark, sf_dir):
     return target.read()
 
 
-_LINE_SUMS = "count(*) as row_count, sum(cast(l_quantity as bigint))::bigint as quantity, sum(l_linenumber)::bigint as numbers"
-
-
-@query("copy_lineitem", f"select l_returnflag, l_linestatus, {_LINE_SUMS} from lineitem group by all")
+@query("copy_lineitem", "select * from lineitem")
 def copy_lineitem(spark, sf_dir):
-    """A table without a key copied whole, checked by its sums."""
+    """A table without a key copied whole."""
     target = new_table(spark)
     target.overwrite(table(spark, sf_dir, "lineitem"))
-    return target.read().groupBy("l_returnflag", "l_linestatus").agg(
-        F.count(F.lit(1)).alias("row_count"),
-        F.sum(F.col("l_quantity").cast("bigint")).alias("quantity"),
-        F.sum("l_linenumber").alias("numbers"),
-    )
+    return target.read()
 
 
 _NEW_ORDERS = """

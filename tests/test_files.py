@@ -131,3 +131,16 @@ def test_read_by_format(spark, folder):
     assert rows(files.read_files(spark, str(folder / "j.jsonl"), "jsonl")) == [("1", "a")]
     with pytest.raises(ValueError):
         files.read_files(spark, "x", "pdf")
+
+
+def test_surplus_cells_are_rejected(spark, folder):
+    from drayline.plans.files import file_tables
+
+    path = folder / "x.csv"
+    path.write_text('a,b\n1,2\n1,2,3\n4\n5,6,\n7,"8,9",z,y\n')
+    assert sorted(tuple(r) for r in files.read_csv(spark, str(path)).collect()) == [("1", "2"), ("4", None), ("5", "6")]
+    tables, rejects = file_tables(spark, str(folder))
+    assert tables["x"].count() == 3
+    assert sorted((r.a, r._faults[0].value) for r in rejects["x"].collect()) == [
+        (1, '{"a":"1","b":"2","_surplus_cell":"3"}'), (7, '{"a":"7","b":"8,9","_surplus_cell":"z"}'),
+    ]
