@@ -73,3 +73,9 @@ def rename_folder(spark: SparkSession, source: str, target: str) -> bool:
     # A rename onto a folder that came up meanwhile puts the old one inside it.
     nested = spark._jvm.org.apache.hadoop.fs.Path(new, old.getName())
     return not system.exists(nested)
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder this library has made with ``shared_dir`` and read for the last time."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -17,19 +17,22 @@ import uuid
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from drayline.session import child_names, rename_folder, shared_dir
+from drayline.session import child_names, drop_folder, rename_folder, shared_dir
 
 BUCKET = "table_bucket"
 BUCKET_BYTES = 256 * 1024 * 1024
 # Beyond this many buckets, buckets grow instead. A shuffle by bucket has one
 # partition per bucket, and the manifest one entry.
 MAX_BUCKETS = 20_000
+# More parts of a bucket than this are merged into one after an append.
+MAX_PARTS = 64
 # Keys of an upsert source up to this many bytes are broadcast; beyond it the
 # old and new rows are shuffled once, by bucket.
 BROADCAST_KEY_BYTES = 32 * 1024 * 1024
@@ -205,8 +208,14 @@ class SnapshotTable:
         self._commit(self.state(), "overwrite", df.schema, keys, buckets, live, rows, run_id)
         return rows
 
-    def append(self, df: DataFrame, run_id: str | None = None, batch_id: int | None = None) -> int:
-        """Add rows (K3). A key, if there is one, is not checked."""
+    def append(
+        self,
+        df: DataFrame,
+        run_id: str | None = None,
+        batch_id: int | None = None,
+        most_parts: int = MAX_PARTS,
+    ) -> int:
+        """Add rows (K3). A key, if there is one, is not checked. Parts beyond ``most_parts`` are merged."""
         state = self._require(df)
         if batch_id is not None and state.batches.get(run_id, -1) >= batch_id:
             return 0  # a repeated batch
@@ -215,8 +224,32 @@ class SnapshotTable:
         self._commit(
             state, "append", state.schema, state.keys, state.buckets, state.live + live, rows, run_id, batch_id
         )
+        self.compact(most_parts)
         return rows
 
+    def compact(self, most_parts: int = MAX_PARTS) -> int:
+        """Merge the parts of a bucket when there are more than ``most_parts`` alike; the merges made.
+
+        A merged part is one level up and merges with its likes only, so a row
+        is rewritten once per level, and live entries grow with the logarithm
+        of the number of appends.
+        """
+        for merges in count():
+            state = self.state()
+            alike: dict[tuple[int, int], list[str]] = {}
+            for bucket, part in state.live:
+                alike.setdefault((_level(part), bucket), []).append(part)
+            crowded = {at: parts for at, parts in alike.items() if len(parts) > most_parts}
+            if not crowded:
+                return merges
+            level = min(at[0] for at in crowded)
+            merged = {(bucket, p) for (at, bucket), parts in crowded.items() if at == level for p in parts}
+            paths = [self._bucket_path(part, bucket, bool(state.keys)) for bucket, part in sorted(merged)]
+            rows = self.spark.read.schema(state.schema).parquet(*paths)
+            _, live, written = self._write_part(rows, state.keys, state.buckets, level + 1)
+            kept = tuple(entry for entry in state.live if entry not in merged)
+            self._commit(state, "compact", state.schema, state.keys, state.buckets, kept + live, written)
+
     def upsert(
         self,
         df: DataFrame,
@@ -245,12 +278,14 @@ class SnapshotTable:
         if sequence:
             df = last_per_key(df, keys, sequence)
         staged_path = shared_dir(self.spark, "upsert")
+        scratch = [staged_path]
         df.select(*state.schema.names).write.parquet(staged_path)
         source = self.spark.read.schema(state.schema).parquet(staged_path)
         affected, key_bytes = self._affected(source, state, unique=bool(sequence))
         old = self._read(state, affected)
         if sequence in state.schema.names and sequence not in keys:
-            source = self._not_older(source, old, keys, sequence, key_bytes <= broadcast_bytes)
+            scratch.append(shared_dir(self.spark, "upsert"))
+            source = self._not_older(source, old, keys, sequence, key_bytes <= broadcast_bytes, scratch[-1])
         rest = [c for c in state.schema.names if c not in keys]
         if not rest or not update:
             # Insert only: existing rows stay where they are.
@@ -273,6 +308,8 @@ class SnapshotTable:
             replaced = set(affected)
             live = tuple(e for e in state.live if e[0] not in replaced) + live
         self._commit(state, "upsert", state.schema, keys, state.buckets, live, rows, run_id, batch_id)
+        for path in scratch:  # the rows are in the table now
+            drop_folder(self.spark, path)
         return rows
 
     def write(self, df: DataFrame, keys: Sequence[str] = (), fresh: bool = False, **options) -> int:
@@ -305,7 +342,7 @@ class SnapshotTable:
         return {r[0] for r in mine.select(F.explode("added")).distinct().collect()}
 
     def _not_older(
-        self, source: DataFrame, old: DataFrame, keys: list[str], sequence: str, small: bool
+        self, source: DataFrame, old: DataFrame, keys: list[str], sequence: str, small: bool, path: str
     ) -> DataFrame:
         """Source rows no stored row of their key is newer than, staged.
 
@@ -318,7 +355,6 @@ class SnapshotTable:
         newest = source.join(stored, keys, "left").where(
             F.col("_stored").isNull() | (F.col(f"`{sequence}`") >= F.col("_stored"))
         )
-        path = shared_dir(self.spark, "upsert")
         newest.drop("_stored").select(*source.columns).write.parquet(path)
         return self.spark.read.schema(source.schema).parquet(path)
 
@@ -341,9 +377,9 @@ class SnapshotTable:
         return [r[BUCKET] for r in found], sum(r.bytes for r in found)
 
     def _write_part(
-        self, df: DataFrame, keys: Sequence[str], buckets: int
+        self, df: DataFrame, keys: Sequence[str], buckets: int, level: int = 0
     ) -> tuple[str, tuple[tuple[int, str], ...], int]:
-        part = uuid.uuid4().hex
+        part = f"{level}-{uuid.uuid4().hex}" if level else uuid.uuid4().hex
         folder = f"{self.path}/data/part={part}"
         seen = Observation()
         if not keys:
@@ -400,6 +436,12 @@ class SnapshotTable:
             raise ConcurrentWrite(f"{self.path} has a commit {number} already")
 
 
+def _level(part: str) -> int:
+    """How often the rows of a part were merged."""
+    level, dash, _ = part.partition("-")
+    return int(level) if dash else 0
+
+
 def _newest(
     old: DataFrame, source: DataFrame, keys: list[str], bucket: Column, buckets: int, sized: int
 ) -> DataFrame:

@@ -297,6 +297,18 @@ def upsert_repeated_keys(spark, sf_dir):
     return results[0].unionByName(results[1])
 
 
+@query("append_compacted", "select event_id, user_id, event_type, value from events")
+def append_compacted(spark, sf_dir):
+    """Eleven appends to a table that keeps two parts alike at most: its live entries stay few."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+    target = new_table(spark)
+    target.create(events.schema)
+    for step in range(11):
+        target.append(events.where(F.col("event_id") % 11 == step), most_parts=2)
+    assert len(target.state().live) <= 6, target.state().live
+    return target.read()
+
+
 @query("overwrite_odd_names", "select o_orderkey, o_orderstatus, o_totalprice from orders")
 def overwrite_odd_names(spark, sf_dir):
     """A keyed table without a named number of buckets, read from a folder with blanks in its name."""
