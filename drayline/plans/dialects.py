@@ -142,9 +142,9 @@ PAIR_WITHOUT_RULE = {
     (POSTGRESQL, SNOWFLAKE): ("cidr", "macaddr", *_NO_GEOMETRY),
     (POSTGRESQL, SQLITE): ("cidr", "macaddr", *_NO_GEOMETRY),
     (POSTGRESQL, SQLSERVER): ("cidr", "macaddr", *_NO_GEOMETRY),
-    (MYSQL, SNOWFLAKE): ("tinyblob", *_MYSQL_SPECIAL),
-    (MYSQL, SQLITE): ("mediumblob", "longblob", "tinyblob", *_MYSQL_SPECIAL),
-    (MYSQL, SQLSERVER): ("mediumblob", "longblob", "tinyblob", *_MYSQL_SPECIAL),
+    (MYSQL, SNOWFLAKE): _MYSQL_SPECIAL,
+    (MYSQL, SQLITE): _MYSQL_SPECIAL,
+    (MYSQL, SQLSERVER): _MYSQL_SPECIAL,
 }
 
 # Default string type and array type per target.

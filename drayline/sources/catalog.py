@@ -8,7 +8,6 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from drayline.plans.dialects import sql_type
 
@@ -202,9 +201,3 @@ def default_of(text: str | None, user_defined: bool = False) -> str | None:
     if found["text"] is not None:
         return found["text"].replace("''", "'")
     return found["plain"]
-
-
-def struct_to_rows(spark: SparkSession, name: str, schema: T.StructType) -> DataFrame:
-    """Catalog rows of one schema, for tables that are not read yet."""
-    empty = spark.createDataFrame([], schema)
-    return describe(spark, {name: empty}, level="columns")

@@ -25,7 +25,6 @@ from drayline.operators.inference import (
 )
 from drayline.operators.mapping import Mapped, cast_columns
 from drayline.plans.dialects import POSTGRESQL
-from drayline.session import shared_dir
 from drayline.sources.listing import extension
 
 Paths = str | Sequence[str]
@@ -336,14 +335,3 @@ def typed(df: DataFrame, lattice: str = "ordered", on_error: str = "reject") ->
     """
     types = inferred_types(infer_types(df, lattice))
     return cast_columns(df, types, POSTGRESQL, on_error)
-
-
-def staged(df: DataFrame, name: str = "staged") -> DataFrame:
-    """The same rows from a table in the shared folder.
-
-    Cuts the lineage, so later steps and lost executors re-read a file
-    instead of repeating the work above.
-    """
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)

@@ -20,7 +20,7 @@ CASES = [
     ("time with time zone", PG, MS, "DATETIMEOFFSET"), ("bigserial", PG, MS, "BIGINT IDENTITY(1,1)"),
     ("tinyint(1)", MY, PG, "SMALLINT(1)"), ("varchar(30)", MY, PG, "VARCHAR(30)"), ("enum('a','b')", MY, PG, "TEXT('a','b')"),
     ("year", MY, PG, "SMALLINT"), ("year", MY, SF, "VARCHAR"), ("decimal(10,2)", MY, SF, "NUMBER(10,2)"),
-    ("tinyblob", MY, SF, "VARCHAR"), ("mediumblob", MY, SF, "BINARY"), ("mediumblob", MY, MS, "NVARCHAR(MAX)"),
+    ("tinyblob", MY, SF, "BINARY"), ("mediumblob", MY, SF, "BINARY"), ("mediumblob", MY, MS, "VARBINARY(MAX)"),
     ("float", MY, MS, "REAL"), ("bit", MY, PG, "BIT"), ("bit", MS, PG, "BOOLEAN"),
     ("number(38,0)", SF, PG, "NUMERIC(38,0)"), ("number", SF, MY, "DECIMAL"), ("char", SF, MY, "CHAR"),
     ("float", SF, MS, "REAL"), ("float", SF, PG, "DOUBLE PRECISION"), ("timestamp_ltz", SF, MS, "DATETIMEOFFSET"),
