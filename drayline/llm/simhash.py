@@ -53,16 +53,21 @@ class SimhashOptions:
 # --- fingerprints ---------------------------------------------------------------------------------
 
 
-def fingerprint(text: str, words: int) -> int:
-    """The fingerprint as an unsigned number."""
+def shingle_hashes(text: str, words: int) -> np.ndarray:
+    """XXH64 of every shingle, in the order of the text, as unsigned numbers."""
     found = text.encode("utf-8", "surrogatepass").lower().split()  # bytes.lower() changes A-Z only
     if not found:
-        return 0
+        return np.empty(0, "<u8")
     if len(found) < words:
         shingles = [b" ".join(found)]
     else:
         shingles = map(b" ".join, zip(*(found[i:] for i in range(words)), strict=False))
-    hashes = np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles], dtype="<u8")
+    return np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles], dtype="<u8")
+
+
+def fingerprint(text: str, words: int) -> int:
+    """The fingerprint as an unsigned number; 0 without a word."""
+    hashes = shingle_hashes(text, words)
     ones = np.zeros(64, np.int64)
     for start in range(0, len(hashes), 1 << 16):
         bits = np.unpackbits(hashes[start : start + (1 << 16)].view(np.uint8), bitorder="little")
@@ -356,15 +361,15 @@ def one_of_each(df: DataFrame, options: SimhashOptions = SimhashOptions()) -> Da
         .where(F.col("doc_id").eqNullSafe(F.col("component_id")))
         .groupBy("root", "component_id")
         .agg(F.min("fp").alias("fp"))
-        .select("fp", _id_key("component_id"))
+        .select("fp", id_key("component_id"))
     )
-    keyed = rows.withColumn("fp", fingerprint_of(F.col("text"), options)).withColumn("id_key", _id_key("doc_id"))
+    keyed = rows.withColumn("fp", fingerprint_of(F.col("text"), options)).withColumn("id_key", id_key("doc_id"))
     met = keyed.join(heads, ["fp", "id_key"])
     # only repeated rows with the least id are left to choose from; they are together already
     copy = F.row_number().over(Window.partitionBy("fp", "id_key").orderBy("text"))
     return met.withColumn("copy", copy).where("copy = 1").select(*(F.col(own.get(c, c)).alias(c) for c in df.columns))
 
 
-def _id_key(column: str) -> Column:
+def id_key(column: str) -> Column:
     """An id as text, NULL as an empty one: joins compare it plainly."""
     return F.coalesce(F.col(column).cast("string"), F.lit("")).alias("id_key")
