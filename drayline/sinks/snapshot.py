@@ -40,7 +40,7 @@ BROADCAST_KEY_BYTES = 32 * 1024 * 1024
 MANIFEST_SCHEMA = (
     "commit_no long, kind string, run_id string, batch_id long, batches map<string,long>, "
     "schema string, keys array<string>, buckets int, rows long, added array<int>, "
-    "live array<struct<bucket:int,part:string>>, committed_at timestamp"
+    "live array<struct<bucket:int,part:string>>, covers array<long>, committed_at timestamp"
 )
 
 
@@ -214,15 +214,19 @@ class SnapshotTable:
         run_id: str | None = None,
         batch_id: int | None = None,
         most_parts: int = MAX_PARTS,
+        covers: Sequence[int] | None = None,
     ) -> int:
-        """Add rows (K3). A key, if there is one, is not checked. Parts beyond ``most_parts`` are merged."""
+        """Add rows (K3). A key, if there is one, is not checked. Parts beyond ``most_parts`` are merged.
+
+        ``covers`` are the batches of a ledger that the rows are; the commit keeps them.
+        """
         state = self._require(df)
         if batch_id is not None and state.batches.get(run_id, -1) >= batch_id:
             return 0  # a repeated batch
         df = df.select(*state.schema.names)
         part, live, rows = self._write_part(df, state.keys, state.buckets)
         self._commit(
-            state, "append", state.schema, state.keys, state.buckets, state.live + live, rows, run_id, batch_id
+            state, "append", state.schema, state.keys, state.buckets, state.live + live, rows, run_id, batch_id, covers
         )
         self.compact(most_parts)
         return rows
@@ -341,6 +345,11 @@ class SnapshotTable:
         mine = self.manifest().where(F.col("run_id") == run_id)
         return {r[0] for r in mine.select(F.explode("added")).distinct().collect()}
 
+    def covered_by_run(self, run_id: str) -> set[int]:
+        """Batches the commits of a run name as theirs."""
+        mine = self.manifest().where(F.col("run_id") == run_id)
+        return {r[0] for r in mine.select(F.explode("covers")).distinct().collect()}
+
     def _not_older(
         self, source: DataFrame, old: DataFrame, keys: list[str], sequence: str, small: bool, path: str
     ) -> DataFrame:
@@ -408,6 +417,7 @@ class SnapshotTable:
         rows: int,
         run_id: str | None = None,
         batch_id: int | None = None,
+        covers: Sequence[int] | None = None,
     ) -> None:
         number = (state.commit_no if state else 0) + 1
         folder = f"{self.path}/manifest/version={number:010d}"
@@ -421,7 +431,7 @@ class SnapshotTable:
         row = [
             (
                 number, kind, run_id, batch_id, batches, nullable.json(), list(keys), buckets, rows,
-                added, list(live),
+                added, list(live), None if covers is None else list(covers),
             )
         ]
         fields = MANIFEST_SCHEMA.rsplit(",", 1)[0]

@@ -285,6 +285,26 @@ def test_a_run_of_two_tables_is_complete_when_both_are(spark, folder):
     assert resumable_load(b, second, ledger, "r", "b", [], 4, waves=2) == 0
 
 
+@pytest.mark.parametrize("again", [(4, 1), (3, 3)])
+def test_a_rerun_without_a_key_may_change_batches_and_waves(spark, folder, monkeypatch, again):
+    df = spark.range(200).selectExpr("id as x", "id * 2 as y")
+    ledger, target = Ledger(spark, str(folder / "l")), SnapshotTable(spark, str(folder / "t"))
+    append, calls = SnapshotTable.append, []
+
+    def dies_once(self, *args, **kwargs):
+        calls.append(1)
+        if len(calls) == 2:
+            raise RuntimeError("lost")
+        return append(self, *args, **kwargs)
+
+    monkeypatch.setattr(SnapshotTable, "append", dies_once)
+    with pytest.raises(RuntimeError, match="lost"):
+        resumable_load(df, target, ledger, "r", "t", [], 4, waves=2)
+    assert 0 < target.read().count() < 200
+    resumable_load(df, target, ledger, "r", "t", [], again[0], waves=again[1])
+    assert rows(target.read()) == rows(df) and ledger.is_complete("r", ["t"])
+
+
 def test_a_commit_is_made_once(spark, folder):
     target = SnapshotTable(spark, str(folder / "t"))
     target.create(spark.range(1).schema)
