@@ -12,11 +12,14 @@ from drayline.operators.mapping import FAULT_TYPE, FAULTS
 from drayline.operators.progress import RunHistory
 from drayline.plans.load import LoadOptions, LoadResult, dry_run, load_tables
 from drayline.plans.spec import TableSpec
-from drayline.sources.files import SURPLUS, csv_surplus, plain_path, read_files, typed
+from drayline.sources.files import RECORD, SURPLUS, csv_surplus, plain_path, read_files, typed
 from drayline.sources.listing import list_files, select_names
+from drayline.sources.workbooks import workbook_surplus
 
 # Formats whose cells are text and get their types by inference.
 _TEXT_FORMATS = ("csv", "json", "jsonl", "xlsx")
+# Formats whose rows may have more cells than their header, and those rows.
+_SURPLUS_ROWS = {"csv": csv_surplus, "xlsx": workbook_surplus}
 
 
 def file_tables(
@@ -44,24 +47,25 @@ def file_tables(
         if any(kind in _TEXT_FORMATS for kind in formats):
             mapped = typed(rows, lattice, on_error)
             rows, rejects[name] = mapped.rows, mapped.rejects
-        for kind in formats.keys() & {"csv"}:
-            rejects[name] = rejects[name].unionByName(
-                _surplus_rejects(spark, formats[kind], rejects[name]), allowMissingColumns=True
-            )
+        for kind in [k for k in formats if k in _SURPLUS_ROWS]:
+            surplus = _surplus_rejects(_SURPLUS_ROWS[kind](spark, formats[kind]), rejects[name])
+            rejects[name] = rejects[name].unionByName(surplus, allowMissingColumns=True)
         tables[name] = rows
     return tables, rejects
 
 
-def _surplus_rejects(spark: SparkSession, paths: list[str], like: DataFrame) -> DataFrame:
-    """Rows with more cells than their header, in the form of other rejects; the fault holds all cells read."""
-    rows = csv_surplus(spark, paths)
-    fault = F.struct(
-        F.lit(SURPLUS).alias("column"),
-        F.lit("more cells than the header").alias("rule"),
-        F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns])).alias("value"),
-    )
+def _surplus_rejects(rows: DataFrame, like: DataFrame) -> DataFrame:
+    """Rows with more cells than their header, in the form of other rejects.
+
+    The first fault holds the cells of the header and the first filled one beyond it, the second the whole row.
+    """
+    read = F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns if c != RECORD]))
+    faults = [
+        F.struct(F.lit(SURPLUS).alias("column"), F.lit(rule).alias("rule"), value.alias("value"))
+        for rule, value in (("more cells than the header", read), ("whole row", F.col(RECORD)))
+    ]
     cells = [F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in like.schema if f.name in rows.columns]
-    return rows.select(*cells, F.array(fault).cast(FAULT_TYPE).alias(FAULTS))
+    return rows.select(*cells, F.array(*faults).cast(FAULT_TYPE).alias(FAULTS))
 
 
 def plan_files(spark: SparkSession, path: str, fresh: bool = False, **options) -> DataFrame:

@@ -66,8 +66,9 @@ def csv_traits(spark: SparkSession, paths: Paths) -> DataFrame:
     )
 
 
-# Holds the first cell beyond the header of a row.
+# Hold the first filled cell beyond the header of a row, and the row as it was read.
 SURPLUS = "_surplus_cell"
+RECORD = "_record"
 
 
 def read_csv(
@@ -78,7 +79,7 @@ def read_csv(
 ) -> DataFrame:
     """Delimited files with a header row, all cells as text.
 
-    Rows with more cells than the header are left out; ``csv_surplus`` has them.
+    Rows with a filled cell beyond the header are left out; ``csv_surplus`` has them.
 
     ``.tsv`` files are split at tabs, others at commas, unless a separator is
     given. Files that are not valid UTF-8 are read as Latin-1. Only files
@@ -87,17 +88,20 @@ def read_csv(
     missing and empty cells. ``check_files=False`` skips the line scan for
     UTF-8 files of one header without such cells.
     """
-    return _read_delimited(spark, paths, separator, check_files).where(F.col(SURPLUS).isNull()).drop(SURPLUS)
+    return csv_rows(spark, paths, separator, check_files).where(F.col(SURPLUS).isNull()).drop(SURPLUS, RECORD)
 
 
 def csv_surplus(
     spark: SparkSession, paths: Paths, separator: str | None = None, check_files: bool = True
 ) -> DataFrame:
-    """Rows of delimited files with a filled cell beyond the header, that cell as ``SURPLUS``."""
-    return _read_delimited(spark, paths, separator, check_files).where(F.col(SURPLUS).isNotNull())
+    """Rows of delimited files with a filled cell beyond the header: the first one as ``SURPLUS``, all as ``RECORD``."""
+    return csv_rows(spark, paths, separator, check_files).where(F.col(SURPLUS).isNotNull())
 
 
-def _read_delimited(spark: SparkSession, paths: Paths, separator: str | None, check_files: bool) -> DataFrame:
+def csv_rows(
+    spark: SparkSession, paths: Paths, separator: str | None = None, check_files: bool = True
+) -> DataFrame:
+    """All rows of delimited files, with ``SURPLUS`` and ``RECORD``."""
     if not check_files:
         tabs = all(p.lower().endswith(".tsv") for p in _as_list(paths))
         sep = separator or ("\t" if tabs else ",")
@@ -115,11 +119,22 @@ def _read_delimited(spark: SparkSession, paths: Paths, separator: str | None, ch
 
 
 def _with_surplus(spark: SparkSession, kind: tuple[str, bool, bool], paths: list[str]) -> DataFrame:
-    """Files of one header, read with one column more than it has."""
+    """Files of one header; the reader keeps the text of each row that has not as many cells as it."""
     named = _csv_reader(spark, *kind).csv(paths)
-    schema = T.StructType([*named.schema.fields, T.StructField(SURPLUS, T.StringType())])
-    # The header was just read: its check would miss the added column.
-    return _csv_reader(spark, *kind).option("enforceSchema", True).schema(schema).csv(paths)
+    text = T.StringType()
+    if not named.columns:
+        return named.withColumns({SURPLUS: F.lit(None).cast(text), RECORD: F.lit(None).cast(text)})
+    schema = T.StructType([*named.schema.fields, T.StructField(RECORD, text)])
+    reader = _csv_reader(spark, *kind).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", RECORD)
+    # Rows are held against all columns, whichever a query takes. The header was just read: its check would
+    # miss the added column.
+    rows = reader.option("columnPruning", False).option("enforceSchema", True).schema(schema).csv(paths)
+    record = F.rtrim(F.col(RECORD), F.lit("\r\n"))
+    beyond = F.slice(_split_record(record, kind[0]), len(named.columns) + 1, 1 << 30)
+    filled = F.get(F.filter(beyond, lambda c: c != ""), F.lit(0))
+    # The reader refuses plans that need no other column than the record.
+    other = F.coalesce(F.octet_length(F.col(f"`{named.columns[0]}`")), F.lit(0)) >= 0
+    return rows.withColumn(SURPLUS, F.when(F.col(RECORD).isNotNull() & other, filled)).withColumn(RECORD, record)
 
 
 def plain_path(path: str) -> str:
@@ -201,6 +216,20 @@ def _split_header(header: Column, separator: str) -> Column:
     )
 
 
+def _split_record(record: Column, separator: str) -> Column:
+    """Cells of a row, which may span lines, with quotes taken off."""
+    sep = re.escape(separator)
+    pattern = f'{sep}("(?:[^"]++|"")*+"(?=$|{sep})|(?:(?!{sep})[\\s\\S])*+)'
+    cells = F.regexp_extract_all(F.concat(F.lit(separator), record), F.lit(pattern), F.lit(1))
+    return F.transform(
+        cells,
+        lambda c: F.when(
+            F.startswith(c, F.lit('"')) & F.endswith(c, F.lit('"')) & (F.char_length(c) > 1),
+            F.replace(F.substr(c, F.lit(2), F.char_length(c) - 2), F.lit('""'), F.lit('"')),
+        ).otherwise(c),
+    )
+
+
 # ---------------------------------------------------------------------------
 # JSON
 # ---------------------------------------------------------------------------

@@ -14,9 +14,11 @@ from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from drayline.sources.files import RECORD, SURPLUS
+
 # XML namespaces, built-in number formats that show dates, and
 # the day serial numbers count from.
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -113,7 +115,7 @@ def _read_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             header = [f"col_{i}" if n is None else n for i, n in enumerate(names)]
             out: list[tuple] = []
             for number, cells in enumerate(rows):
-                cells = (cells + [None] * len(header))[: len(header)]
+                cells += [None] * (len(header) - len(cells))
                 out.append((path, number, header, cells))
                 if len(out) == 5000:
                     yield pd.DataFrame(out, columns=["path", "row", "header", "cells"])
@@ -123,7 +125,7 @@ def _read_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def workbook_rows(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Rows of all workbooks with their header, as arrays of text cells."""
+    """Rows of all workbooks with their header, as arrays of text cells; there may be more cells than the header has."""
     files = spark.read.format("binaryFile").load([paths] if isinstance(paths, str) else list(paths))
     return files.select("path", "content").mapInPandas(_read_batches, CELL_ROWS)
 
@@ -131,12 +133,38 @@ def workbook_rows(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
 def read_workbooks(
     spark: SparkSession, paths: str | Sequence[str], columns: Sequence[str] | None = None
 ) -> DataFrame:
-    """Rows of workbooks as text columns; a header a workbook lacks is NULL."""
+    """Rows of workbooks as text columns; a header a workbook lacks is NULL.
+
+    Rows with a filled cell beyond the header are left out; ``workbook_surplus`` has them.
+    """
+    rows, columns = _rows_and_columns(spark, paths, columns)
+    return rows.where(_surplus_cell().isNull()).select(*_named_cells(columns))
+
+
+def workbook_surplus(
+    spark: SparkSession, paths: str | Sequence[str], columns: Sequence[str] | None = None
+) -> DataFrame:
+    """Rows of workbooks with a filled cell beyond the header: the first one as ``SURPLUS``, all as ``RECORD``."""
+    rows, columns = _rows_and_columns(spark, paths, columns)
+    rows = rows.where(_surplus_cell().isNotNull())
+    return rows.select(*_named_cells(columns), _surplus_cell().alias(SURPLUS), F.to_json("cells").alias(RECORD))
+
+
+def _surplus_cell() -> Column:
+    beyond = F.slice("cells", F.size("header") + 1, F.size("cells") + 1)
+    return F.get(F.filter(beyond, lambda c: c.isNotNull() & (c != "")), F.lit(0))
+
+
+def _rows_and_columns(
+    spark: SparkSession, paths: str | Sequence[str], columns: Sequence[str] | None
+) -> tuple[DataFrame, Sequence[str]]:
     rows = workbook_rows(spark, paths)
     if columns is None:
         names = rows.select(F.posexplode("header").alias("place", "name"))
         names = names.groupBy("name").agg(F.min("place").alias("place")).orderBy("place", "name")
         columns = [r.name for r in names.collect()]
-    return rows.select(
-        *[F.get("cells", F.array_position("header", F.lit(c)).cast("int") - 1).alias(c) for c in columns]
-    )
+    return rows, columns
+
+
+def _named_cells(columns: Sequence[str]) -> list[Column]:
+    return [F.get("cells", F.array_position("header", F.lit(c)).cast("int") - 1).alias(c) for c in columns]

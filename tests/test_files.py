@@ -144,3 +144,20 @@ def test_surplus_cells_are_rejected(spark, folder):
     assert sorted((r.a, r._faults[0].value) for r in rejects["x"].collect()) == [
         (1, '{"a":"1","b":"2","_surplus_cell":"3"}'), (7, '{"a":"7","b":"8,9","_surplus_cell":"z"}'),
     ]
+
+
+def test_no_surplus_cell_is_lost(spark, folder):
+    from drayline.plans.files import file_tables
+
+    (folder / "x.csv").write_text('a,b\n1,2,,3\n4,5,,\n6\n7,8,z,y\n9,"p,q"\n')
+    (folder / "m.csv").write_text('a,b\n1,"2\n2",,"3,""4"""\n5,6\n')
+    (folder / "w.xlsx").write_bytes(workbook_bytes(["a", "b"], [[1, 2], [3, 4, None, 5], [6, 7, None]]))
+    tables, rejects = file_tables(spark, str(folder))
+    assert {n: t.count() for n, t in tables.items()} == {"x": 3, "m": 1, "w": 2}
+    assert sorted(r.a for r in tables["x"].collect()) == [4, 6, 9]
+    whole = {n: sorted(r._faults[1].value for r in rejects[n].collect()) for n in tables}
+    assert whole["x"] == ["1,2,,3", "7,8,z,y"]
+    assert whole["m"] == ['1,"2\n2",,"3,""4"""']
+    assert [json.loads(v) for v in whole["w"]] == [["3", "4", None, "5"]]
+    assert files.read_csv(spark, str(folder / "x.csv")).count() == 3
+    assert read_workbooks(spark, str(folder / "w.xlsx")).count() == 2
