@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,14 +12,15 @@ from drayline.operators.mapping import FAULT_TYPE, FAULTS
 from drayline.operators.progress import RunHistory
 from drayline.plans.load import LoadOptions, LoadResult, dry_run, load_tables
 from drayline.plans.spec import TableSpec
-from drayline.sources.files import RECORD, SURPLUS, csv_surplus, plain_path, read_files, typed
+from drayline.sources.files import RECORD, SURPLUS, csv_rows, csv_surplus, plain_path, read_files, typed
 from drayline.sources.listing import list_files, select_names
-from drayline.sources.workbooks import workbook_surplus
+from drayline.sources.workbooks import workbook_rows, workbook_surplus
 
 # Formats whose cells are text and get their types by inference.
 _TEXT_FORMATS = ("csv", "json", "jsonl", "xlsx")
 # Formats whose rows may have more cells than their header, and those rows.
 _SURPLUS_ROWS = {"csv": csv_surplus, "xlsx": workbook_surplus}
+_EVERY_ROW = {"csv": csv_rows, "xlsx": workbook_rows}
 
 
 def file_tables(
@@ -36,11 +37,24 @@ def file_tables(
     Files of the same name and format make one table in one read. Only file
     names reach the driver; text files are scanned once for their types.
     """
+    return _read_tables(spark, path, file_format, selected, recursive, lattice, on_error)[:2]
+
+
+def _read_tables(
+    spark: SparkSession,
+    path: str,
+    file_format: str | None = None,
+    selected: Iterable[str] = (),
+    recursive: bool = False,
+    lattice: str = "ordered",
+    on_error: str = "reject",
+) -> tuple[dict[str, DataFrame], dict[str, DataFrame], dict[str, DataFrame]]:
+    """What ``file_tables`` returns, and all rows of the files by table, to be counted."""
     listing = select_names(list_files(spark, path, file_format, recursive), selected, "table_name")
     grouped: dict[str, dict[str, list[str]]] = {}
     for row in listing.orderBy("path").select("table_name", "format", "path").toLocalIterator():
         grouped.setdefault(row.table_name, {}).setdefault(row.format, []).append(plain_path(row.path))
-    tables, rejects = {}, {}
+    tables, rejects, unfiltered = {}, {}, {}
     for name, formats in grouped.items():
         frames = [read_files(spark, paths, kind) for kind, paths in formats.items()]
         rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
@@ -51,7 +65,9 @@ def file_tables(
             surplus = _surplus_rejects(_SURPLUS_ROWS[kind](spark, formats[kind]), rejects[name])
             rejects[name] = rejects[name].unionByName(surplus, allowMissingColumns=True)
         tables[name] = rows
-    return tables, rejects
+        every = [_EVERY_ROW.get(k, partial(read_files, file_format=k))(spark, p) for k, p in formats.items()]
+        unfiltered[name] = reduce(DataFrame.unionAll, [df.select(F.lit(1).alias("row")) for df in every])
+    return tables, rejects, unfiltered
 
 
 def _surplus_rejects(rows: DataFrame, like: DataFrame) -> DataFrame:
@@ -83,8 +99,8 @@ def load_files(
     **reading,
 ) -> LoadResult:
     """Load every supported file of a folder into a table of its name."""
-    tables, rejects = file_tables(spark, path, **reading)
-    result = load_tables(spark, tables, target_path, specs, (), options, history, source_name=path)
-    for name, rows in rejects.items():
-        result.rejects.setdefault(name, rows)
-    return result
+    tables, rejects, unfiltered = _read_tables(spark, path, **reading)
+    return load_tables(
+        spark, tables, target_path, specs, (), options, history,
+        source_name=path, refused=rejects, unfiltered=unfiltered,
+    )

@@ -161,3 +161,19 @@ def test_no_surplus_cell_is_lost(spark, folder):
     assert [json.loads(v) for v in whole["w"]] == [["3", "4", None, "5"]]
     assert files.read_csv(spark, str(folder / "x.csv")).count() == 3
     assert read_workbooks(spark, str(folder / "w.xlsx")).count() == 2
+
+
+def test_load_files_keeps_the_rejects_of_reading(spark, folder):
+    from drayline.plans.files import load_files
+    from drayline.plans.load import LoadOptions
+    from drayline.plans.spec import ColumnMapping, TableSpec
+
+    (folder / "in").mkdir()
+    (folder / "in" / "x.csv").write_text("a,d\n1,5\n2,6,,7\n3,oops\n4,8\n")
+    spec = TableSpec("x", [ColumnMapping("a"), ColumnMapping("d", target_type="INTEGER")])
+    out = load_files(spark, str(folder / "in"), str(folder / "out"), {"x": spec}, LoadOptions(on_error="reject"))
+    assert out.status == "success", out.errors
+    assert out.rows == {"x": 2}
+    assert sorted(int(r.a) for r in out.rejects["x"].collect()) == [2, 3]
+    check = out.checks.collect()[0]
+    assert (check.source_rows, check.target_rows, check.rejected_rows, check.matches) == (4, 2, 2, True)
