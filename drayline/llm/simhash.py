@@ -38,6 +38,8 @@ from pyspark.sql import functions as F
 from drayline.llm.base import column_udf, staged, texts_of
 
 SEED = 42
+#: Sampled fingerprints of a shard.
+SHARD_SAMPLE = 256
 
 
 @dataclass(frozen=True)
@@ -243,12 +245,21 @@ def shard_links(home: np.ndarray, guests: np.ndarray, options: SimhashOptions) -
 # --- Spark ----------------------------------------------------------------------------------------
 
 
+def sample_size(rows: int, shards: int, options: SimhashOptions) -> int:
+    """Fingerprints the tree is built from: some for each shard, none for one shard, never the whole set."""
+    return 0 if shards < 2 else min(options.sample_rows, SHARD_SAMPLE * shards, rows // 4)
+
+
 def near_links(fingerprints: DataFrame, options: SimhashOptions) -> DataFrame:
     """Rows (fp, least) joining every group of near fingerprints. Input: distinct fingerprints, column fp."""
     rows = fingerprints.count()
     mixed = F.xxhash64(F.col("fp"))
-    sample = fingerprints.orderBy(mixed, "fp").limit(options.sample_rows).toPandas()["fp"].to_numpy(np.int64)
-    tree = ShardTree.build(sample.view(np.uint64), -(-rows // options.shard_rows))
+    shards = -(-rows // options.shard_rows)
+    wanted = sample_size(rows, shards, options)
+    sample = np.empty(0, np.int64)
+    if wanted:
+        sample = fingerprints.orderBy(mixed, "fp").limit(wanted).toPandas()["fp"].to_numpy(np.int64)
+    tree = ShardTree.build(sample.view(np.uint64), shards)
     reach, block_rows = options.distance, options.block_rows
 
     def route(batches):

@@ -74,3 +74,11 @@ def test_documents(spark, odd_documents, no_documents):
     components = [r["component_id"] for r in found]
     assert sorted(r["doc_id"] or 0 for r in kept.collect()) == sorted({c or 0 for c in components})
     assert sh.near_duplicates(no_documents).collect() == [] and sh.one_of_each(no_documents).collect() == []
+
+
+def test_the_sample_is_never_the_whole_set():
+    options = sh.SimhashOptions()
+    for rows in (0, 1, 8192, 8193, 9296, 100_000, 10**9):
+        shards = -(-rows // options.shard_rows)
+        size = sh.sample_size(rows, shards, options)
+        assert size <= min(rows // 4, options.sample_rows) and (size == 0) == (shards < 2)
