@@ -3,6 +3,11 @@
 Every stage takes all rows its predecessor kept and decides for itself; ``run`` writes each stage's
 rows to the shared folder and reads them back as the next one's documents. All but the last return the
 columns of ``documents``; the last adds piece_ids, n_pieces, score and margin.
+
+Defined cases: NULL and empty texts fail the base rules and go in the first stage; very long texts are worked on
+whole; rows that repeat an id are judged row by row, and near_dedup keeps one of those with the same fingerprint;
+an empty table stays empty through all stages; extra columns are carried to the end, but for those named like the
+columns that the last stage adds, which it replaces.
 """
 
 from __future__ import annotations
@@ -10,11 +15,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from drayline.llm.base import staged, table
-from drayline.llm.jaccard import one_of_alike
 from drayline.llm.mixing import mixed_documents
 from drayline.llm.quality_classifier import keep_predicted, train
 from drayline.llm.quality_rules import keep_good
 from drayline.llm.segmentation import with_segments
+from drayline.llm.simhash import SimhashOptions, one_of_each
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +37,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of the documents connected by a Jaccard similarity of 0.8 or more of five-word shingles the one with the least id."""
-    return one_of_alike(docs)
+    """Of the documents connected by SimHash fingerprints of three-word shingles at 2 or fewer bits the one with the least id."""
+    return one_of_each(docs, SimhashOptions(words=3, distance=2))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
