@@ -33,6 +33,7 @@ def load_all() -> None:
         query_quality_rules,
         query_segmentation,
         query_quality_classifier,
+        query_runs,
         query_separators,
         query_simhash,
         query_token_files,
