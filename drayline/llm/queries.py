@@ -26,6 +26,7 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     from drayline.llm import (  # noqa: F401
+        query_alignment,
         query_chat,
         query_decontamination,
         query_hamming_search,
