@@ -25,6 +25,7 @@ from drayline.operators.inference import (
 )
 from drayline.operators.mapping import Mapped, cast_columns
 from drayline.plans.dialects import POSTGRESQL
+from drayline.sources.blocks import csv_records, json_elements, opens_cell
 from drayline.sources.listing import extension
 
 Paths = str | Sequence[str]
@@ -42,25 +43,28 @@ def _as_list(paths: Paths) -> list[str]:
 # ---------------------------------------------------------------------------
 
 
-def csv_traits(spark: SparkSession, paths: Paths) -> DataFrame:
-    """Per file: is it UTF-8, does a quoted cell span lines, and its header's hash.
+def csv_traits(spark: SparkSession, paths: Paths, separator: str | None = None) -> DataFrame:
+    """Per file: is it UTF-8, does a quoted cell span lines (one of the header), and its header's hash.
 
     A line scan: the text source keeps raw bytes, so all is checked line by
-    line in parallel, and a file is never held as one value. A line with an
-    odd number of quote signs opens or closes a cell that spans lines.
+    line in parallel, and a file is never held as one value. As long as no
+    line opens a cell that it doesn't close, none starts inside one.
     """
-    quotes = F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))
+    path = F.col("_metadata.file_path")
+    tabs = opens_cell(F.col("value"), separator or "\t")
+    opens = tabs if separator else F.when(extension(path) == ".tsv", tabs).otherwise(opens_cell(F.col("value"), ","))
     lines = spark.read.text(_as_list(paths)).select(
-        F.col("_metadata.file_path").alias("path"),
+        path.alias("path"),
         # Only lines of a file's first block can be its header.
         F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id()).alias("line"),
         F.expr("is_valid_utf8(value)").alias("utf8"),
-        (quotes % 2 == 1).alias("odd"),
+        opens.alias("opens"),
         "value",
     )
     return lines.groupBy("path").agg(
         F.every("utf8").alias("is_utf8"),
-        F.some("odd").alias("spans_lines"),
+        F.some("opens").alias("spans_lines"),
+        F.min_by("opens", "line").alias("header_spans_lines"),
         F.first(extension(F.col("path"))).alias("extension"),
         F.md5(F.min_by("value", "line")).alias("header"),
     )
@@ -82,8 +86,8 @@ def read_csv(
     Rows with a filled cell beyond the header are left out; ``csv_surplus`` has them.
 
     ``.tsv`` files are split at tabs, others at commas, unless a separator is
-    given. Files that are not valid UTF-8 are read as Latin-1. Only files
-    with cells that span lines are read whole; all others are split. Files
+    given. Files that are not valid UTF-8 are read as Latin-1. All files are
+    split; where cells span lines, records are cut by ``csv_records``. Files
     may have different headers; a column a file lacks is NULL, and so are
     missing and empty cells. ``check_files=False`` skips the line scan for
     UTF-8 files of one header without such cells.
@@ -107,9 +111,10 @@ def csv_rows(
         sep = separator or ("\t" if tabs else ",")
         return _with_surplus(spark, (sep, True, False), _as_list(paths))
     groups: dict[tuple, list[str]] = {}
-    for row in csv_traits(spark, paths).orderBy("path").toLocalIterator():
+    for row in csv_traits(spark, paths, separator).orderBy("path").toLocalIterator():
         sep = separator or ("\t" if row.extension == ".tsv" else ",")
-        kind = (sep, row.is_utf8, row.spans_lines, row.header)
+        header = row.path if row.header_spans_lines else row.header
+        kind = (sep, row.is_utf8, row.spans_lines, header)
         groups.setdefault(kind, []).append(plain_path(row.path))
     if not groups:
         return _with_surplus(spark, (separator or ",", True, False), _as_list(paths))
@@ -125,15 +130,25 @@ def _with_surplus(spark: SparkSession, kind: tuple[str, bool, bool], paths: list
     if not named.columns:
         return named.withColumns({SURPLUS: F.lit(None).cast(text), RECORD: F.lit(None).cast(text)})
     schema = T.StructType([*named.schema.fields, T.StructField(RECORD, text)])
+    if kind[2]:
+        records = csv_records(spark, paths, kind[0], kind[1]).where(~F.col("first"))
+        ddl = ", ".join(f"`{f.name.replace('`', '``')}` string" for f in schema.fields)
+        options = {"sep": kind[0], "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": RECORD, "columnPruning": "false"}
+        rows = records.select(F.from_csv("record", F.lit(ddl), options).alias("_row")).select("_row.*")
+        return _surplus_marked(rows, named.columns, kind[0])
     reader = _csv_reader(spark, *kind).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", RECORD)
     # Rows are held against all columns, whichever a query takes. The header was just read: its check would
     # miss the added column.
     rows = reader.option("columnPruning", False).option("enforceSchema", True).schema(schema).csv(paths)
+    return _surplus_marked(rows, named.columns, kind[0])
+
+
+def _surplus_marked(rows: DataFrame, names: list[str], separator: str) -> DataFrame:
     record = F.rtrim(F.col(RECORD), F.lit("\r\n"))
-    beyond = F.slice(_split_record(record, kind[0]), len(named.columns) + 1, 1 << 30)
+    beyond = F.slice(_split_record(record, separator), len(names) + 1, 1 << 30)
     filled = F.get(F.filter(beyond, lambda c: c != ""), F.lit(0))
     # The reader refuses plans that need no other column than the record.
-    other = F.coalesce(F.octet_length(F.col(f"`{named.columns[0]}`")), F.lit(0)) >= 0
+    other = F.coalesce(F.octet_length(F.col(f"`{names[0]}`")), F.lit(0)) >= 0
     return rows.withColumn(SURPLUS, F.when(F.col(RECORD).isNotNull() & other, filled)).withColumn(RECORD, record)
 
 
@@ -258,25 +273,12 @@ def json_records(spark: SparkSession, paths: Paths) -> DataFrame:
     """Objects of JSON documents, one row per object, as text.
 
     A document is an array of objects, whose other elements are skipped, or a
-    single object. A document that is neither raises. A document is read by
-    one task; large data belongs in JSON Lines.
+    single object. A document that is neither, or an object that is broken,
+    raises. Documents are read in blocks by many tasks.
     """
-    docs = spark.read.text(_as_list(paths), wholetext=True).select(
-        F.col("_metadata.file_path").alias("path"), F.trim("value").alias("value")
-    )
-    value = F.col("value")
-    elements = F.when(F.startswith(value, F.lit("[")), F.from_json(value, "array<string>")).when(
-        F.startswith(value, F.lit("{")), F.array(value)
-    )
-    checked = F.coalesce(
-        elements,
-        F.raise_error(F.concat(F.lit("not a JSON array or object: "), F.col("path"))).cast("array<string>"),
-    )
-    records = docs.select("path", F.posexplode(checked).alias("line", "record"))
-    kind = F.schema_of_variant(F.try_parse_json("record"))
-    return records.where(F.startswith(kind, F.lit("OBJECT"))).select(
-        "path", F.lit(0).cast("long").alias("block"), F.col("line").cast("long").alias("line"), "record"
-    )
+    records = json_elements(spark, _as_list(paths))
+    kind = F.schema_of_variant(F.parse_json("record"))
+    return records.where(F.startswith(kind, F.lit("OBJECT"))).select("path", "block", "line", "record")
 
 
 def pick_keys(records: DataFrame, keys: Sequence[str], record: str = "record") -> DataFrame:

@@ -71,6 +71,27 @@ def scan_csv_quoted_text(spark, sf_dir):
     return cast_columns(read, {"doc_id": "bigint", "n_chars": "bigint"}, "postgresql").rows
 
 
+def _write_lines(rows: DataFrame, first: str, path: str, last: str | None = None) -> None:
+    """Text files of ``rows`` (document, value) between a first and a last line; one file per document."""
+    bounds = [F.struct(F.lit(0).alias("o"), F.lit(first).alias("v"))]
+    bounds += [] if last is None else [F.struct(F.lit(2).alias("o"), F.lit(last).alias("v"))]
+    around = rows.select("document").distinct().select("document", F.explode(F.array(*bounds)).alias("x")).select("document", "x.o", "x.v")
+    lines = rows.select("document", F.lit(1).alias("o"), F.col("value").alias("v")).unionByName(around)
+    sorted_lines = lines.repartition("document").sortWithinPartitions("document", "o")
+    sorted_lines.select("document", F.col("v").alias("value")).write.partitionBy("document").text(path)
+
+
+@query("scan_csv_spanning", "select doc_id, n_chars || '\"' as mark, text, lang, source from documents")
+def scan_csv_spanning(spark, sf_dir):
+    """Cells that span lines behind inch marks that stand in plain cells; a file per 1,000 documents."""
+    path = shared_dir(spark, "spanning")
+    quoted = F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"'))
+    cells = F.concat_ws(",", "doc_id", F.concat("n_chars", F.lit('"')), quoted, "lang", "source")
+    docs = table(spark, sf_dir, "documents")
+    _write_lines(docs.select(F.floor(F.col("doc_id") / 1000).alias("document"), cells.alias("value")), "doc_id,mark,text,lang,source", path)
+    return cast_columns(files.read_csv(spark, f"{path}/document=*"), {"doc_id": "bigint"}, "postgresql").rows
+
+
 def _event_lines(spark, sf_dir) -> str:
     """Events as JSON Lines with blank, broken and non-object lines between."""
     path = shared_dir(spark, "jsonl")
@@ -127,6 +148,18 @@ def scan_json_array(spark, sf_dir):
     return cast_columns(read, types, "postgresql").rows
 
 
+@query("scan_json_documents", "select * from orders")
+def scan_json_documents(spark, sf_dir):
+    """Long JSON arrays, of up to 25,000 orders each, with arrays and text between the objects."""
+    path = shared_dir(spark, "json")
+    orders = table(spark, sf_dir, "orders")
+    order = F.to_json(F.struct(*orders.columns), {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"})
+    document = F.floor(F.col("o_orderkey") / 100_000)
+    _write_lines(orders.select(document.alias("document"), F.concat(F.lit(","), order).alias("value")), '[[{"no": "[{"}], "}{"', path, "]")
+    read = files.read_json(spark, f"{path}/document=*", orders.columns)
+    return cast_columns(read, ORDER_TYPES, "postgresql").rows
+
+
 @query("scan_workbooks", "select s_suppkey, s_name, s_acctbal from supplier")
 def scan_workbooks(spark, sf_dir):
     """Suppliers as many small workbooks, read back in one job."""
