@@ -84,6 +84,45 @@ def upsert_shuffled(spark, sf_dir):
     return target.read()
 
 
+_SCATTERED = """
+with changed as (
+    select o_orderkey, o_custkey, 'S' as o_orderstatus, o_totalprice + 1000 as o_totalprice, o_orderdate, o_orderpriority
+    from orders where o_orderkey % 97 = 5),
+merged as (select * from orders where o_orderkey % 97 <> 5 union all select * from changed)
+select 'merged' as way, * from merged union all select 'folded', * from merged
+"""
+
+
+@query("upsert_scattered", _SCATTERED)
+def upsert_scattered(spark, sf_dir):
+    """Few keys in all buckets of a table: written as they are, merged by readers, then folded into the rows."""
+    orders = table(spark, sf_dir, "orders")
+    target = new_table(spark)
+    target.overwrite(orders, ["o_orderkey"], 4)
+    changed = orders.where("o_orderkey % 97 = 5")
+    target.upsert(changed.withColumns({"o_totalprice": F.col("o_totalprice") + 1000, "o_orderstatus": F.lit("S")}))
+    before, added = target.state().parts
+    if before.dead or not added.merges or added.size > before.size:
+        raise AssertionError(f"{added.size} bytes written for {added.rows} rows")
+    merged = target.read().select(F.lit("merged").alias("way"), "*")
+    target.compact(most_merges=0)
+    return merged.unionByName(target.read().select(F.lit("folded").alias("way"), "*"))
+
+
+@query("append_grown", "select * from orders")
+def append_grown(spark, sf_dir):
+    """Eight appends to a keyed table of two buckets, which become as many as its size asks for."""
+    orders = table(spark, sf_dir, "orders")
+    target = SnapshotTable(spark, shared_dir(spark, "table"), bucket_bytes=16 * 1024)
+    target.create(orders.schema, ["o_orderkey"], 2)
+    for step in range(8):
+        target.append(orders.where(F.pmod(F.hash("o_orderkey"), F.lit(8)) == step), most_parts=3)
+    state = target.state()
+    if state.buckets < 4 or len(state.parts) > 6 or any(p.size > 2 * p.buckets * 16 * 1024 for p in state.parts):
+        raise AssertionError(f"parts of {[(p.buckets, p.size) for p in state.parts]}")
+    return target.read()
+
+
 @query("merge_rows", _UPSERTED)
 def merge_rows_query(spark, sf_dir):
     """The merge as a plan over two DataFrames, without a target table."""
@@ -305,7 +344,7 @@ def append_compacted(spark, sf_dir):
     target.create(events.schema)
     for step in range(11):
         target.append(events.where(F.col("event_id") % 11 == step), most_parts=2)
-    assert len(target.state().live) <= 6, target.state().live
+    assert len(target.state().parts) <= 6, target.state().parts
     return target.read()
 
 

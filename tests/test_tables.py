@@ -1,5 +1,8 @@
 """Snapshot tables, ledgers and loads."""
 
+import random
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,7 +10,15 @@ from drayline.operators.ledger import Ledger, hash_batch, pending_rows, resumabl
 from drayline.operators.progress import RunHistory
 from drayline.plans.load import LoadOptions, column_warnings, dry_run, load_tables, write_mode
 from drayline.plans.spec import ColumnMapping, TableSpec
-from drayline.sinks.snapshot import ConcurrentWrite, DuplicateKeys, SnapshotTable, bucket_count, last_per_key
+from drayline.sinks.snapshot import (
+    ConcurrentWrite,
+    DuplicateKeys,
+    SnapshotTable,
+    bucket_count,
+    key_bucket,
+    last_per_key,
+    row_bucket,
+)
 
 
 def rows(df):
@@ -37,10 +48,95 @@ def test_upsert_is_idempotent(spark, people, limit):
 
 
 def test_only_touched_buckets_are_rewritten(spark, people):
-    before = set(people.state().live)
-    people.upsert(changes(spark, [(3, "three", 1)]))
-    after = set(people.state().live)
-    assert len(before - after) == len(after - before) == 1
+    (first,) = people.state().parts
+    people.upsert(people.read().where("id < 40 and pmod(xxhash64(id), 8) = 3").withColumn("v", F.lit(5)))
+    old, new = people.state().parts
+    assert old == replace(first, dead=(3,)) and not new.merges and people.read().count() == 100
+
+
+def test_few_rows_are_merged_by_readers(spark, people):
+    people.overwrite(spark.range(1000).select("id", F.lit("n").alias("name"), F.lit(0).alias("v")), ["id"], 8)
+    (first,) = people.state().parts
+    for turn in range(3):
+        people.upsert(changes(spark, [(3, f"t{turn}", turn), (3000 + turn, "new", turn)]))
+    old, *merged = people.state().parts
+    assert old == first and all(p.merges and p.rows == 2 and p.size < first.size for p in merged)
+    got = {r.id: (r.name, r.v) for r in people.read().collect()}
+    assert len(got) == people.read().count() == 1003 and got[3] == ("t2", 2) and got[3000] == ("new", 0)
+    assert people.compact(most_merges=2) == 1 and not any(p.merges for p in people.state().parts)
+    assert {r.id: (r.name, r.v) for r in people.read().collect()} == got and people.read().count() == 1003
+
+
+def test_any_order_of_writes(spark, folder):
+    """Against a dictionary: appends, merged and rewriting upserts, insert-only ones, folds, growth."""
+    for seed in range(1):
+        draw = random.Random(seed)
+        target = SnapshotTable(spark, str(folder / f"t{seed}"), bucket_bytes=4000)
+        target.create(changes(spark, []).schema, ["id"], 2)
+        model, fresh = {}, 1000
+        for step in range(12):
+            kind = draw.choice(["append", "few", "few", "many", "insert", "sequence", "compact"])
+            if kind == "append":
+                added = {fresh + i: (f"a{step}", step) for i in range(draw.choice([5, 150]))}
+                fresh += len(added)
+                target.append(changes(spark, [(k, *v) for k, v in added.items()]), most_parts=draw.choice([1, 8]))
+                model |= added
+            elif kind == "compact":
+                target.compact(1, draw.choice([0, 3]))
+            else:
+                known = draw.sample(sorted(model), min(len(model), 3 if kind == "few" else 60))
+                rows = {k: (f"{kind}{step}", draw.randint(0, 20)) for k in [*known, *range(step, step + 3)]}
+                source = changes(spark, [(k, *v) for k, v in rows.items()])
+                limit = draw.choice([0, 1 << 20])
+                if kind == "insert":
+                    target.upsert(source, update=False, broadcast_bytes=limit)
+                    model = rows | model
+                elif kind == "sequence":
+                    target.upsert(source, sequence="v", broadcast_bytes=limit)
+                    model |= {k: v for k, v in rows.items() if k not in model or v[1] >= model[k][1]}
+                else:
+                    target.upsert(source, broadcast_bytes=limit)
+                    model |= rows
+            got = target.read().collect()
+            assert sorted((r.id, r.name, r.v) for r in got) == sorted((k, *v) for k, v in model.items()), (seed, step, kind)
+        some = target.read([0]).collect()
+        assert {r.id for r in some} == {r.id for r in target.read().where(key_bucket(["id"], target.state().buckets) == 0).collect()}
+
+
+def test_buckets_grow_with_the_table(spark, folder):
+    target = SnapshotTable(spark, str(folder / "g"), bucket_bytes=20_000)
+    target.create(spark.range(0).withColumn("t", F.lit("")).schema, ["id"], 2)
+    for step in range(12):
+        target.append(spark.range(step * 500, step * 500 + 500).withColumn("t", F.sha2(F.col("id").cast("string"), 256)), most_parts=3)
+    state = target.state()
+    assert state.buckets >= 16 and len(state.parts) <= 9 and target.read().count() == 6000
+    assert all(p.size <= 2 * p.buckets * 20_000 for p in state.parts)
+    kept = SnapshotTable(spark, str(folder / "k"), bucket_bytes=10)
+    kept.create(spark.range(0).schema, ["id"], 2)
+    for step in range(2):  # the buckets of a resumable load are its batches
+        kept.append(spark.range(step * 9, step * 9 + 9), run_id="r")
+    assert kept.state().buckets == 2 and kept.buckets_of_run("r") == {0, 1}
+
+
+def test_many_keyed_appends_keep_few_parts(spark, folder):
+    target = SnapshotTable(spark, str(folder / "m"))
+    target.create(spark.range(0).schema, ["id"], 256)
+    for step in range(12):
+        target.append(spark.range(step * 40, step * 40 + 40), most_parts=4)
+    state = target.state()
+    assert len(state.parts) <= 8 and not any(p.filled or p.dead for p in state.parts)
+    assert sorted(r.id for r in target.read().collect()) == list(range(480))
+
+
+def test_rows_with_maps_are_batched(spark, folder):
+    df = spark.range(60).select("id", F.create_map(F.lit("k"), F.col("id") % 7, F.lit("a"), F.lit(1)).alias("m"), F.array(F.create_map(F.lit(1), "id")).alias("l"))
+    target, ledger = SnapshotTable(spark, str(folder / "t")), Ledger(spark, str(folder / "l"))
+    assert resumable_load(df, target, ledger, "r", "t", [], 4, waves=2) == 60
+    assert sorted(r.id for r in target.read().collect()) == list(range(60))
+    swapped = df.withColumn("m", F.map_from_entries(F.reverse(F.map_entries("m"))))
+    assert df.select(row_bucket(df, 50)).collect() == swapped.select(row_bucket(swapped, 50)).collect()
+    last = last_per_key(df.withColumn("one", F.lit(1)), ["one"], "id").collect()
+    assert [r.id for r in last] == [59]
 
 
 def test_upsert_refuses_bad_keys(spark, people):
@@ -71,7 +167,7 @@ def test_a_second_writer_is_noticed(spark, people):
     stale = people.state()
     people.upsert(one)
     with pytest.raises(ConcurrentWrite):
-        people._commit(stale, "append", stale.schema, stale.keys, stale.buckets, stale.live, 0)
+        people._commit(stale, "append", stale.schema, stale.keys, stale.buckets, stale.parts, 0)
 
 
 def test_a_column_may_be_called_bucket(spark, folder):
