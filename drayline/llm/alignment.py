@@ -41,7 +41,7 @@ BLANK = "▁"
 #: A stretch begins with blanks and ends before blanks that follow no white space.
 STRETCH = re.compile(r" +[^ ]*(?:(?<=\s) +[^ ]*)*")
 #: What a remembered stretch takes beside its contents: dictionary slots, a tuple, heads of text and bytes.
-ENTRY_BYTES = 350
+ENTRY_BYTES = 500
 LEARN_CHARS = 1 << 18
 ADDED = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups", "groups_sha256")
 
@@ -50,7 +50,7 @@ ADDED = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups", "
 class AlignOptions:
     tokenizer: str = ""  # path of a byte-level BPE file (A); empty: the public 50k one
     model: str = ""  # path of a SentencePiece model (B); empty: the public 32k one
-    remembered: int = 64 << 20  # bytes of stretches a worker remembers; twice as many at most
+    remembered: int = 32 << 20  # bytes of stretches a worker remembers; twice as many at most
     longest: int = 256  # characters of a remembered stretch
     broadcast_pairs: int = 1 << 21  # as many counted pairs are broadcast at most (about 40 bytes each)
     salts: int = 16  # keys that a pair is spread over in a shuffle

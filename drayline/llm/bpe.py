@@ -14,6 +14,8 @@ import numpy as np
 #: with others go to the library whole.
 PLAIN_END = 0x370
 GROUP_CHARS = 1 << 20
+#: What a remembered word takes: dictionary slots, heads of word and ids, and up to LONG_WORD characters.
+ENTRY_BYTES, LONG_WORD = 350, 16
 
 
 def _class(kind: str) -> str:
@@ -66,6 +68,7 @@ class ByteBpe:
         # two generations: words met again move to the young one, and the old one is dropped when that is full
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.held = 0  # bytes of the young one
 
     def _raw(self, texts: list[str]) -> list[np.ndarray]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
@@ -91,8 +94,9 @@ class ByteBpe:
 
     def _remember(self, words: set[str]) -> None:
         """Bring words into the young memory."""
-        if len(self.young) >= self.remembered:
-            self.old, self.young = self.young, {}
+        if self.held >= self.remembered:
+            self.old, self.young, self.held = self.young, {}, 0
+        before = len(self.young)
         new = []
         for word in words:
             if word not in self.young:
@@ -103,6 +107,9 @@ class ByteBpe:
                     self.young[word] = known
         if new:
             self._learn(new)
+        # blanks of a long line and other long words count by their length, all others by what an entry takes
+        added = len(self.young) - before
+        self.held += added * ENTRY_BYTES + sum(4 * len(w) for w in words if len(w) > LONG_WORD)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian numbers of ``kind``."""
@@ -131,6 +138,6 @@ class ByteBpe:
 
 
 @lru_cache(maxsize=2)
-def byte_bpe(path: str, plain: bool = False, remembered: int = 400_000) -> ByteBpe:
-    """One per worker process and file; it remembers ``remembered`` words, twice as many at most."""
+def byte_bpe(path: str, plain: bool = False, remembered: int = 32 << 20) -> ByteBpe:
+    """One per worker process and file; it remembers ``remembered`` bytes of words, twice as many at most."""
     return ByteBpe(path, remembered, plain)

@@ -42,13 +42,15 @@ from drayline.llm.base import column_udf, struct_array, texts_of
 BLANK = "▁"
 UNKNOWN_PENALTY = 10.0
 NEVER = float("-inf")
+#: What a remembered stretch takes beside its text and ids: two dictionary slots, a tuple, numbers and heads.
+ENTRY_BYTES = 500
 
 
 @dataclass(frozen=True)
 class SegmentOptions:
     model: str = ""  # path of the model file; empty: the public 32k model
     paths: int = 4  # N
-    remembered: int = 400_000  # stretches a worker remembers; twice as many at most
+    remembered: int = 64 << 20  # bytes of solved stretches a worker remembers; twice as many at most
 
 
 def model_path(options: SegmentOptions) -> str:
@@ -88,14 +90,15 @@ class Segmenter:
                 self.spelling.append(piece.replace(BLANK, " ").encode())
         if any(BLANK in p.lstrip(BLANK) for p in self.pieces):
             raise ValueError("a piece of this model holds a blank after another character")
-        #: Pieces as nested dictionaries by character; what a piece ends at has its ids and score under 0.
+        #: Pieces as a tree by character: what follows, and the score and ids of the piece that ends here, if any.
         self.longest = max(map(len, self.pieces))
-        self.root: dict = {}
+        self.root: dict[str, list] = {}
         for piece, (i, score) in self.pieces.items():
-            node = self.root
+            children = self.root
             for char in piece:
-                node = node.setdefault(char, {})
-            node[0] = (i.to_bytes(4, "little"), score)
+                node = children.setdefault(char, [{}, 0.0, None])
+                children = node[0]
+            node[1:] = score, i.to_bytes(4, "little")
         self.unknown = min(score for _, score in self.pieces.values()) - UNKNOWN_PENALTY
         alone = not any("\n" in p for p in self.pieces if len(p) > 1)  # then every path also stops at line ends
         self.stretches = re.compile(
@@ -105,6 +108,7 @@ class Segmenter:
         # two generations: what is met again moves to the young one, and the old one is dropped when that is full
         self.young: dict[str, Solved] = {}
         self.old: dict[str, Solved] = {}
+        self.held = 0  # bytes of the young one
 
     def search(self, text: str, paths: int) -> list[tuple[float, bytes]]:
         """The best segmentations of a stretch, best first."""
@@ -114,16 +118,16 @@ class Segmenter:
         # by end position: the best score through an edge, its start, its ids
         ends: list[list[tuple[float, int, bytes]]] = [[] for _ in range(size + 1)]
         for i in range(size):
-            before, node, j = best[i], root, i
+            before, children, j = best[i], root, i
             for char in text[i : i + longest]:
-                node = node.get(char)
+                node = children.get(char)
                 if node is None:  # no piece starts like this
                     break
                 j += 1
-                piece = node.get(0)
-                if piece is not None:
-                    through = before + piece[1]
-                    ends[j].append((through, i, piece[0]))
+                children, score, ids = node
+                if ids is not None:
+                    through = before + score
+                    ends[j].append((through, i, ids))
                     if through > best[j]:
                         best[j] = through
             if text[i] not in pieces:
@@ -159,6 +163,44 @@ class Segmenter:
                 break
         return results
 
+    def two_best(self, text: str) -> Solved:
+        """The best segmentation of a stretch and how much the second loses: what the search comes to for two paths.
+
+        The second path leaves the best one, seen from the back, by the edge that loses least; it is enough to keep
+        the two best scores through each position.
+        """
+        size, root, pieces, longest = len(text), self.root, self.pieces, self.longest
+        best, second = [NEVER] * (size + 1), [NEVER] * (size + 1)
+        best[0] = 0.0
+        back: list = [None] * (size + 1)
+        for i, first in enumerate(text):
+            before, children, j = best[i], root, i
+            for char in text[i : i + longest]:
+                node = children.get(char)
+                if node is None:
+                    break
+                j += 1
+                children, score, ids = node
+                if ids is not None:
+                    through = before + score
+                    if through > best[j]:
+                        second[j], best[j], back[j] = best[j], through, (i, ids)
+                    elif through > second[j]:
+                        second[j] = through
+            if first not in pieces:
+                through, j = before + self.unknown, i + 1
+                if through > best[j]:
+                    second[j], best[j], back[j] = best[j], through, (i, self.bytes_of(first))
+                elif through > second[j]:
+                    second[j] = through
+        found, loss, position = [], -NEVER, size
+        while position:
+            loss = min(loss, best[position] - second[position])
+            position, ids = back[position]
+            found.append(ids)
+        found.reverse()
+        return b"".join(found), best[size], loss
+
     def bytes_of(self, char: str) -> bytes:
         """The ids of a character spelled in bytes."""
         return b"".join(self.byte_ids[b].to_bytes(4, "little") for b in char.encode("utf-8", "surrogatepass"))
@@ -167,17 +209,19 @@ class Segmenter:
         """Best segmentation and second-best loss of each stretch; each distinct one is searched once."""
         found = list(map(self.young.get, stretches))
         if None in found:
+            solved: dict[str, Solved] = {}
             for text in {t for t, f in zip(stretches, found, strict=True) if f is None}:
                 known = self.old.get(text)
                 if known is None:
-                    (score, ids), *second = self.search(text, 2)
-                    known = (ids, score, score - second[0][0] if second else -NEVER)
-                if len(self.young) >= self.remembered:
-                    self.old, self.young = self.young, {}
+                    known = self.two_best(text)
+                solved[text] = known
+                if self.held >= self.remembered:
+                    self.old, self.young, self.held = self.young, {}, 0
                 self.young[text] = known
+                self.held += ENTRY_BYTES + len(text.encode("utf-8", "surrogatepass")) + len(known[0])
             for k, text in enumerate(stretches):
                 if found[k] is None:
-                    found[k] = self.young.get(text) or self.old[text]
+                    found[k] = solved[text]
         return found
 
     def encode(self, text: str, paths: int) -> list[tuple[float, bytes]]:

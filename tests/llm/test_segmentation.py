@@ -54,3 +54,26 @@ def test_every_text_decodes(spark, odd_documents):
 
 def test_empty_table(spark, no_documents):
     assert sg.with_segments(no_documents).collect() == []
+
+
+def test_two_best_is_the_search_for_two():
+    import random
+
+    from drayline.llm import segmentation as sg
+
+    tool, draw = sg.Segmenter(sg.model_path(sg.SegmentOptions()), 1 << 20), random.Random(5)
+    for _ in range(400):
+        text = "▁" * draw.randint(0, 2) + "".join(draw.choices("etaoinshr漢é☃ \n.", k=draw.randint(1, 14)))
+        (score, ids), *second = tool.search(text, 2)
+        assert tool.two_best(text) == (ids, score, score - second[0][0] if second else -sg.NEVER)
+
+
+def test_remembered_bytes_are_bounded():
+    from drayline.llm import segmentation as sg
+
+    tool = sg.Segmenter(sg.model_path(sg.SegmentOptions()), 100_000)
+    free = sg.Segmenter(sg.model_path(sg.SegmentOptions()), 1 << 30)
+    for part in range(20):
+        text = " ".join(f"w{part}x{i}" for i in range(500)) + "漢" * 3000
+        assert tool.encode(text, 3) == free.encode(text, 3)
+        assert len(tool.young) + len(tool.old) < 2 * 500
