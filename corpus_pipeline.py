@@ -18,7 +18,7 @@ from drayline.llm.base import staged, table
 from drayline.llm.mixing import mixed_documents
 from drayline.llm.quality_classifier import keep_predicted, train
 from drayline.llm.quality_rules import keep_good
-from drayline.llm.segmentation import with_segments
+from drayline.llm.segmentation import SegmentOptions, with_segments
 from drayline.llm.simhash import SimhashOptions, one_of_each
 
 
@@ -48,7 +48,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def segmentation(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with the piece ids of their best segmentation."""
-    return with_segments(docs)
+    # workers live on through all stages: what they remember is kept small
+    return with_segments(docs, SegmentOptions(remembered=24 << 20))
 
 
 STAGES = [
