@@ -172,36 +172,46 @@ def _csv_reader(spark: SparkSession, separator: str, utf8: bool, spans_lines: bo
 
 
 def infer_csv_files(spark: SparkSession, paths: Paths, separator: str = ",", lattice: str = "ordered") -> DataFrame:
-    """Schema of each file of many, in two passes over all of them.
+    """Schema of each file of many, in passes over all of them at once.
 
-    The first pass finds every file's header line, the second ranks all
-    cells by place and groups by file. Files may have different headers;
-    cells that span lines are not supported here.
+    A line scan finds every file's header and whether cells span lines; then
+    all cells are ranked by place and grouped by file. Files may have
+    different headers and are UTF-8; the records of those with cells that
+    span lines are cut by ``csv_records``. Only the names of these reach the driver.
     """
     lines = spark.read.text(_as_list(paths)).select(
         F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("line"),
+        F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id()).alias("line"),
         "value",
+        opens_cell(F.col("value"), separator).alias("opens"),
     )
-    headers = (
-        lines.where("block = 0").groupBy("path").agg(F.min_by("value", "line").alias("header"))
-    )
-    headers = headers.select("path", _split_header(F.col("header"), separator).alias("names"))
-    width = headers.agg(F.max(F.size("names"))).first()[0] or 0
+    found = lines.groupBy("path").agg(F.min_by("value", "line").alias("header"), F.some("opens").alias("spans"))
+    found = found.persist()
+    try:
+        spanning = [plain_path(r.path) for r in found.where("spans").select("path").toLocalIterator()]
+        headers = found.where(~F.col("spans")).select("path", "header")
+        if spanning:
+            records = csv_records(spark, spanning, separator, True)
+            headers = headers.unionByName(records.where("first").select("path", F.col("record").alias("header")))
+        headers = headers.select("path", _split_header(F.col("header"), separator).alias("names"))
+        width = headers.agg(F.max(F.size("names"))).first()[0] or 0
+        plain = [plain_path(r.path) for r in found.where(~F.col("spans")).select("path").toLocalIterator()] if spanning else _as_list(paths)
+    finally:
+        found.unpersist()
     if not width:
         return spark.createDataFrame([], FILE_SCHEMA)
 
     # With a schema given, the reader drops each file's first line unread.
     places = [f"c{i}" for i in range(width)]
-    data = (
-        spark.read.schema(", ".join(f"{c} string" for c in places))
-        .option("sep", separator)
-        .option("escape", '"')
-        .option("header", True)
-        .csv(_as_list(paths))
-        .select(F.col("_metadata.file_path").alias("path"), *places)
-    )
+    cells = []
+    if plain:
+        reader = spark.read.schema(", ".join(f"{c} string" for c in places)).option("sep", separator)
+        rows = reader.option("escape", '"').option("header", True).csv(plain)
+        cells.append(rows.select(F.col("_metadata.file_path").alias("path"), *places))
+    if spanning:
+        split = records.where(~F.col("first")).select("path", _split_record(F.col("record"), separator).alias("cells"))
+        cells.append(split.select("path", *[F.nullif(F.get("cells", F.lit(i)), F.lit("")).alias(c) for i, c in enumerate(places)]))
+    data = reduce(DataFrame.unionByName, cells)
     ranks = data.select("path", *[text_rank(F.col(c)).alias(c) for c in places])
     bits = ranks.groupBy("path").agg(*[rank_bits(F.col(c)).alias(c) for c in places])
     return (

@@ -8,8 +8,10 @@ reader and are stored nowhere.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,6 +78,53 @@ def hash_predicates(dialect: str, key: str, parts: int) -> list[str]:
     return [first] + [f"{bucket} = {i}" for i in range(1, parts)]
 
 
+@dataclass(frozen=True)
+class Cuts:
+    """Where a column is cut into parts of about equal rows; ``heavy`` values fill a part or more each."""
+
+    points: tuple
+    heavy: dict
+
+
+def depth_cuts(values: DataFrame, column: str, parts: int) -> Cuts:
+    """Equi-depth cuts of a column by its quantiles, one mergeable sketch per task.
+
+    A value that several quantiles fall on is heavy; it is counted as so many parts. NULLs don't count. The
+    column is a number, a date or a timestamp; texts are split by a hash.
+    """
+    shares = [i / parts for i in range(1, parts)]
+    if not shares:
+        return Cuts((), {})
+    found = values.agg(F.percentile_approx(F.col(f"`{column}`"), shares, 20 * parts).alias("q")).first()["q"] or []
+    times = Counter(found)
+    return Cuts(tuple(sorted(times)), {v: n for v, n in times.items() if n > 1})
+
+
+def literal(value: object) -> str:
+    """A value of a cut in SQL."""
+    if isinstance(value, bool):
+        return "true" if value else "false"
+    if isinstance(value, (int, float, Decimal)):
+        return str(value)
+    return "'" + str(value).replace("'", "''") + "'"
+
+
+def cut_predicates(dialect: str, column: str, cuts: Cuts, hash_key: str | None = None) -> list[str]:
+    """One WHERE condition per part; together they cover every row once.
+
+    Heavy values and NULLs have parts of their own; with ``hash_key`` a heavy value has as many as it fills.
+    """
+    name = quote(column, dialect)
+    above = [f"{name} {'>' if p in cuts.heavy else '>='} {literal(p)}" for p in cuts.points]
+    below = [f"{name} < {literal(p)}" for p in cuts.points]
+    ranges = [" and ".join(both) for both in zip(above, below[1:], strict=False)]
+    found = [f"{name} is null", *below[:1], *ranges, *above[-1:]] if cuts.points else [f"{name} is null", f"{name} is not null"]
+    for value, times in cuts.heavy.items():
+        one = f"{name} = {literal(value)}"
+        found += [f"{one} and ({p})" for p in hash_predicates(dialect, hash_key, times)] if hash_key else [one]
+    return found
+
+
 def read_table(
     spark: SparkSession,
     database: Database,
@@ -84,17 +133,26 @@ def read_table(
     bounds: tuple[object, object] | None = None,
     hash_key: str | None = None,
     parts: int | None = None,
+    balanced: bool = False,
 ) -> DataFrame:
     """Scan a table in parallel.
 
     With ``range_column`` its bounds are asked from the database when not
-    given; with ``hash_key`` the parts are hash buckets. Filters and column
-    selections on the result are pushed to the database.
+    given; with ``hash_key`` the parts are hash buckets. ``balanced`` reads the
+    range column alone first (in hash buckets, if there is a key for them) and
+    cuts it into parts of equal rows instead of equal width. Filters and
+    column selections on the result are pushed to the database.
     """
     options = database.reader_options()
     quoted = quote(table, database.dialect)
     parts = parts or spark.sparkContext.defaultParallelism
     reader = spark.read.format("jdbc").options(**options).option("dbtable", quoted)
+    properties = {k: v for k, v in options.items() if k != "url"}
+    if range_column and balanced:
+        first = hash_predicates(database.dialect, hash_key, parts) if hash_key else ["1 = 1"]
+        values = spark.read.jdbc(database.url, quoted, predicates=first, properties=properties).select(f"`{range_column}`")
+        predicates = cut_predicates(database.dialect, range_column, depth_cuts(values, range_column, parts), hash_key)
+        return spark.read.jdbc(database.url, quoted, predicates=predicates, properties=properties)
     if range_column:
         if bounds is None:
             column = quote(range_column, database.dialect)
@@ -110,7 +168,6 @@ def read_table(
             .load()
         )
     if hash_key:
-        properties = {k: v for k, v in options.items() if k != "url"}
         predicates = hash_predicates(database.dialect, hash_key, parts)
         return spark.read.jdbc(database.url, quoted, predicates=predicates, properties=properties)
     return reader.load()

@@ -7,12 +7,12 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from drayline.operators import deps, keys, progress, verify
+from drayline.operators import deps, keys, ledger, progress, verify
 from drayline.plans.load import LoadOptions, load_tables
 from drayline.plans.spec import TableSpec
 from drayline.session import shared_dir
 from drayline.sinks.snapshot import SnapshotTable
-from drayline.sources import catalog
+from drayline.sources import catalog, jdbc
 from registry import query, table
 
 # child, its column, parent, its column
@@ -509,3 +509,31 @@ def load_files_query(spark, sf_dir):
             F.sum(F.round(F.col("c_acctbal") * 100).cast("bigint")).alias("cents"),
         )
     )
+
+
+@query("split_parts", "select l_orderkey, l_linenumber, l_partkey, 1 as parts from lineitem")
+def split_parts(spark, sf_dir):
+    """In how many parts of equal depth each row falls, by the conditions a database would be asked with."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    # MySQL quotes names as Spark does
+    predicates = jdbc.cut_predicates("mysql", "l_orderkey", jdbc.depth_cuts(lines, "l_orderkey", 16))
+    inside = [F.coalesce(F.expr(p), F.lit(False)).cast("int") for p in predicates]
+    return lines.withColumn("parts", reduce(lambda a, b: a + b, inside))
+
+
+@query(
+    "ledger_folded",
+    "select o_orderkey // 5000 as batch_index, case when (o_orderkey // 5000) % 7 < 5 then 'done' else 'running' end as status, "
+    "count(*) as row_count from orders group by 1",
+)
+def ledger_folded(spark, sf_dir):
+    """Batches of orders marked in fifteen turns; every four marks become a snapshot."""
+    plan = ledger.plan_batches(table(spark, sf_dir, "orders"), ledger.range_batch("o_orderkey", 5000), "orders")
+    book = ledger.Ledger(spark, shared_dir(spark, "ledger"), fold_after=4)
+    book.mark(plan, "run", ledger.PENDING)
+    for status, turns in ((ledger.RUNNING, 7), (ledger.DONE, 5)):
+        for turn in range(turns):
+            book.mark(plan.where(F.col("batch_index") % 7 == turn), "run", status)
+    if len(book._layout()[2]) >= 4:
+        raise AssertionError("marks were not folded")
+    return book.state("run", "orders").select("batch_index", "status", "row_count")

@@ -149,3 +149,17 @@ def test_documents_without_objects(spark, folder):
     for name, text in (("a.json", " [ ] "), ("b.json", "[1, [{}], \"{}\"]"), ("c.json", "﻿{}\n")):
         (folder / name).write_text(text)
     assert [r["record"] for r in files.json_records(spark, str(folder)).collect()] == ["{}"]
+
+
+def test_inference_over_many_files_with_spanning_cells(spark, folder, small_blocks):
+    small_blocks(30)
+    (folder / "a.csv").write_text('n,t\n1,"x\ny"\n2,z\n')
+    (folder / "b.csv").write_text("n,d,k\n1.5,2024-01-02,\n2,2024-01-03,7\n")
+    (folder / "c.csv").write_text('"a\nb",m\n3,"1\n2"\n')
+    (folder / "d.csv").write_text("only,header\n")
+    found = files.infer_csv_files(spark, str(folder)).collect()
+    got = {(r.path[-5:], r.column_name): (r.ordinal, r.data_type, r.is_nullable) for r in found}
+    assert got[("a.csv", "n")][1:] == got[("b.csv", "k")][1:2] + (False,) and got[("a.csv", "t")][0] == 1
+    one = {(r.path[-5:], r.column_name): r.data_type for name in "abd" for r in files.infer_csv_files(spark, str(folder / f"{name}.csv")).collect()}
+    assert all(got[k][1] == v for k, v in one.items()) and got[("c.csv", "a\nb")][1] == got[("a.csv", "n")][1] != got[("c.csv", "m")][1]
+    assert got[("a.csv", "t")][1] == got[("c.csv", "m")][1] and got[("b.csv", "k")][2]

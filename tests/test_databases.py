@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from drayline.plans.dialects import DIALECTS, MYSQL, POSTGRESQL, SNOWFLAKE, SQLITE, SQLSERVER
 from drayline.sinks.jdbc import merge_statement, merge_table
 from drayline.sources import catalog, jdbc
+from drayline.sources.jdbc import Cuts, cut_predicates, depth_cuts
 
 
 def test_merge_statements():
@@ -78,3 +79,38 @@ def test_tables_of_the_session(spark, folder):
     assert select_names(names, ["z"], "table_name").count() == 1
     assert select_names(names, [], "table_name").count() == 3
     assert select_names(names, names.where(F.col("table_name") == "z"), "table_name").count() == 1
+
+
+def parts_of(df, predicates):
+    """Rows of each part, by the conditions as Spark reads them."""
+    return df.select(*[F.coalesce(F.expr(p), F.lit(False)).cast("int").alias(f"p{i}") for i, p in enumerate(predicates)])
+
+
+@pytest.mark.parametrize("kind", ["even", "skewed", "heavy", "date", "none", "one"])
+def test_cuts_of_equal_depth(spark, kind):
+    base = spark.range(4000).withColumn("k", F.col("id"))
+    values = {
+        "even": F.col("id"), "skewed": F.pow(F.col("id") / 400, 6), "heavy": F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 50 == 1, None).otherwise(F.col("id")),
+        "date": F.date_add(F.lit("2024-01-01"), (F.col("id") % 1000).cast("int")), "none": F.lit(None).cast("int"), "one": F.lit(5),
+    }
+    df = base.withColumn("v", values[kind])
+    cuts = depth_cuts(df, "v", 8)
+    predicates = cut_predicates("mysql", "v", cuts)
+    parts = parts_of(df, predicates)
+    covered = parts.select(sum(F.col(c) for c in parts.columns).alias("n")).groupBy("n").count().collect()
+    assert [tuple(r) for r in covered] == [(1, 4000)]  # every row in one part
+    sizes = parts.agg(*[F.sum(c).alias(c) for c in parts.columns]).first()
+    if kind in ("even", "skewed", "date"):
+        assert not cuts.heavy and max(sizes) <= 1.5 * 4000 / 8
+    if kind == "heavy":
+        assert list(cuts.heavy) == [7] and sorted(sizes)[-2] <= 1.5 * 4000 / 8
+        assert len(cut_predicates("mysql", "v", cuts, "k")) == len(predicates) - 1 + cuts.heavy[7]
+
+
+def test_cuts_as_text():
+    cuts = Cuts((3, 8), {8: 2})
+    assert cut_predicates("postgresql", "n", cuts) == ['"n" is null', '"n" < 3', '"n" >= 3 and "n" < 8', '"n" > 8', '"n" = 8']
+    split = cut_predicates("postgresql", "n", cuts, "k")
+    assert len(split) == 6 and all(p.startswith('"n" = 8 and (') for p in split[4:])
+    assert cut_predicates("sqlserver", "n", Cuts((), {})) == ["[n] is null", "[n] is not null"]
+    assert cut_predicates("mysql", "d", Cuts(("it's",), {})) == ["`d` is null", "`d` < 'it''s'", "`d` >= 'it''s'"]

@@ -408,3 +408,20 @@ def test_a_commit_is_made_once(spark, folder):
     target._commit(state, "append", state.schema, (), 1, (), 0)
     with pytest.raises(ConcurrentWrite):
         target._commit(state, "append", state.schema, (), 1, (), 0)
+
+
+def test_a_long_ledger_is_folded(spark, folder):
+    ledger = Ledger(spark, str(folder / "l"), fold_after=4)
+    plan = spark.createDataFrame([("t", b, 10) for b in range(6)], "table_name string, batch_index long, row_count long")
+    ledger.mark(plan.coalesce(1), "r", "pending", 6)
+    for step in range(12):
+        ledger.mark(plan.where(F.col("batch_index") == step % 6).coalesce(1), "r", "running" if step < 6 else "done")
+        snapshot, _, marks = ledger._layout()
+        assert len(marks) < 4 and (step < 2 or snapshot)
+        state = {r.batch_index: r.status for r in ledger.state("r").collect()}
+        expected = {b: "done" if step >= 6 + b else "running" if step >= b else "pending" for b in range(6)}
+        assert state == expected and ledger.planned_batches("r", "t") == 6
+    assert ledger.is_complete("r", ["t"]) and len(ledger.events().inputFiles()) <= 4
+    names = [p.name for p in (folder / "l").iterdir()]
+    assert sum(not n.startswith("snapshot-") for n in names) < 8 and not any(n.startswith("making-") for n in names)
+    assert ledger.fold() == (len(ledger._layout()[2]) > 0) or not ledger.fold()
