@@ -10,7 +10,8 @@ to be kept.
 No piece holds a blank after another character (checked when the model is loaded), so every path passes
 the border before a run of blanks. The lattice is cut there; equal stretches are solved once per worker
 (the memory for them is bounded), and the N best of the text are merged from those of its stretches: only
-the N - 1 stretches whose second-best costs least can differ from the best.
+the N - 1 stretches whose second-best costs least can differ from the best. The forward pass takes the new
+stretches of many texts at once, as arrays.
 
 A character without a piece of its own becomes byte pieces, at the model's lowest score less 10. Blanks
 are written as the model writes them, with one put before a text that isn't empty; a text's own U+2581 becomes byte
@@ -18,7 +19,8 @@ pieces, so decoding gives back every text. Only models without text normalisatio
 
 Defined cases: NULL and empty texts have one empty segmentation with score 0; texts with fewer than N
 segmentations give all they have; ties keep the order in which the search meets them;
-repeated rows give repeated results. Input columns with the names of added ones are replaced.
+repeated rows give repeated results. Very long texts are segmented whole; a stretch without blanks is one lattice,
+however long. Input columns with the names of added ones are replaced.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from __future__ import annotations
 import re
 import zlib
 from bisect import insort
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from heapq import nsmallest
@@ -44,6 +47,11 @@ UNKNOWN_PENALTY = 10.0
 NEVER = float("-inf")
 #: What a remembered stretch takes beside its text and ids: two dictionary slots, a tuple, numbers and heads.
 ENTRY_BYTES = 500
+#: Stretches of up to so many characters go through the lattice together, so many characters of them at once.
+SHORT_STRETCH = 32
+PASS_CHARS = 1 << 16
+#: Texts whose stretches are looked up together: as many as have this many characters, one at least.
+GROUP_CHARS = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -66,6 +74,106 @@ def model_path(options: SegmentOptions) -> str:
 Solved = tuple[bytes, float, float]
 
 
+class PieceTree:
+    """The tree of pieces as arrays, for many stretches at once.
+
+    Nodes are numbered, and so are the characters that are pieces themselves (others: 0). Children are found by
+    bisection over parent and character.
+    """
+
+    def __init__(self, root: dict[str, list], longest: int):
+        self.longest = longest
+        alphabet = {char: k for k, char in enumerate((c for c, node in root.items() if node[2] is not None), 1)}
+        self.width = len(alphabet) + 1
+        self.number_of = np.zeros(0x110000, np.int32)
+        self.number_of[[ord(c) for c in alphabet]] = list(alphabet.values())
+        keys, scores, ids = [], [0.0], [-1]
+        open_nodes = [(0, root)]
+        while open_nodes:
+            parent, children = open_nodes.pop()
+            for char, (below, score, own) in children.items():
+                if char in alphabet:
+                    keys.append((parent * self.width + alphabet[char], len(scores)))
+                    open_nodes.append((len(scores), below))
+                    scores.append(score)
+                    ids.append(-1 if own is None else int.from_bytes(own, "little"))
+        keys.sort()
+        self.keys = np.array([k for k, _ in keys], np.int64)
+        self.children = np.array([c for _, c in keys], np.int64)
+        self.scores, self.ids = np.array(scores), np.array(ids, np.int64)
+
+    def step(self, nodes: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which nodes have a child by their character, and those children."""
+        wanted = nodes * self.width + numbers
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        there = self.keys[at] == wanted
+        return there, self.children[at[there]]
+
+    def edges(self, numbers: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, length and node of every piece in stretches that lie one behind the other, ending at ``stops``."""
+        at, nodes = np.arange(len(numbers)), np.zeros(len(numbers), np.int64)
+        found = []
+        for size in range(1, self.longest + 1):
+            there, nodes = self.step(nodes, numbers[at + (size - 1)])
+            at = at[there]
+            whole = self.ids[nodes] >= 0
+            found.append((at[whole], np.full(np.count_nonzero(whole), size), nodes[whole]))
+            inside = at + size < stops[at]
+            at, nodes = at[inside], nodes[inside]
+            if not len(at):
+                break
+        starts, sizes, ends = (np.concatenate(c) for c in zip(*found, strict=True))
+        return starts, sizes, ends
+
+    def two_best(self, texts: list[str]) -> list[Solved | None]:
+        """``Segmenter.two_best`` of each stretch; None for those with a character that is no piece."""
+        flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+        lengths = np.array([len(t) for t in texts])
+        numbers, first = self.number_of[flat].astype(np.int64), np.cumsum(lengths) - lengths
+        known = np.minimum.reduceat(numbers, first) > 0
+        if not known.all():
+            some = iter(self.two_best([t for t, k in zip(texts, known, strict=True) if k]) if known.any() else ())
+            return [next(some) if k else None for k in known]
+
+        which = np.repeat(np.arange(len(texts)), lengths)
+        starts, sizes, nodes = self.edges(numbers, (first + lengths)[which])
+        # a stretch has one place more than characters
+        place = starts + which[starts]
+        front, back = first + np.arange(len(texts)), first + lengths + np.arange(len(texts))
+        best, second = np.full(back[-1] + 1, NEVER), np.full(back[-1] + 1, NEVER)
+        best[front] = 0.0
+        last_size, last_node = np.zeros(len(best), np.int64), np.zeros(len(best), np.int64)
+        # by end, and there by start: every stretch has one edge at most in each run of equal ranks
+        rank = (place - front[which[starts]] + sizes) * (self.longest + 1) + self.longest - sizes
+        order = np.argsort(rank, kind="stable")
+        place, sizes, nodes, rank = place[order], sizes[order], nodes[order], rank[order]
+        gains = self.scores[nodes]
+        cuts = [0, *(np.flatnonzero(np.diff(rank)) + 1).tolist(), len(rank)]
+        for low, high in zip(cuts, cuts[1:], strict=False):
+            size = sizes[low]
+            through, end = best[place[low:high]] + gains[low:high], place[low:high] + size
+            before = best[end]
+            better = through > before
+            second[end] = np.where(better, before, np.maximum(second[end], through))
+            won = end[better]
+            best[won] = through[better]
+            last_size[won], last_node[won] = size, nodes[low:high][better]
+
+        # the best paths, all stretches one piece back at a time
+        at, losses, open_ones, steps = back.copy(), np.full(len(texts), -NEVER), np.arange(len(texts)), []
+        while len(open_ones):
+            here = at[open_ones]
+            losses[open_ones] = np.minimum(losses[open_ones], best[here] - second[here])
+            steps.append((open_ones, last_node[here]))
+            at[open_ones] = here - last_size[here]
+            open_ones = open_ones[at[open_ones] > front[open_ones]]
+        owners, path = (np.concatenate(c) for c in zip(*reversed(steps), strict=True))
+        ids = self.ids[path[np.argsort(owners, kind="stable")]].astype("<u4").tobytes()
+        ends = (4 * np.cumsum(np.bincount(owners))).tolist()
+        spelled = [ids[low:high] for low, high in zip([0, *ends], ends, strict=False)]
+        return list(zip(spelled, best[back].tolist(), losses.tolist(), strict=True))
+
+
 class Segmenter:
     """Lattice, N-best search and decoding of one model."""
 
@@ -99,6 +207,7 @@ class Segmenter:
                 node = children.setdefault(char, [{}, 0.0, None])
                 children = node[0]
             node[1:] = score, i.to_bytes(4, "little")
+        self.tree = PieceTree(self.root, self.longest)
         self.unknown = min(score for _, score in self.pieces.values()) - UNKNOWN_PENALTY
         alone = not any("\n" in p for p in self.pieces if len(p) > 1)  # then every path also stops at line ends
         self.stretches = re.compile(
@@ -201,6 +310,20 @@ class Segmenter:
         found.reverse()
         return b"".join(found), best[size], loss
 
+    def two_best_of(self, texts: list[str]) -> list[Solved]:
+        """``two_best`` of distinct stretches: short ones together, as arrays, the others one by one."""
+        solved: dict[str, Solved] = {}
+        part: list[str] = []
+        size = 0
+        for text in [*(t for t in texts if len(t) <= SHORT_STRETCH), None]:
+            if part and (text is None or size >= PASS_CHARS):
+                solved.update((t, s) for t, s in zip(part, self.tree.two_best(part), strict=True) if s is not None)
+                part, size = [], 0
+            if text is not None:
+                part.append(text)
+                size += len(text)
+        return [solved[t] if t in solved else self.two_best(t) for t in texts]
+
     def bytes_of(self, char: str) -> bytes:
         """The ids of a character spelled in bytes."""
         return b"".join(self.byte_ids[b].to_bytes(4, "little") for b in char.encode("utf-8", "surrogatepass"))
@@ -209,12 +332,10 @@ class Segmenter:
         """Best segmentation and second-best loss of each stretch; each distinct one is searched once."""
         found = list(map(self.young.get, stretches))
         if None in found:
-            solved: dict[str, Solved] = {}
-            for text in {t for t, f in zip(stretches, found, strict=True) if f is None}:
-                known = self.old.get(text)
-                if known is None:
-                    known = self.two_best(text)
-                solved[text] = known
+            solved = {t: self.old.get(t) for t, f in zip(stretches, found, strict=True) if f is None}
+            new = [t for t, known in solved.items() if known is None]
+            solved.update(zip(new, self.two_best_of(new), strict=True))
+            for text, known in solved.items():
                 if self.held >= self.remembered:
                     self.old, self.young, self.held = self.young, {}, 0
                 self.young[text] = known
@@ -224,20 +345,48 @@ class Segmenter:
                     found[k] = solved[text]
         return found
 
-    def encode(self, text: str, paths: int) -> list[tuple[float, bytes]]:
-        """The N best segmentations of a whole text: score and ids, best first."""
-        if not text:
-            return [(0.0, b"")]
+    def stretches_of(self, text: str) -> tuple[list[str], list[int]]:
+        """The stretches of a text, and which of them are a U+2581 of its own, spelled in bytes."""
         stretches: list[str] = []
-        found: list[Solved] = []
-        for k, part in enumerate(text.split(BLANK)):  # a text's own U+2581 is spelled in bytes
+        own: list[int] = []
+        for k, part in enumerate(text.split(BLANK)):
             if k:
-                stretches.append("")
-                found.append((self.bytes_of(BLANK), self.unknown, -NEVER))
+                own.append(len(stretches))
+                stretches.append(BLANK)
             spelled = part.replace(" ", BLANK) if k else BLANK + part.replace(" ", BLANK)
-            some = self.stretches.findall(spelled)
-            stretches += some
-            found += self.solve(some)
+            stretches += self.stretches.findall(spelled)
+        return stretches, own
+
+    def encode_all(self, texts: Iterable[str], paths: int) -> Iterator[list[tuple[float, bytes]]]:
+        """``encode`` of each text; stretches of a group of texts are solved together."""
+        group: list[tuple[list[str], list[int]]] = []
+        size = 0
+        for text in texts:
+            group.append(self.stretches_of(text) if text else ([], []))
+            size += len(text)
+            if size >= GROUP_CHARS:
+                yield from self._encoded(group, paths)
+                group, size = [], 0
+        yield from self._encoded(group, paths)
+
+    def _encoded(self, group: list[tuple[list[str], list[int]]], paths: int) -> Iterator[list[tuple[float, bytes]]]:
+        found = self.solve([s for stretches, _ in group for s in stretches])
+        start = 0
+        for stretches, own in group:
+            mine = found[start : start + len(stretches)]
+            start += len(stretches)
+            for k in own:
+                mine[k] = (self.bytes_of(BLANK), self.unknown, -NEVER)
+            yield self._merged(stretches, mine, paths)
+
+    def encode(self, text: str, paths: int) -> list[tuple[float, bytes]]:
+        """The N best segmentations of a whole text: score and ids, best first."""
+        return next(self.encode_all([text], paths))
+
+    def _merged(self, stretches: list[str], found: list[Solved], paths: int) -> list[tuple[float, bytes]]:
+        """The N best of a text from those of its stretches."""
+        if not stretches:
+            return [(0.0, b"")]
         ids, scores, losses = zip(*found, strict=True)
         total, best = float(sum(scores)), b"".join(ids)
         if paths == 1:
@@ -287,8 +436,8 @@ def segmentation_summary(text: Column, options: SegmentOptions = SegmentOptions(
 
     def run(texts: pa.Array) -> pa.Array:
         tool, rows = segmenter(path, remembered), []
-        for one in texts_of(texts):
-            found = tool.encode(one, paths)
+        every = texts_of(texts)
+        for one, found in zip(every, tool.encode_all(every, paths), strict=True):
             rows.append(
                 (
                     len(found[0][1]) // 4,
@@ -313,7 +462,7 @@ def best_ids(text: Column, options: SegmentOptions = SegmentOptions()) -> Column
 
     def run(texts: pa.Array) -> pa.Array:
         tool = segmenter(path, remembered)
-        found = [tool.encode(one, paths) for one in texts_of(texts)]
+        found = list(tool.encode_all(texts_of(texts), paths))
         lengths = np.array([len(f[0][1]) // 4 for f in found], np.int64)
         ids = np.frombuffer(b"".join(f[0][1] for f in found), "<u4").astype(np.int32)
         offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)

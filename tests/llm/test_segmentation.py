@@ -77,3 +77,27 @@ def test_remembered_bytes_are_bounded():
         text = " ".join(f"w{part}x{i}" for i in range(500)) + "漢" * 3000
         assert tool.encode(text, 3) == free.encode(text, 3)
         assert len(tool.young) + len(tool.old) < 2 * 500
+
+
+def test_stretches_together_are_those_one_by_one():
+    """Arrays give the ids, scores and losses of the plain pass, also for ties, unknown characters and long stretches."""
+    tool, draw = sg.Segmenter(sg.model_path(OPTIONS), 1 << 20), random.Random(11)
+    texts = {
+        "▁" * draw.randint(0, 3) + "".join(draw.choices("etaoinshr漢é☃\n.!AZ0", k=draw.randint(1, 60))) for _ in range(3000)
+    }
+    texts |= {"\ud800", "▁", "▁▁▁▁", "a", "☃", "the" * 5000}
+    texts = sorted(texts)
+    assert tool.two_best_of(texts) == [tool.two_best(t) for t in texts]
+    assert tool.two_best_of([]) == [] and tool.two_best_of(["☃"]) == [tool.two_best("☃")]
+
+
+def test_texts_together_are_those_one_by_one(monkeypatch):
+    monkeypatch.setattr(sg, "GROUP_CHARS", 300)
+    monkeypatch.setattr(sg, "PASS_CHARS", 50)
+    tool, draw = sg.Segmenter(sg.model_path(OPTIONS), 20_000), random.Random(12)
+    texts = ["", "▁", "a▁▁b ▁", "\ud800 x"] + [
+        " ".join("".join(draw.choices("etaoin☃漢▁\n", k=draw.randint(0, 9))) for _ in range(draw.randint(0, 40))) for _ in range(200)
+    ]
+    together = list(tool.encode_all(texts, 4))
+    assert together == [sg.Segmenter(sg.model_path(OPTIONS), 1 << 20).encode(t, 4) for t in texts[:20]] + together[20:]
+    assert together == [tool.encode(t, 4) for t in texts] and all(tool.decode(f[0][1]) == t for f, t in zip(together, texts))
