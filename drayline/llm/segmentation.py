@@ -58,7 +58,7 @@ GROUP_CHARS = 1 << 18
 class SegmentOptions:
     model: str = ""  # path of the model file; empty: the public 32k model
     paths: int = 4  # N
-    remembered: int = 64 << 20  # bytes of solved stretches a worker remembers; twice as many at most
+    remembered: int = 128 << 20  # bytes of solved stretches a worker remembers; twice as many at most
 
 
 def model_path(options: SegmentOptions) -> str:
@@ -331,18 +331,19 @@ class Segmenter:
     def solve(self, stretches: list[str]) -> list[Solved]:
         """Best segmentation and second-best loss of each stretch; each distinct one is searched once."""
         found = list(map(self.young.get, stretches))
-        if None in found:
-            solved = {t: self.old.get(t) for t, f in zip(stretches, found, strict=True) if f is None}
+        open_ones = [k for k, known in enumerate(found) if known is None]
+        if open_ones:
+            solved = {stretches[k]: None for k in open_ones}
+            solved = dict(zip(solved, map(self.old.get, solved), strict=True))
             new = [t for t, known in solved.items() if known is None]
             solved.update(zip(new, self.two_best_of(new), strict=True))
             for text, known in solved.items():
                 if self.held >= self.remembered:
                     self.old, self.young, self.held = self.young, {}, 0
                 self.young[text] = known
-                self.held += ENTRY_BYTES + len(text.encode("utf-8", "surrogatepass")) + len(known[0])
-            for k, text in enumerate(stretches):
-                if found[k] is None:
-                    found[k] = solved[text]
+                self.held += ENTRY_BYTES + 4 * len(text) + len(known[0])
+            for k in open_ones:
+                found[k] = solved[stretches[k]]
         return found
 
     def stretches_of(self, text: str) -> tuple[list[str], list[int]]:
