@@ -12,6 +12,7 @@ from drayline.operators.mapping import FAULT_TYPE, FAULTS
 from drayline.operators.progress import RunHistory
 from drayline.plans.load import LoadOptions, LoadResult, dry_run, load_tables
 from drayline.plans.spec import TableSpec
+from drayline.sinks.external import ExternalTarget
 from drayline.sources.files import RECORD, SURPLUS, csv_rows, csv_surplus, plain_path, read_files, typed
 from drayline.sources.listing import list_files, select_names
 from drayline.sources.workbooks import workbook_rows, workbook_surplus
@@ -96,11 +97,13 @@ def load_files(
     specs: Mapping[str, TableSpec] | None = None,
     options: LoadOptions = LoadOptions(),
     history: RunHistory | None = None,
+    run_id: str | None = None,
+    sink: ExternalTarget | None = None,
     **reading,
 ) -> LoadResult:
-    """Load every supported file of a folder into a table of its name."""
+    """Load every supported file of a folder into a table of its name, in ``sink`` if there is one."""
     tables, rejects, unfiltered = _read_tables(spark, path, **reading)
     return load_tables(
         spark, tables, target_path, specs, (), options, history,
-        source_name=path, refused=rejects, unfiltered=unfiltered,
+        source_name=path, run_id=run_id, refused=rejects, unfiltered=unfiltered, sink=sink,
     )
