@@ -14,7 +14,8 @@ names it: what a lost executor leaves is never read.
 Defined cases: NULL payloads are empty; payloads of less than ``least_revisit`` bytes are always responses; rows
 that repeat the least id of a payload are all responses; NULL ids come first in order, are never referred to,
 and if a payload has no other id its rows are all responses; a NULL or unparsable URL has itself (empty)
-as key; an empty table gives no archive and empty look-ups. Extra columns are not stored.
+as key; an empty table gives no archive and empty look-ups. Extra columns are not stored. Very long payloads are
+stored whole, each in one record.
 """
 
 from __future__ import annotations
@@ -270,8 +271,25 @@ CAPTURE = (
 )
 
 
-def captures(keys: DataFrame, folder: str, with_payload: bool = False, options: WarcOptions = WarcOptions()) -> DataFrame:
-    """All captures of the keys in column ``key``, read from the archives; each key counts once."""
+def reading_tasks(archives: DataFrame) -> int:
+    """Tasks to read whole archives with: about eight blocks each, at most eight an archive, two a core if blocks are few."""
+    found = archives.agg(F.count("*").alias("files"), F.sum("n_blocks").alias("blocks")).first()
+    blocks = found["blocks"] or 1
+    few = min(blocks, 2 * archives.sparkSession.sparkContext.defaultParallelism)
+    return max(few, min(-(-blocks // 8), 8 * found["files"]))
+
+
+def captures(
+    keys: DataFrame,
+    folder: str,
+    with_payload: bool = False,
+    options: WarcOptions = WarcOptions(),
+    tasks: int | None = None,
+) -> DataFrame:
+    """All captures of the keys in column ``key``, read from the archives; each key counts once.
+
+    ``tasks`` read the records. Without it their number follows the bytes of the look-ups, which suits few keys.
+    """
     spark = keys.sparkSession
     archives = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").orderBy("part").collect()  # most_files at most
     firsts, lasts = [a["first_key"] for a in archives], [a["last_key"] for a in archives]
@@ -341,11 +359,11 @@ def captures(keys: DataFrame, folder: str, with_payload: bool = False, options:
     placed = distinct.mapInArrow(find_archives, "key string, part bigint")
     blocks = placed.repartition("part").sortWithinPartitions("part", "key")
     blocks = blocks.mapInArrow(find_blocks, "key string, part bigint, block bigint")
-    spread = blocks.repartition("part", "block").sortWithinPartitions("part", "block", "key")
+    spread = blocks.repartition(*([tasks] if tasks else []), "part", "block").sortWithinPartitions("part", "block", "key")
     return spread.mapInArrow(read_records, ", ".join(fields))
 
 
 def archived(spark: SparkSession, pages: DataFrame, folder: str, options: WarcOptions = WarcOptions()) -> DataFrame:
     """Pages written to archives and looked up again by their URLs."""
-    write_archives(pages, folder, options)
-    return captures(pages.select(url_key(F.col("url")).alias("key")), folder, options=options)
+    tasks = reading_tasks(write_archives(pages, folder, options))
+    return captures(pages.select(url_key(F.col("url")).alias("key")), folder, options=options, tasks=tasks)

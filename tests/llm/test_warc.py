@@ -55,3 +55,13 @@ def test_keys(spark):
 
 def test_empty_table(spark):
     assert warc.archived(spark, frame(spark, PAGES).limit(0), shared_dir(spark, "test-warc")).collect() == []
+
+
+def test_records_are_read_by_many_tasks(spark):
+    pages = spark.range(400).select(
+        F.col("id").alias("page_id"), F.concat(F.lit("http://x.org/"), F.col("id") % 90).alias("url"), F.lit("z" * 300_000).alias("html")
+    )
+    found = warc.archived(spark, pages, shared_dir(spark, "test-warc"), warc.WarcOptions(block_entries=4))
+    sizes = found.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n")).collect()
+    assert sum(r["n"] for r in sizes) == 400 and len(sizes) >= 8 and max(r["n"] for r in sizes) <= 100
+    assert found.where("payload_bytes = 300000").count() == 400
