@@ -2,29 +2,38 @@
 
 Each source's documents are shuffled by a seeded hash of their id and queued, once per epoch. A
 document's virtual finish time is the words its source has queued up to its end, divided by the
-source's target. All sources reach their targets at time 1, so the documents in order of finish
-time, cut where the total budget is used up, are the mix.
+source's target. All sources reach their targets at time 1, so the documents range-sorted by finish
+time, truncated where the total budget is used up, are the mix.
 
-No queue is held by one task: a source is cut into slices by hash prefix, each slice is summed, and
-the sums before a slice are added to the sums inside it. The budget is found the same way, over
-slices of finish time.
+Both orders, the queues and the mix, are made by a range-sort of narrow rows (ids, sizes, keys):
+sizes are summed inside each range, and the sums of the ranges before are added. No queue, source or
+id is held by one task: every row has a number of its own, the last of the sort keys, so rows that
+agree in all else are cut into ranges too.
 
 Defined cases: a NULL source is a source of its own, ordered last; NULL or empty texts have size 0;
 a document of size 0 is never taken (it adds nothing); rows with the same id are queued one after
-the other; an empty table gives an empty mix. Columns of the input with the names of the result are
-replaced.
+the other, shorter ones first; very long texts count with all their words, and a document whose last
+word lies beyond the budget is left out whole; an empty table gives an empty mix. Columns of the
+input with the names of the result are replaced; other extra columns are kept.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from drayline.llm.base import staged, word_count
 
-ADDED = ("size", "source_size", "target", "queued", "finish", "shuffle_key")
+#: Columns of the result; columns of the input with these names are replaced.
+ADDED = ("size", "source_size", "target", "taken")
+#: Fixed value: ranges of a range-sort at most; their sums are broadcast, one small row each.
+MOST_RANGES = 20_000
 
 
 @dataclass(frozen=True)
@@ -33,7 +42,7 @@ class MixOptions:
     share: tuple[int, int] = (3, 2)  # the budget as a fraction of all words
     epochs: int = 2  # a document is taken so many times at most
     seed: int = 17
-    slice_rows: int = 50_000  # rows of a slice, on average
+    slice_rows: int = 50_000  # rows of a range, on average, up to MOST_RANGES ranges
 
 
 def with_size(df: DataFrame) -> DataFrame:
@@ -86,146 +95,103 @@ def source_key() -> Column:
     return F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit(""))
 
 
-def queue(df: DataFrame, options: MixOptions = MixOptions()) -> tuple[DataFrame, DataFrame]:
-    """Every row, without its text, with its source's figures and its place in the queue, staged; and the targets."""
-    sized = with_size(df).drop("text")
-    sized = sized.drop(*(set(ADDED) & set(sized.columns) - {"source", "doc_id", "size"}))
-    targets = staged(source_targets(sized, options), "mix-targets")
-    most = targets.agg(F.max("source_rows")).first()[0] or 0
-    digits = 1
-    while most > options.slice_rows * 16**digits:
-        digits += 1
-    key = F.md5(F.concat(F.lit(f"{options.seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    keyed = sized.withColumn("shuffle_key", key).withColumn("slice", F.substring("shuffle_key", 1, digits))
-    keyed = keyed.withColumn("source_key", source_key())
-    slices = keyed.groupBy("source_key", "slice").agg(F.sum("size").alias("slice_size"))
-    earlier = Window.partitionBy("source_key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    bases = slices.select("source_key", "slice", F.coalesce(F.sum("slice_size").over(earlier), F.lit(0)).alias("base"))
-    bases = bases.join(targets.select(source_key().alias("source_key"), "source_size", "target"), "source_key")
-    inside = (
-        Window.partitionBy("source_key", "slice")
-        .orderBy("shuffle_key", F.col("doc_id").asc_nulls_first(), "size")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    queued = (
-        keyed.withColumn("inside", F.sum("size").over(inside))
-        .join(bases, ["source_key", "slice"])
-        .withColumn("queued", F.col("base") + F.col("inside"))
-        .drop("inside", "base", "slice")
-    )
-    return staged(queued, "mix-queue"), targets
-
-
-def finish_time(epoch: int) -> Column:
-    """Virtual finish time of a row's copy in an epoch (0 is the first)."""
-    target = F.when(F.col("target") > 0, F.col("target"))
-    return (F.col("source_size") * epoch + F.col("queued")) / target
-
-
-def copies(queued: DataFrame, options: MixOptions) -> DataFrame:
-    """A row per document and epoch, with its finish time; documents without words have none."""
-    every = F.array(*(F.struct(F.lit(e).alias("epoch"), finish_time(e).alias("finish")) for e in range(options.epochs)))
-    return (
-        queued.where(F.col("size") > 0)
-        .withColumn("copy", F.explode(every))
-        .select("*", "copy.epoch", "copy.finish")
-        .drop("copy")
-        .where(F.col("finish").isNotNull())
-    )
+def range_sums(df: DataFrame, order: list[str], value: str, ranges: int, name: str) -> DataFrame:
+    """``df`` range-sorted and staged, with ``running``: the sum of ``value`` up to and including the row.
 
+    ``order`` has to tell all rows apart. One shuffle: a task sums its own range, the sums of the ranges are few.
+    """
+    ordered = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    schema = StructType([*df.schema, StructField("range", LongType()), StructField("inside", LongType())])
+
+    def with_sums(batches):
+        number, before = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            inside = np.cumsum(batch.column(value).to_numpy(zero_copy_only=False), dtype=np.int64) + before
+            before = int(inside[-1]) if len(inside) else before
+            numbers = pa.array(np.full(len(inside), number, dtype=np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, numbers, pa.array(inside)], [*batch.schema.names, "range", "inside"]
+            )
+
+    summed = staged(ordered.mapInArrow(with_sums, schema), name)
+    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = summed.groupBy("range").agg(F.max("inside").alias("range_sum"))
+    bases = sums.select("range", F.coalesce(F.sum("range_sum").over(earlier), F.lit(0)).alias("range_base"))
+    placed = summed.join(F.broadcast(bases), "range")  # MOST_RANGES rows at most
+    return placed.withColumn("running", F.col("range_base") + F.col("inside")).drop("range", "inside", "range_base")
+
+
+def numbered(df: DataFrame, options: MixOptions) -> DataFrame:
+    """The rows without text, staged, with size, source_key, shuffle_key, text_key and a number (``_row``) each."""
+    key = F.md5(F.concat(F.lit(f"{options.seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    sized = with_size(df.drop(*(set(ADDED) - {"source", "doc_id"}))).select(
+        F.struct(*(F.col(f"`{c}`") for c in df.columns if c not in ("text", *ADDED))).alias("_own"),
+        "doc_id", "source", "size",
+        source_key().alias("source_key"), key.alias("shuffle_key"), F.xxhash64("text").alias("text_key"),
+        F.monotonically_increasing_id().alias("_row"),
+    )
+    return staged(sized, "mix-sizes")
 
-def last_taken(queued: DataFrame, targets: DataFrame, options: MixOptions):
-    """Place of the last copy inside the budget: (finish, source_key, shuffle_key, doc_id), or None.
 
-    Slices of finish time are summed first; only the slice in which the budget ends is put in order
-    row by row, and it is cut finer until it is small.
-    """
+def taken_copies(rows: DataFrame, targets: DataFrame, options: MixOptions) -> DataFrame:
+    """The copies inside the budget: a row per document and epoch taken, with its ``finish`` and place (``running``)."""
     up, down = options.share
-    totals = targets.agg(F.sum("source_size"), F.sum("source_rows")).first()
-    if not totals[0]:
-        return None
-    budget = totals[0] * up / down
-    rows = copies(queued, options)
-    low, high, used = 0.0, float(options.epochs) * totals[0] + 1, 0
-    # the sum of what finishes in (low, high], cut into 1000 slices until few rows are left
-    bounds, first = (0.0, 2.0), True
-    while True:
-        low, width = bounds[0], (bounds[1] - bounds[0]) / 1000
-        within = rows.where(F.col("finish") > low) if low else rows
-        if not first:
-            within = within.where(F.col("finish") <= bounds[1])
-        number = F.least(F.greatest(F.ceil((F.col("finish") - low) / width), F.lit(0)), F.lit(1001))
-        found = within.groupBy(number.alias("n")).agg(F.sum("size"), F.count("*")).orderBy("n").collect()
-        crossing = None
-        for n, words, count in found:
-            if used + words > budget:
-                crossing = (n, count)
-                break
-            used += words
-        if crossing is None:
-            return (float("inf"), "", "", None)
-        n, count = crossing
-        top = high if n == 1001 else low + n * width
-        bottom = low + (n - 1) * width if n else 0.0
-        bounds, first = (bottom, top), False
-        if count <= options.slice_rows or width < 1e-12 or n in (0, 1001):
-            break
-    # rounding may put a row on the other side of a bound: sum once more what is surely before
-    slack = (bounds[1] - bounds[0]) * 1e-6
-    bottom = max(bounds[0] - slack, 0.0)
-    used = rows.where(F.col("finish") <= bottom).agg(F.sum("size")).first()[0] or 0
-    order = ["finish", "source_key", "shuffle_key", F.col("doc_id").asc_nulls_first(), "size"]
-    edge = rows.where((F.col("finish") > bottom) & (F.col("finish") <= bounds[1] + slack))
-    running = F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    kept = edge.withColumn("running", running).where(F.col("running") + used <= budget)
-    last = kept.orderBy(F.col("running").desc()).select("finish", "source_key", "shuffle_key", "doc_id").first()
-    return tuple(last) if last else (bottom, "￿", "", None)
-
-
-def taken_copy(epoch_finish: Column, last) -> Column:
-    """Whether a copy with this finish time lies inside the budget."""
-    if last is None:
-        return F.lit(False)
-    finish, source_key, shuffle_key, _ = last
-    place = F.struct(epoch_finish.alias("a"), F.col("source_key").alias("b"), F.col("shuffle_key").alias("c"))
-    end = F.struct(
-        F.lit(finish).cast("double").alias("a"), F.lit(source_key).alias("b"), F.lit(shuffle_key).alias("c")
-    )
-    return F.coalesce((F.col("size") > 0) & (place <= end), F.lit(False))
+    total, count = targets.agg(F.sum("source_size"), F.sum("source_rows")).first()
+    ranges = max(1, min(MOST_RANGES, -(-(count or 0) // options.slice_rows)))
+    narrow = rows.where("size > 0").select("source_key", "shuffle_key", "doc_id", "size", "text_key", "_row")
+    queued = range_sums(narrow, ["source_key", "shuffle_key", "doc_id", "size", "_row"], "size", ranges, "mix-queue")
+    # the sources lie one behind the other: what was queued before a source is the size of those before
+    before = Window.orderBy("source_key").rowsBetween(Window.unboundedPreceding, -1)
+    sources = targets.select(
+        source_key().alias("source_key"), "source_size", F.when(F.col("target") > 0, F.col("target")).alias("target")
+    ).withColumn("source_base", F.coalesce(F.sum("source_size").over(before), F.lit(0)))
+    queued = queued.join(sources, "source_key").withColumn("queued", F.col("running") - F.col("source_base"))
+    epochs = F.explode(F.array(*(F.lit(e) for e in range(options.epochs))))
+    finish = (F.col("source_size") * F.col("epoch") + F.col("queued")) / F.col("target")
+    copies = queued.select("*", epochs.alias("epoch")).withColumn("finish", finish).where("finish is not null")
+    copies = copies.select("finish", *narrow.columns)
+    order = ["finish", "source_key", "shuffle_key", "doc_id", "size", "_row"]
+    mixed = range_sums(copies, order, "size", min(MOST_RANGES, ranges * options.epochs), "mix-order")
+    return mixed.where(F.col("running") <= F.lit((total or 0) * up / down))
 
 
 def mix(df: DataFrame, options: MixOptions = MixOptions()) -> DataFrame:
     """The input's rows, without text, with size, source_size, target and taken (words taken, repeats counted)."""
-    queued, targets = queue(df, options)
-    last = last_taken(queued, targets, options)
-    times = sum((taken_copy(finish_time(e), last).cast("long") for e in range(options.epochs)), F.lit(0))
-    return queued.withColumn("taken", F.col("size") * times).drop("source_key", "shuffle_key", "queued")
+    rows = numbered(df, options)
+    targets = staged(source_targets(rows, options), "mix-targets")
+    taken = taken_copies(rows, targets, options).groupBy("_row").agg(F.sum("size").alias("taken"))
+    figures = targets.select(source_key().alias("source_key"), "source_size", "target")
+    return (
+        rows.join(taken, "_row", "left")
+        .join(figures, "source_key")
+        .select("_own.*", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+    )
 
 
 def mixed_documents(df: DataFrame, options: MixOptions = MixOptions()) -> DataFrame:
     """The mix itself: the taken copies with the input's columns, range-sorted by finish time.
 
-    Queues and budget are settled on ids and sizes alone. Texts are shuffled twice: to meet their finish times,
-    and into the order of the mix.
+    Queues and budget are settled on ids and sizes alone. Texts are shuffled to meet their places, and into
+    the order of the mix. Rows alike in source, id and text are interchangeable: they are numbered on both sides.
     """
     columns = {c: f"_own_{i}" for i, c in enumerate(df.columns)}
-    narrow, targets = queue(df.select("doc_id", "source", "text"), options)
-    last = last_taken(narrow, targets, options)
-    every = (F.when(taken_copy(finish_time(e), last), finish_time(e)) for e in range(options.epochs))
-    # rows of one source, id and size are alike in the queue: they are numbered on both sides
-    same = ["source_key", "id_key", "size"]
-    id_key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    rows = numbered(df.select("doc_id", "source", "text"), options)
+    targets = staged(source_targets(rows, options), "mix-targets")
+    same = ["source_key", "id_key", "size", "text_key"]
+    id_key = F.coalesce(F.concat(F.lit("d"), F.col("doc_id").cast("string")), F.lit("")).alias("id_key")
     decided = (
-        narrow.withColumn("id_key", id_key)
-        .withColumn("number", F.row_number().over(Window.partitionBy(*same).orderBy("queued")))
-        .select(*same, "number", "shuffle_key", F.filter(F.array(*every), lambda t: t.isNotNull()).alias("finishes"))
+        taken_copies(rows, targets, options)
+        .groupBy("source_key", id_key, "size", "text_key", "_row")
+        .agg(F.collect_list("running").alias("places"))  # a place per epoch at most
+        .withColumn("number", F.row_number().over(Window.partitionBy(*same).orderBy("_row")))
+        .select(*same, "number", "places")
     )
+    others = F.to_json(F.struct(F.lit(0).alias("_"), *(F.col(n) for c, n in columns.items() if c != "text")))
     texts = (
         df.select(
-            source_key().alias("source_key"), id_key.alias("id_key"), word_count(F.col("text")).alias("size"),
-            *(F.col(c).alias(name) for c, name in columns.items()),
-        ).withColumn("number", F.row_number().over(Window.partitionBy(*same).orderBy(columns["text"])))
+            source_key().alias("source_key"), id_key, word_count(F.col("text")).alias("size"),
+            F.xxhash64("text").alias("text_key"), *(F.col(f"`{c}`").alias(name) for c, name in columns.items()),
+        ).withColumn("number", F.row_number().over(Window.partitionBy(*same).orderBy(others, columns["text"])))
     )
-    copied = texts.join(decided, [*same, "number"]).withColumn("finish", F.explode("finishes"))
-    ordered = copied.orderBy("finish", "source_key", "shuffle_key")
-    return ordered.select(*(F.col(name).alias(c) for c, name in columns.items()))
+    copied = texts.join(decided, [*same, "number"]).withColumn("place", F.explode("places"))
+    return copied.orderBy("place").select(*(F.col(name).alias(c) for c, name in columns.items()))
