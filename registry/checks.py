@@ -113,6 +113,21 @@ def dep_levels_cycle(spark, sf_dir):
     return deps.dependency_levels(nodes, edges.unionAll(back))
 
 
+@query(
+    "dep_levels_chain",
+    """
+    with runs as (select event_id, event_id - row_number() over (order by event_id) as run from events)
+    select event_id as node, (event_id - min(event_id) over (partition by run))::int as level from runs
+    """,
+)
+def dep_levels_chain(spark, sf_dir):
+    """Events that refer to the one before them, and each thousandth to the tenth before it too."""
+    nodes = table(spark, sf_dir, "events").select(F.col("event_id").alias("node"))
+    before = nodes.select(F.col("node").alias("child"), (F.col("node") - 1).alias("parent"))
+    short_cut = nodes.where("node % 1000 = 0").select(F.col("node").alias("child"), (F.col("node") - 10).alias("parent"))
+    return deps.dependency_levels(nodes, before.unionAll(short_cut))
+
+
 @query(
     "load_by_levels",
     " union all ".join(
