@@ -6,6 +6,7 @@ import json
 import os
 import re
 import unicodedata
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -18,6 +19,16 @@ GROUP_CHARS = 1 << 20
 ENTRY_BYTES, LONG_WORD = 350, 16
 
 
+def _byte_signs() -> dict[int, str]:
+    """The characters that stand for bytes in byte-level BPE: printable ones for themselves, others from 256 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+BYTE_SIGNS = _byte_signs()
+
+
 def _class(kind: str) -> str:
     return "".join(re.escape(chr(c)) for c in range(PLAIN_END) if unicodedata.category(chr(c))[0] == kind)
 
@@ -59,11 +70,6 @@ class ByteBpe:
         self.size = self.library.get_vocab_size()
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.words = _word_pattern()
-        self.spaced = re.compile(f" [{_class('L')}]+")
-        lengths = [0] * self.size
-        for piece, i in self.library.get_vocab().items():
-            lengths[i] = len(piece)  # one character stands for one byte
-        self.lengths = np.array(lengths)
         self.remembered = remembered
         # two generations: words met again move to the young one, and the old one is dropped when that is full
         self.young: dict[str, bytes] = {}
@@ -75,22 +81,11 @@ class ByteBpe:
         return [np.array(one.ids, self.kind) for one in found]
 
     def _learn(self, words: list[str]) -> None:
-        """Encode new words. Those of a blank and letters are put into one text: the split parts them again."""
-        memory = self.young
-        spaced = [w for w in words if self.spaced.fullmatch(w)]
-        for start in range(0, len(spaced), 4096):
-            some = spaced[start : start + 4096]
-            ids = self._raw(["".join(some)])[0]
-            ends = np.cumsum([len(w.encode()) for w in some])
-            cuts = np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1
-            raw, width = ids.tobytes(), self.kind.itemsize
-            before = 0
-            for word, cut in zip(some, (cuts * width).tolist(), strict=True):
-                memory[word] = raw[before:cut]
-                before = cut
-        rest = [w for w in words if w not in memory]
-        for word, ids in zip(rest, self._raw(rest), strict=True):
-            memory[word] = ids.tobytes()
+        """Encode new words. Each is a piece of its own after the split: the model merges it without a pipeline."""
+        memory, merged, code = self.young, self.library.model.tokenize, self.kind.char
+        for word in words:
+            spelt = word if word.isascii() else word.encode().decode("latin-1")
+            memory[word] = array(code, [t.id for t in merged(spelt.translate(BYTE_SIGNS))]).tobytes()
 
     def _remember(self, words: set[str]) -> None:
         """Bring words into the young memory."""

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from drayline.llm import token_files as tf
-from drayline.llm.bpe import byte_bpe
+from drayline.llm.bpe import ByteBpe, byte_bpe
 from drayline.session import shared_dir
 
 
@@ -61,3 +61,15 @@ def test_words_are_encoded_as_the_library_does():
     texts += ["it's we'll  x  \n\n y\t", " lead", "trail ", "a<|endoftext|> b", "  x", "Привет"]
     direct = tool.library.encode_batch(texts, add_special_tokens=False)
     assert tool.encode(texts) == [np.array(e.ids, tool.kind).tobytes() for e in direct]
+
+
+def test_new_words_are_merged_by_the_model_alone(monkeypatch):
+    """The library's whole pipeline was run again over new words; it is for texts that can't be split here only."""
+    path = tf.tokenizer_path(tf.TokenFileOptions())
+    tool = ByteBpe(path, 1 << 20, False)
+    texts = ["don't  stop\n\n 123 été naïve ÿ\x00\x7f\xad\x85 ŝœ", "", "\t\t a" + "xy" * 50]
+    expected = [tool.library.encode(t, add_special_tokens=False).ids for t in texts]
+    given = []
+    raw = tool._raw
+    monkeypatch.setattr(tool, "_raw", lambda some: given.extend(some) or raw(some))
+    assert [np.frombuffer(x, tool.kind).tolist() for x in tool.encode(texts)] == expected and not given
