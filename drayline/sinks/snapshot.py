@@ -11,6 +11,8 @@ have become many. A table's number of buckets doubles as it grows; a part keeps
 number it was written with, and gets the present one when it is rewritten.
 
     <path>/data/table_part=<token>/table_bucket=<n>/*.parquet
+
+Small buckets share a folder: that of bucket b among f folders is b % f, and its rows are told by their key.
     <path>/manifest/version=<n>/*.parquet
 """
 
@@ -31,7 +33,10 @@ from pyspark.sql import Window
 from drayline.session import child_names, drop_folder, folder_bytes, rename_folder, shared_dir
 
 BUCKET, PART = "table_bucket", "table_part"
+_FOLDER = "table_folder"  # of a row while it is written
 BUCKET_BYTES = 256 * 1024 * 1024
+# Buckets smaller than this share folders, so that files follow the bytes and not the buckets.
+FOLDER_BYTES = 16 * 1024 * 1024
 # Beyond this many buckets, buckets grow instead. A shuffle by bucket has one
 # partition per bucket, and the manifest one entry.
 MAX_BUCKETS = 20_000
@@ -49,7 +54,7 @@ BROADCAST_KEY_BYTES = 32 * 1024 * 1024
 MANIFEST_SCHEMA = (
     "commit_no long, kind string, run_id string, batch_id long, batches map<string,long>, "
     "schema string, keys array<string>, buckets int, rows long, added array<int>, "
-    "parts array<struct<name:string,merges:boolean,level:int,buckets:int,rows:long,size:long,filled:array<int>,dead:array<int>>>, "
+    "parts array<struct<name:string,merges:boolean,level:int,buckets:int,rows:long,size:long,filled:array<int>,dead:array<int>,folders:int>>, "
     "covers array<long>, committed_at timestamp"
 )
 
@@ -66,6 +71,11 @@ class Part:
     size: int  # bytes
     filled: tuple[int, ...]
     dead: tuple[int, ...] = ()
+    folders: int | None = None  # fewer than buckets when these share folders
+
+    def bucket_of(self, keys: Sequence[str]) -> Column:
+        """The bucket of a row that was read from this part."""
+        return key_bucket(keys, self.buckets) if self.folders else F.col(BUCKET)
 
 
 @dataclass(frozen=True)
@@ -203,7 +213,7 @@ class SnapshotTable:
                     T.StructType.fromJson(json.loads(row.schema)),
                     tuple(row["keys"]),
                     row.buckets,
-                    tuple(Part(*entry[:6], tuple(entry.filled), tuple(entry.dead)) for entry in row.parts),
+                    tuple(Part(*entry[:6], tuple(entry.filled), tuple(entry.dead), entry.folders) for entry in row.parts),
                     dict(row.batches),
                 )
         return None
@@ -244,8 +254,10 @@ class SnapshotTable:
             left.append(f"{self.path}/data/{PART}={part.name}")
             if len(alive) < part.buckets:
                 few = len(alive) <= part.buckets - len(alive)
-                named = F.col(BUCKET).isin(sorted(alive if few else set(range(part.buckets)) - alive))
+                named = part.bucket_of(state.keys).isin(sorted(alive if few else set(range(part.buckets)) - alive))
                 kept.append((F.col(PART) != part.name) | (named if few else ~named))
+                if part.folders:  # the rows' buckets are not folders: folders without wanted ones are pruned besides
+                    kept.append((F.col(PART) != part.name) | F.col(BUCKET).isin(sorted({b % part.folders for b in alive})))
         if not left:
             return self.spark.createDataFrame([], schema)
         rows = self.spark.read.option("basePath", f"{self.path}/data").schema(schema).parquet(*left)
@@ -268,7 +280,7 @@ class SnapshotTable:
             later = [p for p in merging if places[p.name] > places[part.name]]
             filled = {b for p in later for b in _as_buckets(p.filled, p.buckets, part.buckets)} - set(part.dead)
             if filled and not part.merges:
-                met.append((F.col(PART) == part.name) & F.col(BUCKET).isin(sorted(filled)))
+                met.append((F.col(PART) == part.name) & part.bucket_of(state.keys).isin(sorted(filled)))
         plain = rows.where(~F.col(PART).isin(names))
         merged = newest.select(*[F.col(f"`{c}`") if c in keys else F.col("_row").getField(c).alias(c) for c in state.schema.names])
         if not met:
@@ -543,15 +555,32 @@ class SnapshotTable:
         if not keys:
             df.observe(seen, counted).write.parquet(folder)
             return Part(name, False, level, 1, seen.get["rows"], folder_bytes(self.spark, folder), (0,))
-        rows = df
+        folders = self._folders(buckets)
+        rows = df if BUCKET in df.columns else df.withColumn(BUCKET, key_bucket(keys, buckets))
+        place = BUCKET
+        if folders < buckets:
+            place = _FOLDER
+            rows = rows.withColumn(place, F.col(BUCKET) % folders)
         if BUCKET not in df.columns:
-            # Rebalance keeps a bucket together, splits an oversized one into
+            # Rebalance keeps a folder together, splits an oversized one into
             # several files and joins small ones into one task.
-            rows = df.withColumn(BUCKET, key_bucket(keys, buckets)).hint("rebalance", buckets, BUCKET)
+            rows = rows.hint("rebalance", folders, place)
         rows = rows.observe(seen, counted, F.collect_set(BUCKET).alias("filled"))
+        if folders < buckets:
+            rows = rows.drop(BUCKET).withColumnRenamed(place, BUCKET)
         rows.write.partitionBy(BUCKET).parquet(folder)
         filled = tuple(sorted(seen.get["filled"]))
-        return Part(name, False, level, buckets, seen.get["rows"], folder_bytes(self.spark, folder), filled)
+        return Part(
+            name, False, level, buckets, seen.get["rows"], folder_bytes(self.spark, folder), filled,
+            folders=folders if folders < buckets else None,
+        )
+
+    def _folders(self, buckets: int) -> int:
+        """Folders of a part: buckets are put together two by two while a folder is small."""
+        folders = buckets
+        while folders % 2 == 0 and 2 * (buckets // folders) * self.bucket_bytes <= FOLDER_BYTES:
+            folders //= 2
+        return folders
 
     def _commit(
         self,
@@ -577,7 +606,7 @@ class SnapshotTable:
         row = [
             (
                 number, kind, run_id, batch_id, batches, nullable.json(), list(keys), buckets, rows,
-                sorted(added), [(*astuple(p)[:6], list(p.filled), list(p.dead)) for p in parts],
+                sorted(added), [(*astuple(p)[:6], list(p.filled), list(p.dead), p.folders) for p in parts],
                 None if covers is None else list(covers),
             )
         ]

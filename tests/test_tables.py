@@ -118,6 +118,23 @@ def test_buckets_grow_with_the_table(spark, folder):
     assert kept.state().buckets == 2 and kept.buckets_of_run("r") == {0, 1}
 
 
+def test_small_buckets_share_folders(spark, folder):
+    target = SnapshotTable(spark, str(folder / "s"), bucket_bytes=1000)
+    rows = spark.range(4000).withColumn("t", F.sha2(F.col("id").cast("string"), 256))
+    target.overwrite(rows, ["id"], 64)
+    target.upsert(rows.where("id % 400 = 7").withColumn("t", F.lit("few")))
+    target.upsert(rows.where("id < 2").withColumn("t", F.lit("more")), broadcast_bytes=0)
+    target.append(rows.withColumn("id", F.col("id") + 10_000))
+    for part in target.state().parts:
+        assert part.buckets >= 64 and len(list((folder / "s" / "data" / f"table_part={part.name}").glob("table_bucket=*"))) <= 2
+    some = target.read([3, 5]).collect()
+    wanted = target.read().where(key_bucket(["id"], target.state().buckets).isin(3, 5)).collect()
+    assert sorted(some) == sorted(wanted) and some
+    assert target.read().count() == 8000 and target.read().where("t = 'few'").count() == 10
+    target.compact(0, 0)
+    assert target.read().count() == 8000 and target.read().where("t = 'more'").count() == 2
+
+
 def test_many_keyed_appends_keep_few_parts(spark, folder):
     target = SnapshotTable(spark, str(folder / "m"))
     target.create(spark.range(0).schema, ["id"], 256)
