@@ -442,3 +442,14 @@ def test_a_long_ledger_is_folded(spark, folder):
     names = [p.name for p in (folder / "l").iterdir()]
     assert sum(not n.startswith("snapshot-") for n in names) < 8 and not any(n.startswith("making-") for n in names)
     assert ledger.fold() == (len(ledger._layout()[2]) > 0) or not ledger.fold()
+
+
+def test_loaded_tables_take_less_disk(spark, folder):
+    rows = spark.range(20_000).withColumn("t", F.sha2(F.col("id").cast("string"), 256))
+    rows.write.parquet(str(folder / "source"), compression="snappy")
+    specs = {"keyed": TableSpec("keyed", keys=["id"]), "plain": TableSpec("plain")}
+    result = load_tables(spark, {n: rows for n in specs}, str(folder / "to"), specs, (), LoadOptions(fresh=True, batches=2), run_id="r")
+    assert result.status == "success" and all(r.matches for r in result.checks.collect())
+    source = sum(p.stat().st_size for p in (folder / "source").glob("*.parquet"))
+    for name in specs:
+        assert sum(p.size for p in SnapshotTable(spark, str(folder / "to" / name)).state().parts) < 0.8 * source
