@@ -131,7 +131,7 @@ def test_small_buckets_share_folders(spark, folder):
     wanted = target.read().where(key_bucket(["id"], target.state().buckets).isin(3, 5)).collect()
     assert sorted(some) == sorted(wanted) and some
     assert target.read().count() == 8000 and target.read().where("t = 'few'").count() == 10
-    target.compact(0, 0)
+    target.compact(1, 0)
     assert target.read().count() == 8000 and target.read().where("t = 'more'").count() == 2
 
 
