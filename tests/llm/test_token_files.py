@@ -1,3 +1,5 @@
+import json
+import random
 import zlib
 
 import numpy as np
@@ -73,3 +75,52 @@ def test_new_words_are_merged_by_the_model_alone(monkeypatch):
     raw = tool._raw
     monkeypatch.setattr(tool, "_raw", lambda some: given.extend(some) or raw(some))
     assert [np.frombuffer(x, tool.kind).tolist() for x in tool.encode(texts)] == expected and not given
+
+
+def as_the_library(tool, texts):
+    direct = tool.library.encode_batch(texts, add_special_tokens=False)
+    return tool.encode(texts) == [np.array(e.ids, tool.kind).tobytes() for e in direct]
+
+
+def test_new_words_are_merged_many_at_a_time(monkeypatch):
+    """The model was called once for each new word."""
+    tool = ByteBpe(tf.tokenizer_path(tf.TokenFileOptions()), 1 << 24, False)
+    merged, calls = tool._merged, []
+    monkeypatch.setattr(tool, "_merged", lambda spelt: calls.append(spelt) or merged(spelt))
+    letters = "abcdefghiéß"
+    texts = [" ".join(a + b + c + d for b in letters for c in letters for d in letters) for a in letters]
+    assert as_the_library(tool, texts)
+    assert 0 < len(calls) <= len(tool.young) // 256 + 1
+    calls.clear()
+    assert as_the_library(tool, texts) and not calls
+
+
+@pytest.mark.parametrize("plain", [False, True])
+@pytest.mark.parametrize("remembered", [1000, 1 << 20])  # 1000: forgotten all the time
+def test_odd_texts_are_cut_as_the_library_does(plain, remembered):
+    tool = ByteBpe(tf.tokenizer_path(tf.TokenFileOptions()), remembered, plain)
+    signs = [*"''''  \n\t\r\x0b\x0c\x1c\x00\x7f\x85\xa0\xadabstdmlvreSL09½²éßÿŝʰ̀̿!.|<"]
+    signs += ["'s", "'ll", "'ve", "'re", "''s", "  "]
+    others = ["̀", "ͯ", "Ͱ", "Ω", "<|endoftext|>", "日本", "\U0001f600"]
+    draw = random.Random(3)
+    for k in range(40):
+        chosen = signs + others * (k % 2)
+        assert as_the_library(tool, ["".join(draw.choices(chosen, k=draw.randrange(14))) for _ in range(100)])
+
+
+@pytest.mark.parametrize("change", ["ignore_merges", "sign"])
+def test_models_whose_words_do_not_part_take_whole_texts(tmp_path, change):
+    """Words are merged in one string only if the model comes out with each word's own ids."""
+    with open(tf.tokenizer_path(tf.TokenFileOptions()), encoding="utf-8") as file:
+        settings = json.load(file)
+    model = settings["model"]
+    new = max(model["vocab"].values()) + 1
+    if change == "sign":  # of the byte between words
+        model["merges"].insert(0, ["a", "ÿ"])
+        model["vocab"]["aÿ"] = new
+    else:
+        model["ignore_merges"] = True
+        model["vocab"]["Ġzqzqzq"] = new
+    path = tmp_path / "tokenizer.json"
+    path.write_text(json.dumps(settings))
+    assert as_the_library(ByteBpe(str(path), 1 << 20, False), ["a zqzqzq banana", "", "a a"])
