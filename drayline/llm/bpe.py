@@ -22,6 +22,8 @@ GROUP_CHARS = 1 << 21
 ENTRY_BYTES, LONG_WORD = 200, 16
 LETTER, NUMBER, BLANK, OTHER = range(4)
 PART_BYTE, PARTED_WORDS = 0xFF, 256  # the byte between words merged together, and how many are
+PARTED_BYTES = 1 << 12  # longer words are merged alone
+PIECE_BYTES = 1 << 22  # of a long text whose places are held at once
 
 
 def _byte_signs() -> np.ndarray:
@@ -50,8 +52,9 @@ def word_starts(data: bytes, texts: np.ndarray) -> np.ndarray:
     n = len(data)
     raw = np.frombuffer(data + b"\0\0\0", np.uint8)  # so that three bytes follow each
     kind = CLASSES.take(raw)
-    lead = np.flatnonzero(raw >= 0xC0)  # all of two bytes
-    kind[lead] = kind[lead + 1] = CLASSES[((raw[lead] & 0x1F).astype(np.intp) << 6) | (raw[lead + 1] & 0x3F)]
+    for at in range(0, n, PIECE_BYTES):
+        lead = np.flatnonzero(raw[at : at + PIECE_BYTES] >= 0xC0) + at  # all of two bytes
+        kind[lead] = kind[lead + 1] = CLASSES[((raw[lead] & 0x1F).astype(np.intp) << 6) | (raw[lead + 1] & 0x3F)]
     fresh = np.zeros(n + 3, bool)
     fresh[texts] = fresh[n] = True
     begins = fresh.copy()
@@ -84,6 +87,10 @@ def _values(column: pa.LargeBinaryArray) -> list[bytes]:
     return [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
+def _spelt(raw: bytes) -> str:
+    return BYTE_SIGNS[np.frombuffer(raw, np.uint8)].tobytes().decode("utf-16-le")
+
+
 class ByteBpe:
     """Encodes texts with one tokenizer file.
 
@@ -130,11 +137,14 @@ class ByteBpe:
 
     def _learn(self, words: list[bytes]) -> None:
         """Encode new words. Each is a piece of its own after the split: the model merges it without a pipeline."""
-        part, width = bytes([PART_BYTE]), self.kind.itemsize
-        for start in range(0, len(words), PARTED_WORDS):
-            some = words[start : start + PARTED_WORDS]
-            spelt = BYTE_SIGNS[np.frombuffer(part.join([*some, b""]), np.uint8)].tobytes().decode("utf-16-le")
-            ids = self._merged(spelt)
+        part, width, merged = bytes([PART_BYTE]), self.kind.itemsize, self.library.model.tokenize
+        long = [word for word in words if len(word) > PARTED_BYTES]
+        for word in long:
+            self.young[word] = np.fromiter((t.id for t in merged(_spelt(word))), self.kind).tobytes()
+        short = [word for word in words if len(word) <= PARTED_BYTES] if long else words
+        for start in range(0, len(short), PARTED_WORDS):
+            some = short[start : start + PARTED_WORDS]
+            ids = self._merged(_spelt(part.join([*some, b""])))
             raw, before = ids.tobytes(), 0
             for word, end in zip(some, (np.flatnonzero(ids == self.part) * width).tolist(), strict=True):
                 self.young[word] = raw[before:end]

@@ -124,3 +124,17 @@ def test_models_whose_words_do_not_part_take_whole_texts(tmp_path, change):
     path = tmp_path / "tokenizer.json"
     path.write_text(json.dumps(settings))
     assert as_the_library(ByteBpe(str(path), 1 << 20, False), ["a zqzqzq banana", "", "a a"])
+
+
+def test_long_texts_and_words_go_piece_by_piece(monkeypatch):
+    """A word of any length came into one string with 255 others; places of a whole text were held at once."""
+    from drayline.llm import bpe
+
+    monkeypatch.setattr(bpe, "PIECE_BYTES", 3)
+    monkeypatch.setattr(bpe, "PARTED_BYTES", 8)
+    tool = ByteBpe(tf.tokenizer_path(tf.TokenFileOptions()), 1 << 20, False)
+    merged, given = tool._merged, []
+    monkeypatch.setattr(tool, "_merged", lambda spelt: given.append(spelt) or merged(spelt))
+    texts = ["é" * 40 + " naïveté déjà-vu it's " + "ab" * 30, "ŝ" * 7, " " * 50 + "x"]
+    assert as_the_library(tool, texts)
+    assert given and max(len(word) for spelt in given for word in spelt.split("ÿ")) <= 8
