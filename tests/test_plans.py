@@ -7,7 +7,7 @@ from conftest import SF_DIR
 from pyspark.sql import functions as F
 
 from drayline.operators.inference import infer_types
-from drayline.operators.ledger import pending_rows, range_batch
+from drayline.operators.ledger import Ledger, pending_rows, range_batch, resumable_load
 from drayline.operators.mapping import apply_rules, apply_spec, cast_columns
 from drayline.operators.progress import newest_first
 from drayline.plans.dialects import translate_types
@@ -85,6 +85,21 @@ def test_a_copy_without_key_shuffles_nothing(spark, folder):
     assert shuffle_bytes(spark) == before
 
 
+def test_a_large_load_by_key_shuffles_nothing(spark, folder):
+    """Each task writes its rows into the few folders of the batches; small loads still get one file per folder."""
+    texts = [F.lit("").alias(f"t{i}") for i in range(8)]
+    for name, count, least, most in (("large", 800_000, 5, 64), ("small", 8_000, 4, 4)):
+        rows, target = spark.range(count).select("id", *texts), SnapshotTable(spark, str(folder / name))
+        before = shuffle_bytes(spark)
+        assert resumable_load(rows, target, Ledger(spark, str(folder / "l")), "r", name, ["id"], 4) == count
+        assert shuffle_bytes(spark) - before < 200_000  # 6 MB if the large one were shuffled
+        files = list((folder / name / "data").glob("table_part=*/table_bucket=*/*.parquet"))
+        assert least <= len(files) <= most and {f.parent.name for f in files} == {f"table_bucket={b}" for b in range(4)}
+        assert tuple(target.read().agg(F.count("id"), F.sum("id")).first()) == (count, count * (count - 1) // 2)
+        some = target.read([1])
+        assert some.count() == rows.where(key_bucket(["id"], 4) == 1).count() == some.where(key_bucket(["id"], 4) == 1).count()
+
+
 @pytest.mark.parametrize("limit, shuffled", [(1 << 20, False), (0, True)])
 def test_a_small_upsert_does_not_shuffle_old_rows(spark, folder, limit, shuffled):
     target = SnapshotTable(spark, str(folder / "t"))
